@@ -121,3 +121,11 @@ def psi_status(psi: str | Column) -> Column:
 
 def pct(num: Column, den: Column, digits: int = 2) -> Column:
     return F.round(F.lit(100.0) * num / den, digits)
+
+
+def sig_round(c: str | Column, digits: int = 10) -> Column:
+    """Round to ``digits`` significant digits (for large sums whose last bits depend on order)."""
+    c = col_(c)
+    e = F.floor(F.log10(F.abs(c)))
+    scale = F.pow(F.lit(10.0), e)
+    return F.when(c == 0, F.lit(0.0)).otherwise(F.round(c / scale, digits - 1) * scale)

@@ -85,3 +85,8 @@ def unpivot_sql(table: str, cols: list[str], ids: list[str] | None = None, where
     idc = "".join(f"{i}, " for i in ids)
     w = f" WHERE {where}" if where else ""
     return union_all([f"SELECT {idc}'{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM {table}{w}" for c in cols])
+
+
+def sig_round(x: str, digits: int = 10) -> str:
+    e = f"floor(log10(abs({x})))"
+    return f"(CASE WHEN {x} = 0 THEN 0.0e0 ELSE round({x} / pow(10.0e0, {e}), {digits - 1}) * pow(10.0e0, {e}) END)"
