@@ -25,9 +25,11 @@ def _cents(c):
     return F.round(c * F.lit(100.0)).cast("bigint")
 
 
-def applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
+def applicants(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """Batch applicants; pass a streaming ``orders`` frame to get them as a stream
+    (stream-static joins against the aggregated line items and the customers)."""
     li = read_table(spark, sf_dir, "lineitem")
-    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    orders = (orders if orders is not None else read_table(spark, sf_dir, "orders")).select("o_orderkey", "o_custkey", "o_totalprice")
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
 
