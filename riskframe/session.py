@@ -53,3 +53,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder (never a machine-local temp dir)."""
+    import uuid
+
+    base = ensure_checkpoint_dir(spark)
+    return f"{base.rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
