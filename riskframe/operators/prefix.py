@@ -9,8 +9,9 @@ Here the ordered scan is split across tasks instead:
    ranges (sampled bounds, as a distributed sort does) and every range is sorted
    inside its task;
 3. a per-partition Arrow scan adds in-partition running sums and the partition
-   id; the result is checkpointed to the shared checkpoint folder so partition
-   ids stay fixed even if an executor is lost and a stage is recomputed;
+   id; the result is written as Parquet to the shared checkpoint folder so
+   partition ids stay fixed even if an executor is lost and a stage is
+   recomputed;
 4. per-(partition, group) totals (a table with partitions x groups rows) give
    every partition its offset; offsets are joined back (AQE broadcasts the
    table when its runtime size is below the broadcast threshold).
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir, shuffle_partitions
+from ..session import ensure_checkpoint_dir, materialize, shuffle_partitions
 
 PID = "_pid"
 
@@ -116,7 +117,8 @@ def running_totals(
         dt = df.schema[s].dataType
         out_t = T.LongType() if isinstance(dt, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)) else T.DoubleType()
         fields.append(T.StructField(_cum_name(s), out_t, False))
-    scanned = ranged.mapInPandas(_partition_scan(within, sums), T.StructType(fields)).checkpoint(eager=True)
+    # written once: partition ids and in-partition sums stay fixed for both passes below
+    scanned = materialize(ranged.mapInPandas(_partition_scan(within, sums), T.StructType(fields)), "running_totals")
 
     part_tot = scanned.groupBy(PID, *within).agg(*[F.sum(s).alias(f"_pt_{s}") for s in sums])
     w_prev = Window.partitionBy(*within).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)

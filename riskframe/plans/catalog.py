@@ -12,6 +12,7 @@ from .. import config as C
 from ..operators import profile as PR
 from ..operators import quality as Q
 from ..operators import stability as ST
+from ..session import materialize
 from ..sources.applicants import applicants
 from . import sqlparts as S
 
@@ -31,8 +32,15 @@ def register(name, sql=None):
     return deco
 
 
+def base(spark, sf):
+    """The applicants table written once (Parquet, shared checkpoint folder) for
+    queries that read it in several passes: every pass scans the written table
+    instead of recomputing the line-item aggregation and the joins."""
+    return materialize(applicants(spark, sf), "applicants")
+
+
 def clean(spark, sf):
-    return Q.replace_sentinels(applicants(spark, sf))
+    return Q.replace_sentinels(base(spark, sf))
 
 
 # ---------------------------------------------------------------------------
@@ -142,7 +150,7 @@ def _impact_sql(masks, n_label, a_label):
     _impact_sql({c: (f"{c} = -9999998.0e0", f"{c} <> -9999998.0e0 AND {c} IS NOT NULL") for c in ["x3", "x4"]}, "n_sentinel", "sentinel"),
 )
 def q_sentinel_impact(spark, sf):
-    return Q.sentinel_impact(applicants(spark, sf))
+    return Q.sentinel_impact(base(spark, sf))
 
 
 @register(
@@ -150,7 +158,7 @@ def q_sentinel_impact(spark, sf):
     _impact_sql({c: (f"{c} IS NULL", f"{c} IS NOT NULL AND {c} <> -9999998.0e0") for c in C.NULL_FLAG_COLS}, "n_null", "null"),
 )
 def q_null_impact(spark, sf):
-    return Q.null_impact(applicants(spark, sf))
+    return Q.null_impact(base(spark, sf))
 
 
 @register(
@@ -162,7 +170,7 @@ def q_null_impact(spark, sf):
        round(quantile_cont(target, 0.5e0), 6) AS median_target FROM f GROUP BY x3_flag, x4_flag""",
 )
 def q_segment_table(spark, sf):
-    return Q.segment_table(applicants(spark, sf))
+    return Q.segment_table(base(spark, sf))
 
 
 @register(
@@ -197,7 +205,7 @@ def q_real_nulls(spark, sf):
     S.with_() + "SELECT base, count(*) AS n, round(100.0e0 * count(*) / (SELECT count(*) FROM applicants), 2) AS pct FROM applicants GROUP BY base",
 )
 def q_split_counts(spark, sf):
-    return PR.value_counts(applicants(spark, sf), C.SPLIT)
+    return PR.value_counts(base(spark, sf), C.SPLIT)
 
 
 @register(
@@ -205,7 +213,7 @@ def q_split_counts(spark, sf):
     S.with_() + "SELECT x9, count(*) AS n, round(100.0e0 * count(*) / (SELECT count(*) FROM applicants), 2) AS pct FROM applicants WHERE x9 IS NOT NULL GROUP BY x9",
 )
 def q_value_counts_x9(spark, sf):
-    return PR.value_counts(applicants(spark, sf), "x9")
+    return PR.value_counts(base(spark, sf), "x9")
 
 
 def _describe_sql(table, cols):
@@ -258,7 +266,7 @@ def q_moments(spark, sf):
        FROM grid g LEFT JOIN cnt c ON g.bin = c.bin""",
 )
 def q_histogram(spark, sf):
-    return PR.histogram(applicants(spark, sf), C.TARGET, 50)
+    return PR.histogram(base(spark, sf), C.TARGET, 50)
 
 
 _MISS = ["x3", "x4", "x5", "x11", "x12"]
@@ -375,7 +383,7 @@ def q_split_medians(spark, sf):
     + "SELECT count(*) AS n_categories, count_if(cp <= 80.0e0) + 1 AS n_for_80, count_if(cp <= 95.0e0) + 1 AS n_for_95 FROM cum",
 )
 def q_pareto(spark, sf):
-    return PR.pareto(applicants(spark, sf), "x9")
+    return PR.pareto(base(spark, sf), "x9")
 
 
 @register(
@@ -391,7 +399,7 @@ def q_pareto(spark, sf):
        FROM d""",
 )
 def q_ks_two_sample(spark, sf):
-    return PR.ks_two_sample(applicants(spark, sf), C.TARGET, C.SPLIT, C.TRAIN, C.TEST)
+    return PR.ks_two_sample(base(spark, sf), C.TARGET, C.SPLIT, C.TRAIN, C.TEST)
 
 
 # ---------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from .. import config as C
 from ..operators import metrics as M
 from ..sources.applicants import applicants
 from . import sqlparts as S
-from .catalog import register
+from .catalog import base, register
 
 # closed-form scorers: name -> (Spark expression, SQL expression)
 SCORERS = {
@@ -23,7 +23,7 @@ SCORERS = {
 
 def predictions(spark, sf, models=("lin_a",)):
     """Long table (model, base, target, pred) for the chosen scorers."""
-    a = applicants(spark, sf)
+    a = base(spark, sf)
     parts = [a.select(F.lit(m).alias("model"), C.SPLIT, C.TARGET, SCORERS[m][0]().alias("pred")) for m in models]
     out = parts[0]
     for p in parts[1:]:

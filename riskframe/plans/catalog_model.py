@@ -14,14 +14,14 @@ from ..functions import columns as X
 from ..operators import linear as L
 from ..sources.applicants import applicants
 from . import sqlparts as S
-from .catalog import register
+from .catalog import base, register
 from .catalog_metrics import SCORERS, predictions
 from .catalog_prep import fitted
 
 
 def residuals(spark, sf):
     """Log-scale residuals of the closed-form scorer lin_a, every applicant."""
-    a = applicants(spark, sf)
+    a = base(spark, sf)
     return a.select(C.ID, C.TARGET, SCORERS["lin_a"][0]().alias("pred")).select(
         C.ID, C.TARGET, "pred", (F.log(F.col(C.TARGET)) - F.log(F.col("pred"))).alias("resid")
     )
@@ -74,7 +74,7 @@ def q_vif_pair(spark, sf):
          FROM d""",
 )
 def q_ols_single(spark, sf):
-    a = applicants(spark, sf).select(F.col("x10").alias("x"), F.log(C.TARGET).alias("y"))
+    a = base(spark, sf).select(F.col("x10").alias("x"), F.log(C.TARGET).alias("y"))
     return L.ols_single(a, "x", "y")
 
 
@@ -84,7 +84,7 @@ def q_ols_single(spark, sf):
     + """SELECT id, round(pred, 6) AS fitted, round(target - pred, 6) AS residual, round(sqrt(abs((target - pred) / sd)), 6) AS sqrt_abs_std_resid FROM r, sd""",
 )
 def q_residual_diagnostics(spark, sf):
-    a = applicants(spark, sf).select(C.ID, C.TARGET, SCORERS["lin_a"][0]().alias("pred"))
+    a = base(spark, sf).select(C.ID, C.TARGET, SCORERS["lin_a"][0]().alias("pred"))
     r = L.residual_frame(a, C.TARGET, "pred")
     return r.select(C.ID, F.round("pred", 6).alias("fitted"), F.round("residual", 6).alias("residual"), F.round("sqrt_abs_std_resid", 6).alias("sqrt_abs_std_resid"))
 
@@ -105,12 +105,12 @@ _CONTRIB = {"x10": 2.0, "x1c": 0.5}
          row_number() OVER (ORDER BY v DESC, feature) AS rank FROM l""",
 )
 def q_linear_contributions(spark, sf):
-    a = applicants(spark, sf).select("x10", F.coalesce(F.col("x1"), F.lit(0.0)).alias("x1c"))
+    a = base(spark, sf).select("x10", F.coalesce(F.col("x1"), F.lit(0.0)).alias("x1c"))
     return EX.mean_abs_contribution(EX.linear_contributions(a, _CONTRIB), list(_CONTRIB))
 
 
 def _wide_preds(spark, sf):
-    a = applicants(spark, sf)
+    a = base(spark, sf)
     return a.select(C.ID, C.SPLIT, C.TARGET, *[SCORERS[m][0]().alias(m) for m in ("lin_a", "lin_b")])
 
 
@@ -192,5 +192,5 @@ def q_breusch_pagan(spark, sf):
 @register("permutation_importance")
 def q_permutation_importance(spark, sf):
     """E4 for the closed-form scorer lin_a over every applicant."""
-    a = applicants(spark, sf).select(C.ID, C.TARGET, "x10", "x1")
+    a = base(spark, sf).select(C.ID, C.TARGET, "x10", "x1")
     return EX.permutation_importance(a, C.TARGET, lambda d: SCORERS["lin_a"][0](), ["x10", "x1"], C.ID)

@@ -14,13 +14,13 @@ from ..operators import prep as P
 from ..operators import quality as Q
 from ..sources.applicants import applicants
 from . import sqlparts as S
-from .catalog import NUM, register
+from .catalog import NUM, base, register
 
 R = 6  # report rounding
 
 
 def fitted(spark, sf, **params):
-    a = applicants(spark, sf)
+    a = base(spark, sf)
     model = P.RiskPreprocessor(**params).fit(a.where(F.col(C.SPLIT) == C.TRAIN))
     return a, model
 
@@ -202,7 +202,7 @@ def q_x8_onehot(spark, sf):
        FROM (SELECT coalesce(x9, 'DESCONOCIDO') AS level, count(*) AS n, avg(target) AS mean FROM applicants WHERE base = 'TRAIN' GROUP BY 1), gm""",
 )
 def q_target_encoding(spark, sf):
-    train = applicants(spark, sf).where(F.col(C.SPLIT) == C.TRAIN)
+    train = base(spark, sf).where(F.col(C.SPLIT) == C.TRAIN)
     t = P.target_encoding_table(train, "x9", C.TARGET, 10.0)
     return t.select("level", "n", F.round("mean", 6).alias("mean"), F.round("encoding", 6).alias("encoding"))
 

@@ -14,7 +14,7 @@ from ..sources.applicants import applicants
 from ..sources.tables import read_table
 from ..streaming import jobs as STR
 from . import sqlparts as S
-from .catalog import NUM, clean, register
+from .catalog import NUM, base, clean, register
 from .catalog_metrics import SCORERS
 from .catalog_prep import PREP, fitted
 
@@ -172,7 +172,7 @@ def q_drift_rules(spark, sf):
         for x in NUM
     ])
     r3 = nr.select(F.lit("null_rate_increase_pts").alias("rule"), F.greatest(*[F.col(x) for x in NUM]).alias("value"), F.lit(5.0).alias("threshold"))
-    a = applicants(spark, sf)
+    a = base(spark, sf)
     lvl = F.coalesce(F.col("x9"), F.lit(C.UNKNOWN_CATEGORY))
     train_levels = a.where(is_tr).select(lvl.alias("level")).distinct()
     test = a.where(is_te).select(lvl.alias("level"))

@@ -61,3 +61,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df, name: str):
+    """Cut lineage: write ``df`` as Parquet under the shared checkpoint folder and read it back.
+
+    Columnar and compressed (cheaper than a serialized RDD checkpoint), and the
+    written files survive executor loss; a later stage never recomputes the input.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
