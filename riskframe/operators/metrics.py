@@ -34,8 +34,8 @@ def regression_metrics(df: DataFrame, y: str, yhat: str, by: Sequence[str] = (),
         F.count(F.lit(1)).alias("n"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
         F.avg(F.abs(e)).alias("mae"),
-        (F.lit(1.0) - F.avg(e * e) / F.var_pop(y)).alias("r2"),
-        (F.avg(F.abs(e / den)) * F.lit(100.0)).alias("mape"),
+        (F.lit(1.0) - F.try_divide(F.avg(e * e), F.var_pop(y))).alias("r2"),
+        (F.avg(F.abs(F.try_divide(e, den))) * F.lit(100.0)).alias("mape"),
     )
 
 
@@ -48,12 +48,12 @@ def gini(df: DataFrame, y: str, yhat: str, by: Sequence[str] = ()) -> DataFrame:
     by = list(by)
     lab = _attach(df.select(*by, y, yhat), _medians(df, y, by), by)
     pos = (F.col(y) > F.col("_med")).cast("long")
-    g = lab.groupBy(*by, yhat).agg(F.sum(pos).alias("p"), F.sum(F.lit(1) - pos).alias("q"))
-    r = running_totals(g, [yhat], ["q"], within=by)
+    g = lab.groupBy(*by, yhat).agg(F.sum(pos).alias("_pos"), F.sum(F.lit(1) - pos).alias("_neg"))
+    r = running_totals(g, [yhat], ["_neg"], within=by)
     a = r.groupBy(*by).agg(
-        F.sum(F.col("p") * (F.col(_cum_name("q")) - F.col("q") / F.lit(2.0))).alias("_s"),
-        F.sum("p").alias("_P"),
-        F.sum("q").alias("_N"),
+        F.sum(F.col("_pos") * (F.col(_cum_name("_neg")) - F.col("_neg") / F.lit(2.0))).alias("_s"),
+        F.sum("_pos").alias("_P"),
+        F.sum("_neg").alias("_N"),
     )
     val = F.lit(2.0) * F.col("_s") / (F.col("_P") * F.col("_N")) - F.lit(1.0)
     return a.select(*by, F.when((F.col("_P") == 0) | (F.col("_N") == 0), F.lit(0.0)).otherwise(val).alias("gini"))
@@ -67,10 +67,10 @@ def ks(df: DataFrame, y: str, yhat: str, by: Sequence[str] = (), strict: bool =
     by = list(by)
     lab = _attach(df.select(*by, y, yhat), _medians(df, y, by), by)
     good = ((F.col(y) > F.col("_med")) if strict else (F.col(y) >= F.col("_med"))).cast("long")
-    g = lab.groupBy(*by, yhat).agg(F.sum(good).alias("gd"), F.sum(F.lit(1) - good).alias("bd"))
-    r = running_totals(g, [yhat], ["gd", "bd"], within=by, descending=True)
-    gap = F.abs(F.col(_cum_name("gd")) / F.col(_tot_name("gd")) - F.col(_cum_name("bd")) / F.col(_tot_name("bd")))
-    a = r.groupBy(*by).agg(F.max(gap).alias("_ks"), F.max(_tot_name("gd")).alias("_g"), F.max(_tot_name("bd")).alias("_b"))
+    g = lab.groupBy(*by, yhat).agg(F.sum(good).alias("_gd"), F.sum(F.lit(1) - good).alias("_bd"))
+    r = running_totals(g, [yhat], ["_gd", "_bd"], within=by, descending=True)
+    gap = F.abs(F.try_divide(F.col(_cum_name("_gd")), F.col(_tot_name("_gd"))) - F.try_divide(F.col(_cum_name("_bd")), F.col(_tot_name("_bd"))))
+    a = r.groupBy(*by).agg(F.max(gap).alias("_ks"), F.max(_tot_name("_gd")).alias("_g"), F.max(_tot_name("_bd")).alias("_b"))
     return a.select(*by, F.when((F.col("_g") == 0) | (F.col("_b") == 0), F.lit(0.0)).otherwise(F.col("_ks")).alias("ks"))
 
 

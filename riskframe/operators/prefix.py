@@ -16,6 +16,11 @@ Here the ordered scan is split across tasks instead:
    every partition its offset; offsets are joined back (AQE broadcasts the
    table when its runtime size is below the broadcast threshold).
 
+When a size check shows that every group is small (at most
+``spark.riskframe.localRankThreshold`` rows after pre-aggregation), a window
+per group does the same in one task per group, skipping the sampling and the
+written table; this is the broadcast-threshold idea applied to ranking.
+
 ``exact_quantiles`` builds on it: the row holding rank k is the one whose
 running count crosses k, so quantiles with linear interpolation (pandas,
 NumPy and DuckDB ``quantile_cont``) come out exact without holding any group's
@@ -36,6 +41,12 @@ from pyspark.sql import types as T
 from ..session import ensure_checkpoint_dir, materialize, shuffle_partitions
 
 PID = "_pid"
+LOCAL_RANK_CONF = "spark.riskframe.localRankThreshold"
+
+
+def local_rank_threshold(spark) -> int:
+    """Largest group (rows after pre-aggregation) ranked inside a single task."""
+    return int(spark.conf.get(LOCAL_RANK_CONF, "1000000"))
 
 
 def _cum_name(s: str) -> str:
@@ -97,12 +108,18 @@ def running_totals(
     within: Sequence[str] = (),
     descending: bool = False,
     num_partitions: int | None = None,
+    local_limit: int | None = None,
 ) -> DataFrame:
     """Inclusive running sums of ``sums`` in ``order_by`` order inside each ``within`` group.
 
     ``df`` must hold one row per (within, order_by); pre-aggregate ties first so
     tied keys move together. Adds ``_cum_<s>`` (running sum) and ``_tot_<s>``
     (group total) for every ``s`` in ``sums``. Sum columns must be non-null.
+
+    Groups whose (pre-aggregated) size is checked to be at most ``local_limit``
+    rows (default ``spark.riskframe.localRankThreshold``, 1,000,000) use a
+    window per group; larger inputs take the distributed range-partitioned
+    scan. ``local_limit=0`` forces the distributed scan.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -111,6 +128,20 @@ def running_totals(
     order_cols = [F.col(c).desc() if descending else F.col(c).asc() for c in order_by]
     keys = [F.col(c).asc() for c in within] + order_cols
 
+    limit = local_rank_threshold(spark) if local_limit is None else local_limit
+    if limit > 0:
+        # size check (one small job): rows of the largest group after pre-aggregation
+        biggest = df.groupBy(*within).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+        if biggest <= limit:
+            # every group fits one task: a window per group, no sampling or materialisation
+            w = Window.partitionBy(*within).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+            w_all = Window.partitionBy(*within)
+            return df.select(
+                *[F.col(c) for c in df.columns],
+                *[F.sum(s).over(w).alias(_cum_name(s)) for s in sums],
+                *[F.sum(s).over(w_all).alias(_tot_name(s)) for s in sums],
+            )
+
     ranged = df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
     fields = list(df.schema.fields) + [T.StructField(PID, T.IntegerType(), False)]
     for s in sums:
@@ -144,6 +175,7 @@ def exact_quantiles(
     within: Sequence[str] = (),
     names: Sequence[str] | None = None,
     weight: str | None = None,
+    local_limit: int | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles of the non-null ``value`` per group.
 
@@ -157,7 +189,7 @@ def exact_quantiles(
     base = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
     w_expr = F.sum(F.col(weight)).cast("bigint") if weight else F.count(F.lit(1))
     counts = base.groupBy(*within, value).agg(w_expr.alias("_w"))
-    ranked = running_totals(counts, [value], ["_w"], within)
+    ranked = running_totals(counts, [value], ["_w"], within, local_limit=local_limit)
     cum, n = F.col(_cum_name("_w")), F.col(_tot_name("_w"))
     first_rank = cum - F.col("_w")  # 0-based rank of the first copy of this value
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,6 +89,81 @@ def histogram(df: DataFrame, column: str, bins: int = 50, lo: float | None = Non
     )
 
 
+class PairwiseMoments:
+    """Pairwise-complete sums of centred columns: for every pair (a, b), over the rows
+    where both are non-NULL: n, sum a, sum a^2, sum a*b (shifted by the column means)."""
+
+    def __init__(self, cols, mu, n, sa, saa, sab):
+        self.cols, self.mu, self.n, self.sa, self.saa, self.sab = cols, mu, n, sa, saa, sab
+        self.ix = {c: i for i, c in enumerate(cols)}
+
+    def corr(self, a: str, b: str) -> float | None:
+        i, j = self.ix[a], self.ix[b]
+        n, sa, sb = self.n[i, j], self.sa[i, j], self.sa[j, i]
+        num = n * self.sab[i, j] - sa * sb
+        den = (n * self.saa[i, j] - sa * sa) * (n * self.saa[j, i] - sb * sb)
+        if n < 2:
+            return None
+        return float(num / np.sqrt(den)) if den > 0 else float("nan")
+
+    def slope_intercept(self, y: str, x: str) -> tuple[float | None, float | None]:
+        """Least-squares y = a + b x over rows where both are present."""
+        i, j = self.ix[y], self.ix[x]
+        n, sy, sx = self.n[i, j], self.sa[i, j], self.sa[j, i]
+        sxx, sxy = self.saa[j, i], self.sab[i, j]
+        den = n * sxx - sx * sx
+        if n < 2 or den <= 0:
+            return None, None
+        b = (n * sxy - sx * sy) / den
+        a = (sy - b * sx) / n + self.mu[i] - b * self.mu[j]
+        return float(b), float(a)
+
+
+def _pairwise_partials(cols: list[str], mu: np.ndarray):
+    p = len(cols)
+
+    def run(batches):
+        import pandas as pd
+
+        acc = np.zeros((4, p, p))
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = pdf[cols].to_numpy(dtype=float) - mu
+            m = (~np.isnan(x)).astype(float)
+            x0 = np.where(m > 0, x, 0.0)
+            acc[0] += m.T @ m
+            acc[1] += x0.T @ m
+            acc[2] += (x0 * x0).T @ m
+            acc[3] += x0.T @ x0
+        yield pd.DataFrame({"k": np.arange(4 * p * p, dtype=np.int64), "v": acc.ravel()})
+
+    return run
+
+
+def pairwise_moments(df: DataFrame, cols: Sequence[str]) -> PairwiseMoments:
+    """One aggregate for the column means, one Arrow pass for the pairwise sums.
+
+    Every task reduces its rows to 4 p x p blocks with NumPy; a ``groupBy`` sums
+    the blocks, so 4 p^2 numbers reach the driver whatever the row count.
+    Centring by the column means keeps the sums well conditioned.
+    """
+    from pyspark.sql import types as T
+
+    cols = list(cols)
+    data = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    row = data.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    mu = np.array([row[c] if row[c] is not None else 0.0 for c in cols])
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.DoubleType())])
+    sums = data.mapInPandas(_pairwise_partials(cols, mu), schema).groupBy("k").agg(F.sum("v").alias("v")).collect()
+    p = len(cols)
+    flat = np.zeros(4 * p * p)
+    for r in sums:
+        flat[r["k"]] = r["v"]
+    blocks = flat.reshape(4, p, p)
+    return PairwiseMoments(cols, mu, blocks[0], blocks[1], blocks[2], blocks[3])
+
+
 def _pairs(cols: Sequence[str]):
     cols = list(cols)
     return [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
@@ -99,11 +175,13 @@ def _pair_table(wide: DataFrame, pairs, name: str) -> DataFrame:
 
 
 def missing_correlation(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame:
-    """Pearson correlation of the 0/1 NULL indicators, every pair, one aggregate."""
-    pairs = _pairs(columns)
-    ind = {c: F.col(c).isNull().cast("double") for c in columns}
-    wide = df.agg(*[F.corr(ind[a], ind[b]).alias(f"{a}__{b}") for a, b in pairs])
-    return _pair_table(wide, pairs, "corr").select("var_a", "var_b", F.round("corr", digits).alias("corr"))
+    """Pearson correlation of the 0/1 NULL indicators, every pair, one pass."""
+    ind = df.select(*[F.col(c).isNull().cast("double").alias(c) for c in columns])
+    pm = pairwise_moments(ind, columns)
+    rows = [(a, b, pm.corr(a, b)) for a, b in _pairs(columns)]
+    return df.sparkSession.createDataFrame(rows, "var_a string, var_b string, corr double").select(
+        "var_a", "var_b", F.round("corr", digits).alias("corr")
+    )
 
 
 def co_missing_rate(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -128,44 +206,34 @@ def target_by_category(df: DataFrame, category: str, target: str = C.TARGET, top
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame:
     """Pairwise-complete Pearson correlation for every pair of columns (upper triangle)."""
-    pairs = _pairs(columns)
-    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}") for a, b in pairs])
-    return _pair_table(wide, pairs, "corr").select("var_a", "var_b", F.round("corr", digits).alias("corr"))
+    pm = pairwise_moments(df, columns)
+    rows = [(a, b, pm.corr(a, b)) for a, b in _pairs(columns)]
+    return df.sparkSession.createDataFrame(rows, "var_a string, var_b string, corr double").select(
+        "var_a", "var_b", F.round("corr", digits).alias("corr")
+    )
 
 
 def correlation_with_target(df: DataFrame, columns: Sequence[str], target: str = C.TARGET, top: int | None = None, log_target: bool = False, digits: int = 6) -> DataFrame:
     """r(x, y) per feature (and r(x, log y)), strongest first; ``top`` keeps a top-k."""
-    t = F.col(target)
-    aggs = [F.corr(F.col(c).cast("double"), t).alias(f"{c}__r") for c in columns]
-    if log_target:
-        aggs += [F.corr(F.col(c).cast("double"), F.log(t)).alias(f"{c}__rl") for c in columns]
-    wide = df.agg(*aggs)
-    parts = []
-    for c in columns:
-        f = [F.lit(c).alias("feature"), F.col(f"{c}__r").alias("r_target")]
-        if log_target:
-            f.append(F.col(f"{c}__rl").alias("r_log_target"))
-        parts.append(F.struct(*f))
-    long = wide.select(F.explode(F.array(*parts)).alias("s")).select("s.*")
-    cols = [F.col("feature"), F.round("r_target", digits).alias("r_target")]
+    cols = list(columns)
+    data = df.select(*cols, F.col(target).alias("_y"), *([F.log(F.col(target)).alias("_ly")] if log_target else []))
+    pm = pairwise_moments(data, [*cols, "_y", *(["_ly"] if log_target else [])])
+    rows = [(c, pm.corr(c, "_y"), pm.corr(c, "_ly") if log_target else None) for c in cols]
+    out = df.sparkSession.createDataFrame(rows, "feature string, r_target double, r_log_target double")
+    sel = [F.col("feature"), F.round("r_target", digits).alias("r_target")]
     if log_target:
-        cols.append(F.round("r_log_target", digits).alias("r_log_target"))
-    out = long.select(*cols, F.abs("r_target").alias("_abs")).orderBy(F.col("_abs").desc(), F.col("feature"))
-    if top:
-        out = out.limit(top)
-    return out.drop("_abs")
+        sel.append(F.round("r_log_target", digits).alias("r_log_target"))
+    out = out.select(*sel).orderBy(F.abs(F.col("r_target")).desc(), F.col("feature"))
+    return out.limit(top) if top else out
 
 
 def linear_trend(df: DataFrame, columns: Sequence[str], target: str = C.TARGET, digits: int = 6) -> DataFrame:
     """Degree-1 least-squares fit of the target on each feature (rows complete in both)."""
-    t = F.col(target)
-    aggs = []
-    for c in columns:
-        aggs += [F.regr_slope(t, F.col(c)).alias(f"{c}__s"), F.regr_intercept(t, F.col(c)).alias(f"{c}__i")]
-    wide = df.agg(*aggs)
-    parts = [F.struct(F.lit(c).alias("feature"), F.col(f"{c}__s").alias("slope"), F.col(f"{c}__i").alias("intercept")) for c in columns]
-    long = wide.select(F.explode(F.array(*parts)).alias("s")).select("s.*")
-    return long.select("feature", F.round("slope", digits).alias("slope"), F.round("intercept", digits).alias("intercept"))
+    cols = list(columns)
+    pm = pairwise_moments(df.select(*cols, F.col(target).alias("_y")), [*cols, "_y"])
+    rows = [(c, *pm.slope_intercept("_y", c)) for c in cols]
+    out = df.sparkSession.createDataFrame(rows, "feature string, slope double, intercept double")
+    return out.select("feature", F.round("slope", digits).alias("slope"), F.round("intercept", digits).alias("intercept"))
 
 
 def split_medians(df: DataFrame, columns: Sequence[str], split: str = C.SPLIT, a: str = C.TRAIN, b: str = C.TEST) -> DataFrame:

@@ -8,12 +8,17 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "riskframe") -> SparkSession:
-    """Local session used by tests and the bench (a cluster brings its own)."""
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "riskframe", max_partition_bytes: str = "8m") -> SparkSession:
+    """Local session used by tests and the bench (a cluster brings its own).
+
+    Small input splits so an 8-core machine gets several scan tasks on the
+    small test files; a cluster keeps its own (e.g. 128m) split size.
+    """
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.sql.files.maxPartitionBytes", max_partition_bytes)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -72,4 +77,4 @@ def materialize(df, name: str):
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
