@@ -53,7 +53,7 @@ class _PrepParams(Params):
         super().__init__()
         self._setDefault(
             imputeStrategy="median", outlierFactor=3.0, topN=25, addMissingFlags=True, targetEncode=True,
-            smoothing=10.0, labelCol=C.TARGET, numericCols=list(C.NUMERIC), categoryCol="x9", maxMapCategories=100000,
+            smoothing=10.0, labelCol=C.TARGET, numericCols=list(C.NUMERIC), categoryCol="x9", maxMapCategories=10000,
         )
 
 

@@ -107,6 +107,19 @@ FROM lng l JOIN q ON l.feature = q.feature WHERE l.value IS NOT NULL GROUP BY l.
 """
 
 
+@register(
+    "outlier_mask",
+    S.with_(
+        S.clean_cte(),
+        "q AS (SELECT quantile_cont(x10, [0.25e0, 0.75e0]) AS qs FROM clean)",
+    )
+    + """SELECT id, x10 < qs[1] - 3.0e0 * (qs[2] - qs[1]) OR x10 > qs[2] + 3.0e0 * (qs[2] - qs[1]) AS is_outlier FROM clean, q""",
+)
+def q_outlier_mask(spark, sf):
+    """A3: row-level IQR x 3 outlier flag of one column (NULL stays NULL)."""
+    return Q.outlier_mask(clean(spark, sf).select(C.ID, "x10"), "x10").select(C.ID, "is_outlier")
+
+
 @register("outlier_summary", _OUTLIER_SQL)
 def q_outlier_summary(spark, sf):
     return Q.outlier_summary(clean(spark, sf), NUM, 3.0)

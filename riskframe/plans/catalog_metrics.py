@@ -156,3 +156,31 @@ def q_compute_metrics(spark, sf):
 )
 def q_model_ranking(spark, sf):
     return M.rank_models(M.metrics_report(predictions(spark, sf, ("lin_a", "lin_b"))))
+
+
+# Stability of the scores themselves, TRAIN -> TEST, for every scorer at once
+_sp_ctes, _sp_tab = S.psi_ctes(
+    S.union_all([f"SELECT '{m}' AS feature, {SCORERS[m][1]} AS value FROM applicants WHERE base = 'TRAIN'" for m in ("lin_a", "lin_b")]),
+    S.union_all([f"SELECT '{m}' AS feature, {SCORERS[m][1]} AS value FROM applicants WHERE base = 'TEST'" for m in ("lin_a", "lin_b")]),
+    prefix="sp",
+)
+
+
+@register("score_psi", S.with_(*_sp_ctes) + f"SELECT feature, psi, {S.psi_status()} AS status, n_bins_used FROM {_sp_tab}")
+def q_score_psi(spark, sf):
+    from ..operators import stability as ST
+
+    a = base(spark, sf).select(C.SPLIT, *[SCORERS[m][0]().alias(m) for m in ("lin_a", "lin_b")])
+    return ST.psi_by_feature(a.where(F.col(C.SPLIT) == C.TRAIN), a.where(F.col(C.SPLIT) == C.TEST), ["lin_a", "lin_b"])
+
+
+@register("report_csv", _report_sql())
+def q_report_csv(spark, sf):
+    """The model report written as one CSV file and read back with its schema."""
+    from ..session import scratch_path
+    from ..sources.tables import write_report
+
+    rep = M.metrics_report(predictions(spark, sf, ("lin_a", "lin_b")))
+    path = scratch_path(spark, "report")
+    write_report(rep, path)
+    return spark.read.schema(rep.schema).option("header", True).csv(path)

@@ -144,6 +144,10 @@ def _drift_sql():
         "trl AS (SELECT DISTINCT coalesce(x9, 'DESCONOCIDO') AS level FROM applicants WHERE base = 'TRAIN')",
         f"pr AS (SELECT base, target AS y, {lin} AS p FROM applicants)",
         "rm AS (SELECT base, sqrt(avg((y - p) * (y - p))) AS rmse FROM pr GROUP BY base)",
+        "med AS (SELECT base, quantile_cont(y, 0.5e0) AS med FROM pr GROUP BY base)",
+        "gg AS (SELECT pr.base, p, sum(CAST(y > med AS BIGINT)) AS pos, sum(1 - CAST(y > med AS BIGINT)) AS neg FROM pr JOIN med ON pr.base = med.base GROUP BY pr.base, p)",
+        "gc AS (SELECT base, pos, neg, sum(neg) OVER (PARTITION BY base ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cn FROM gg)",
+        "gini AS (SELECT base, CASE WHEN sum(pos) = 0 OR sum(neg) = 0 THEN 0.0e0 ELSE 2.0e0 * sum(pos * (cn - neg / 2.0e0)) / (sum(pos) * sum(neg)) - 1.0e0 END AS gini FROM gc GROUP BY base)",
         "rules AS ("
         + S.union_all(
             [
@@ -153,6 +157,7 @@ def _drift_sql():
                 "SELECT 'new_category_share_pct', 100.0e0 * count_if(coalesce(a.x9, 'DESCONOCIDO') NOT IN (SELECT level FROM trl)) / count(*), 1.0e0 FROM applicants a WHERE base = 'TEST'",
                 "SELECT 'target_mean_shift_pct', 100.0e0 * abs(avg(target) FILTER (WHERE base = 'TEST') - avg(target) FILTER (WHERE base = 'TRAIN')) / avg(target) FILTER (WHERE base = 'TRAIN'), 10.0e0 FROM applicants",
                 "SELECT 'rmse_increase_pct', 100.0e0 * (max(rmse) FILTER (WHERE base = 'TEST') - max(rmse) FILTER (WHERE base = 'TRAIN')) / max(rmse) FILTER (WHERE base = 'TRAIN'), 10.0e0 FROM rm",
+                "SELECT 'gini_drop_pts', 100.0e0 * (max(gini) FILTER (WHERE base = 'TRAIN') - max(gini) FILTER (WHERE base = 'TEST')), 5.0e0 FROM gini",
             ]
         )
         + ")",
@@ -185,7 +190,11 @@ def q_drift_rules(spark, sf):
         F.max(F.when(F.col(C.SPLIT) == C.TEST, F.col("rmse"))).alias("te"), F.max(F.when(F.col(C.SPLIT) == C.TRAIN, F.col("rmse"))).alias("tr")
     )
     r6 = rm.select(F.lit("rmse_increase_pct").alias("rule"), (F.lit(100.0) * (F.col("te") - F.col("tr")) / F.col("tr")).alias("value"), F.lit(10.0).alias("threshold"))
-    rules = r1.unionByName(r2).unionByName(r3).unionByName(r4).unionByName(r5).unionByName(r6)
+    gi = M.gini(pr, C.TARGET, "pred", [C.SPLIT]).agg(
+        F.max(F.when(F.col(C.SPLIT) == C.TRAIN, F.col("gini"))).alias("tr"), F.max(F.when(F.col(C.SPLIT) == C.TEST, F.col("gini"))).alias("te")
+    )
+    r7 = gi.select(F.lit("gini_drop_pts").alias("rule"), (F.lit(100.0) * (F.col("tr") - F.col("te"))).alias("value"), F.lit(5.0).alias("threshold"))
+    rules = r1.unionByName(r2).unionByName(r3).unionByName(r4).unionByName(r5).unionByName(r6).unionByName(r7)
     trig = F.when(F.col("rule") == "features_psi_above_010", F.col("value") >= F.col("threshold")).otherwise(F.col("value") > F.col("threshold"))
     return rules.select("rule", F.round("value", 4).alias("value"), "threshold", trig.alias("triggered"))
 

@@ -25,16 +25,11 @@ def _cents(c):
     return F.round(c * F.lit(100.0)).cast("bigint")
 
 
-def applicants(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
-    """Batch applicants; pass a streaming ``orders`` frame to get them as a stream
-    (stream-static joins against the aggregated line items and the customers)."""
+def line_item_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-order aggregate of the line items (partial aggregation before the shuffle on the order key)."""
     li = read_table(spark, sf_dir, "lineitem")
-    orders = (orders if orders is not None else read_table(spark, sf_dir, "orders")).select("o_orderkey", "o_custkey", "o_totalprice")
-    customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-
     ext_c = _cents(F.col("l_extendedprice"))
-    per_order = li.groupBy("l_orderkey").agg(
+    return li.groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.sum(ext_c * _cents(F.lit(1.0) - F.col("l_discount"))).alias("tgt_c"),
         F.sum("l_quantity").alias("qty"),
@@ -45,6 +40,16 @@ def applicants(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None
         F.min("l_quantity").alias("min_q"),
         F.max("l_quantity").alias("max_q"),
     )
+
+
+def applicants(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None, per_order: DataFrame | None = None) -> DataFrame:
+    """Batch applicants; pass a streaming ``orders`` frame to get them as a stream
+    (stream-static joins against the aggregated line items and the customers).
+    ``per_order`` lets a caller pass an already written line-item summary."""
+    orders = (orders if orders is not None else read_table(spark, sf_dir, "orders")).select("o_orderkey", "o_custkey", "o_totalprice")
+    customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    per_order = per_order if per_order is not None else line_item_summary(spark, sf_dir)
     j = (
         orders.join(per_order, orders.o_orderkey == per_order.l_orderkey)
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))

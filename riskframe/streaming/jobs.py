@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..operators.stability import histogram_bin
-from ..session import ensure_checkpoint_dir
-from ..sources.applicants import applicants
+from ..session import ensure_checkpoint_dir, materialize
+from ..sources.applicants import applicants, line_item_summary
 from ..sources.tables import read_table
 
 
@@ -48,7 +48,10 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1
 def stream_score(spark: SparkSession, sf_dir: str, prep_model, predictor: Column, digits: int = 2) -> DataFrame:
     """O3: score applicants arriving as an orders stream; returns the sink contents."""
     run = _run_dir(spark, "score")
-    apps = applicants(spark, sf_dir, orders=stream_table(spark, sf_dir, "orders"))
+    # the static side of a stream-static join is re-evaluated every micro-batch:
+    # write the line-item summary once and join each batch against the written table
+    summary = materialize(line_item_summary(spark, sf_dir), "line_item_summary")
+    apps = applicants(spark, sf_dir, orders=stream_table(spark, sf_dir, "orders"), per_order=summary)
     scored = prep_model.transform(apps).select(C.ID, F.round(predictor, digits).alias("prediction"))
     q = (
         scored.writeStream.format("parquet").outputMode("append")
