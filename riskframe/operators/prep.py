@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import columns as X
+from ..session import materialize
 from ..sources.tables import load_params, save_params
 from .prefix import exact_quantiles, unpivot
 from .quality import replace_sentinels
@@ -107,24 +108,31 @@ class RiskPreprocessor(Estimator, _PrepParams):
             ratio = imp.select((F.col("x2") / F.greatest(F.coalesce(F.nullif(F.col("x1"), F.lit(0.0)), F.lit(float(den_fill))), F.lit(1.0))).alias("r"))
             ratio_cap = exact_quantiles(ratio, "r", [0.99], names=["p99"]).first()["p99"]
 
-        # levels of the ordinal feature present in TRAIN (at most len(levels) + 1 rows)
-        x8_levels = []
+        # one small aggregate: levels of the ordinal feature present in TRAIN (a set of at
+        # most len(levels) + 1 values, bounded by construction) and the global target mean
+        use_target = bool(label) and label in df.columns and cat in df.columns and g(self.targetEncode)
+        small = []
         if "x8" in num:
             lv = F.coalesce(F.col("x8"), F.lit(float(fill["x8"])))
-            x8_levels = sorted(r[0] for r in clean.select(X.ordinal_level(lv, C.X8_LEVELS).alias("l")).distinct().collect())
+            small.append(F.collect_set(X.ordinal_level(lv, C.X8_LEVELS)).alias("levels"))
+        if use_target:
+            small.append(F.avg(label).alias("mean"))
+        row = clean.agg(*small).first() if small else None
+        x8_levels = sorted(row["levels"]) if "x8" in num else []
 
         # category encoding
         encoding, enc_df, global_mean, top_levels = None, None, 0.0, None
         if cat in df.columns:
             key = F.coalesce(F.col(cat), F.lit(C.UNKNOWN_CATEGORY)).alias("level")
-            if label and label in df.columns and g(self.targetEncode):
-                global_mean = df.agg(F.avg(label)).first()[0]
+            if use_target:
+                global_mean = row["mean"]
                 enc_df = target_encoding_table(df, cat, label, float(g(self.smoothing)), global_mean)
-                n_levels = enc_df.count()
-                if n_levels <= g(self.maxMapCategories):
-                    encoding = {r["level"]: r["encoding"] for r in enc_df.select("level", "encoding").collect()}
+                limit = g(self.maxMapCategories)
+                head = enc_df.select("level", "encoding").limit(limit + 1).collect()  # size check and values in one job
+                if len(head) <= limit:
+                    encoding = {r["level"]: r["encoding"] for r in head}
                 else:
-                    enc_df = enc_df.checkpoint()
+                    enc_df = materialize(enc_df, "target_encoding")
             else:
                 n_top = g(self.topN)
                 counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
