@@ -43,6 +43,20 @@ def q_score_batch(spark, sf):
     return _scored(spark, sf)
 
 
+def _fixed_sql_float32():
+    out = S.lit(FIXED_INTERCEPT)
+    for f, b in FIXED_COEFS.items():
+        out = f"({out} + {S.lit(b)} * CAST(CAST({f} AS FLOAT) AS DOUBLE))"
+    return f"exp({out})"
+
+
+@register("score_float32", PREP + f"SELECT id, round({_fixed_sql_float32()}, 2) AS prediction FROM feat")
+def q_score_float32(spark, sf):
+    """P20: features narrowed to 32-bit floats before the scorer (as the serving path did)."""
+    a, prep = fitted(spark, sf)
+    return SC.score(a, prep, SC.linear_log_predictor(FIXED_COEFS, FIXED_INTERCEPT), float32=True)
+
+
 @register("stream_score", SCORE_SQL)
 def q_stream_score(spark, sf):
     """O3: the same scores produced by a streaming query over the orders file."""
