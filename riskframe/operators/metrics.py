@@ -43,10 +43,13 @@ def _medians(df: DataFrame, y: str, by: Sequence[str]) -> DataFrame:
     return exact_quantiles(df, y, [0.5], within=list(by), names=["_med"]).drop("n")
 
 
-def gini(df: DataFrame, y: str, yhat: str, by: Sequence[str] = ()) -> DataFrame:
-    """M2: label = y > median(y) (strict); 2 AUC - 1 with ties counted half; one class -> 0."""
+def gini(df: DataFrame, y: str, yhat: str, by: Sequence[str] = (), medians: DataFrame | None = None) -> DataFrame:
+    """M2: label = y > median(y) (strict); 2 AUC - 1 with ties counted half; one class -> 0.
+
+    ``medians`` (by..., _med) may be passed when already computed for the same groups.
+    """
     by = list(by)
-    lab = _attach(df.select(*by, y, yhat), _medians(df, y, by), by)
+    lab = _attach(df.select(*by, y, yhat), medians if medians is not None else _medians(df, y, by), by)
     pos = (F.col(y) > F.col("_med")).cast("long")
     g = lab.groupBy(*by, yhat).agg(F.sum(pos).alias("_pos"), F.sum(F.lit(1) - pos).alias("_neg"))
     r = running_totals(g, [yhat], ["_neg"], within=by)
@@ -59,13 +62,13 @@ def gini(df: DataFrame, y: str, yhat: str, by: Sequence[str] = ()) -> DataFrame:
     return a.select(*by, F.when((F.col("_P") == 0) | (F.col("_N") == 0), F.lit(0.0)).otherwise(val).alias("gini"))
 
 
-def ks(df: DataFrame, y: str, yhat: str, by: Sequence[str] = (), strict: bool = False) -> DataFrame:
+def ks(df: DataFrame, y: str, yhat: str, by: Sequence[str] = (), strict: bool = False, medians: DataFrame | None = None) -> DataFrame:
     """M3/M4: max |cum good share - cum bad share| by descending score.
 
     good = y >= median (``strict``: y > median). An empty class gives 0.
     """
     by = list(by)
-    lab = _attach(df.select(*by, y, yhat), _medians(df, y, by), by)
+    lab = _attach(df.select(*by, y, yhat), medians if medians is not None else _medians(df, y, by), by)
     good = ((F.col(y) > F.col("_med")) if strict else (F.col(y) >= F.col("_med"))).cast("long")
     g = lab.groupBy(*by, yhat).agg(F.sum(good).alias("_gd"), F.sum(F.lit(1) - good).alias("_bd"))
     r = running_totals(g, [yhat], ["_gd", "_bd"], within=by, descending=True)
@@ -117,9 +120,11 @@ def decile_bias(df: DataFrame, y: str, yhat: str, label: str, by: Sequence[str]
 def evaluate(df: DataFrame, y: str, yhat: str, by: Sequence[str] = (), ks_strict: bool = False) -> DataFrame:
     """M1 + M2 + M3 per group, unrounded."""
     by = list(by)
+    med = _medians(df, y, by)  # one exact-median pass shared by Gini and KS
     reg = regression_metrics(df, y, yhat, by)
-    out = reg.join(gini(df, y, yhat, by), by) if by else reg.crossJoin(gini(df, y, yhat, by))
-    k = ks(df, y, yhat, by, strict=ks_strict)
+    g = gini(df, y, yhat, by, medians=med)
+    out = reg.join(g, by) if by else reg.crossJoin(g)
+    k = ks(df, y, yhat, by, strict=ks_strict, medians=med)
     return out.join(k, by) if by else out.crossJoin(k)
 
 
@@ -143,7 +148,8 @@ def compute_metrics(df: DataFrame, y: str, yhat: str, label: str, by: Sequence[s
     """M8: R2 (4 dp), RMSE and MAE (0 dp), MAPE without zero guard (2 dp), KS with y > median, Gini (4 dp)."""
     by = list(by)
     reg = regression_metrics(df, y, yhat, by, guard_zero=False)
-    g, k = gini(df, y, yhat, by), ks(df, y, yhat, by, strict=True)
+    med = _medians(df, y, by)
+    g, k = gini(df, y, yhat, by, medians=med), ks(df, y, yhat, by, strict=True, medians=med)
     j = (lambda a, b: a.join(b, by)) if by else (lambda a, b: a.crossJoin(b))
     out = j(j(reg, g), k)
     return out.select(
