@@ -52,7 +52,7 @@ def gini(df: DataFrame, y: str, yhat: str, by: Sequence[str] = (), medians: Data
     lab = _attach(df.select(*by, y, yhat), medians if medians is not None else _medians(df, y, by), by)
     pos = (F.col(y) > F.col("_med")).cast("long")
     g = lab.groupBy(*by, yhat).agg(F.sum(pos).alias("_pos"), F.sum(F.lit(1) - pos).alias("_neg"))
-    r = running_totals(g, [yhat], ["_neg"], within=by)
+    r = running_totals(g, [yhat], ["_neg"], within=by, bound_from=df.select(*by))
     a = r.groupBy(*by).agg(
         F.sum(F.col("_pos") * (F.col(_cum_name("_neg")) - F.col("_neg") / F.lit(2.0))).alias("_s"),
         F.sum("_pos").alias("_P"),
@@ -71,7 +71,7 @@ def ks(df: DataFrame, y: str, yhat: str, by: Sequence[str] = (), strict: bool =
     lab = _attach(df.select(*by, y, yhat), medians if medians is not None else _medians(df, y, by), by)
     good = ((F.col(y) > F.col("_med")) if strict else (F.col(y) >= F.col("_med"))).cast("long")
     g = lab.groupBy(*by, yhat).agg(F.sum(good).alias("_gd"), F.sum(F.lit(1) - good).alias("_bd"))
-    r = running_totals(g, [yhat], ["_gd", "_bd"], within=by, descending=True)
+    r = running_totals(g, [yhat], ["_gd", "_bd"], within=by, descending=True, bound_from=df.select(*by))
     gap = F.abs(F.try_divide(F.col(_cum_name("_gd")), F.col(_tot_name("_gd"))) - F.try_divide(F.col(_cum_name("_bd")), F.col(_tot_name("_bd"))))
     a = r.groupBy(*by).agg(F.max(gap).alias("_ks"), F.max(_tot_name("_gd")).alias("_g"), F.max(_tot_name("_bd")).alias("_b"))
     return a.select(*by, F.when((F.col("_g") == 0) | (F.col("_b") == 0), F.lit(0.0)).otherwise(F.col("_ks")).alias("ks"))

@@ -109,6 +109,7 @@ def running_totals(
     descending: bool = False,
     num_partitions: int | None = None,
     local_limit: int | None = None,
+    bound_from: DataFrame | None = None,
 ) -> DataFrame:
     """Inclusive running sums of ``sums`` in ``order_by`` order inside each ``within`` group.
 
@@ -119,7 +120,10 @@ def running_totals(
     Groups whose (pre-aggregated) size is checked to be at most ``local_limit``
     rows (default ``spark.riskframe.localRankThreshold``, 1,000,000) use a
     window per group; larger inputs take the distributed range-partitioned
-    scan. ``local_limit=0`` forces the distributed scan.
+    scan. ``local_limit=0`` forces the distributed scan. ``bound_from`` is the
+    raw input the caller pre-aggregated: its rows per group bound the size from
+    above, and counting them is a partial aggregate whose shuffle carries only
+    the group keys (the pre-aggregation itself is not computed twice).
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -131,7 +135,8 @@ def running_totals(
     limit = local_rank_threshold(spark) if local_limit is None else local_limit
     if limit > 0:
         # size check (one small job): rows of the largest group after pre-aggregation
-        biggest = df.groupBy(*within).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+        source = bound_from if bound_from is not None else df
+        biggest = source.groupBy(*within).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
         if biggest <= limit:
             # every group fits one task: a window per group, no sampling or materialisation
             w = Window.partitionBy(*within).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
@@ -189,7 +194,7 @@ def exact_quantiles(
     base = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
     w_expr = F.sum(F.col(weight)).cast("bigint") if weight else F.count(F.lit(1))
     counts = base.groupBy(*within, value).agg(w_expr.alias("_w"))
-    ranked = running_totals(counts, [value], ["_w"], within, local_limit=local_limit)
+    ranked = running_totals(counts, [value], ["_w"], within, local_limit=local_limit, bound_from=None if weight else base)
     cum, n = F.col(_cum_name("_w")), F.col(_tot_name("_w"))
     first_rank = cum - F.col("_w")  # 0-based rank of the first copy of this value
 

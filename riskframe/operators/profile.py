@@ -287,7 +287,7 @@ def ks_two_sample(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
     counts = v.groupBy(value).agg(
         F.count_if(F.col(group) == F.lit(a)).alias("ca"), F.count_if(F.col(group) == F.lit(b)).alias("cb")
     )
-    ranked = running_totals(counts, [value], ["ca", "cb"])
+    ranked = running_totals(counts, [value], ["ca", "cb"], bound_from=v)
     gap = F.abs(F.col(_cum_name("ca")) / F.col(_tot_name("ca")) - F.col(_cum_name("cb")) / F.col(_tot_name("cb")))
     d = ranked.agg(F.max(gap).alias("d"), F.max(_tot_name("ca")).alias("n_a"), F.max(_tot_name("cb")).alias("n_b"))
     en = F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b"))
