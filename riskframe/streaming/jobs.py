@@ -5,8 +5,9 @@ stream-static joins (aggregated line items, customers, nations), is scored
 by the fitted preprocessing model and a predictor column (stateless), and is
 appended to a Parquet sink. ``availableNow`` drains what is there and stops.
 
-O8: events arrive as a file stream; event time is cast to TIMESTAMP (a
-TIMESTAMP_NTZ column cannot carry a watermark), counts per (7-day window, bin)
+O8: events arrive as a file stream; a TIMESTAMP copy of the event time carries
+the watermark (a TIMESTAMP_NTZ column cannot), windows are cut on the
+wall-clock value (independent of the session time zone), counts per (7-day window, bin)
 are kept as streaming state, and every micro-batch recomputes PSI per window
 against the reference edges inside ``foreachBatch``, overwriting the PSI
 table. State size is windows x bins, bounded by the time span, not the rows.
@@ -73,9 +74,13 @@ def stream_drift(spark: SparkSession, sf_dir: str, edges: list[float], value: st
     run = _run_dir(spark, "drift")
     ev = stream_table(spark, sf_dir, "events")
     e = F.array(*[F.lit(float(x)) for x in edges])
-    timed = ev.select(F.col(ts).cast("timestamp").alias("_ts"), F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    # windows are cut on the wall-clock (TIMESTAMP_NTZ) value, so labels do not depend on the
+    # session time zone; the watermark needs a TIMESTAMP, hence the cast copy
+    timed = ev.select(
+        F.col(ts).alias("_ts"), F.col(ts).cast("timestamp").alias("_wts"), F.col(value).cast("double").alias("_v")
+    ).where(F.col("_v").isNotNull())
     counts = (
-        timed.withWatermark("_ts", watermark)
+        timed.withWatermark("_wts", watermark)
         .groupBy(F.window("_ts", window).alias("w"))
         .agg(F.count(F.lit(1)).alias("n_cur"), *[F.count_if(histogram_bin(F.col("_v"), e) == F.lit(b)).alias(f"c{b}") for b in range(len(edges) - 1)])
     )
