@@ -163,7 +163,7 @@ def rank_models(report: DataFrame, metric: str = "test_r2", model: str = "model"
     from pyspark.sql import Window
 
     w = Window.orderBy(F.col(metric).desc(), F.col(model))
-    return report.select(F.rank().over(w).alias("rank"), model, metric)
+    return report.select(F.rank().over(w).cast("bigint").alias("rank"), model, metric)
 
 
 def overfit_gap(train_value, test_value, kind: str = "r2"):

@@ -240,4 +240,4 @@ def qcut_bucket(x: Column, edges: Column) -> Column:
     the lowest value: bucket = 1 + number of interior edges strictly below x.
     """
     interior = F.slice(edges, 2, F.greatest(F.size(edges) - F.lit(2), F.lit(0)))
-    return F.greatest(F.lit(1), F.size(F.filter(interior, lambda e: e < x)) + F.lit(1))
+    return F.greatest(F.lit(1), F.size(F.filter(interior, lambda e: e < x)) + F.lit(1)).cast("bigint")

@@ -48,7 +48,7 @@ def clean(spark, sf):
 # ---------------------------------------------------------------------------
 
 def _count_sql(table, conds, n_name, pct_name):
-    parts = [f"SELECT '{c}' AS variable, count_if({cond}) AS {n_name}, count(*) AS _n FROM {table}" for c, cond in conds.items()]
+    parts = [f"SELECT '{c}' AS variable, CAST(count_if({cond}) AS BIGINT) AS {n_name}, count(*) AS _n FROM {table}" for c, cond in conds.items()]
     return (
         f"SELECT variable, {n_name}, round(100.0e0 * {n_name} / _n, 2) AS {pct_name} FROM ({S.union_all(parts)}) WHERE {n_name} > 0"
     )
@@ -100,7 +100,7 @@ _OUTLIER_SQL = S.with_(
     "q AS (SELECT feature, quantile_cont(value, [0.01e0, 0.25e0, 0.75e0, 0.99e0]) AS qs, max(value) AS mx FROM lng WHERE value IS NOT NULL GROUP BY feature)",
 ) + """
 SELECT l.feature AS variable,
-  count_if(l.value < q.qs[2] - 3.0e0 * (q.qs[3] - q.qs[2]) OR l.value > q.qs[3] + 3.0e0 * (q.qs[3] - q.qs[2])) AS n_outliers,
+  CAST(count_if(l.value < q.qs[2] - 3.0e0 * (q.qs[3] - q.qs[2]) OR l.value > q.qs[3] + 3.0e0 * (q.qs[3] - q.qs[2])) AS BIGINT) AS n_outliers,
   round(100.0e0 * count_if(l.value < q.qs[2] - 3.0e0 * (q.qs[3] - q.qs[2]) OR l.value > q.qs[3] + 3.0e0 * (q.qs[3] - q.qs[2])) / count(*), 2) AS pct_outliers,
   round(max(q.qs[1]), 6) AS p1, round(max(q.qs[4]), 6) AS p99, round(max(q.mx), 6) AS max
 FROM lng l JOIN q ON l.feature = q.feature WHERE l.value IS NOT NULL GROUP BY l.feature
@@ -134,7 +134,7 @@ def q_outlier_summary(spark, sf):
         "b AS (SELECT feature, qs[1] - 3.0e0 * (qs[2] - qs[1]) AS lower, qs[2] + 3.0e0 * (qs[2] - qs[1]) AS upper FROM q)",
     )
     + """
-SELECT l.feature AS variable, count(*) AS n, count_if(l.value < b.lower OR l.value > b.upper) AS n_affected,
+SELECT l.feature AS variable, count(*) AS n, CAST(count_if(l.value < b.lower OR l.value > b.upper) AS BIGINT) AS n_affected,
   round(100.0e0 * count_if(l.value < b.lower OR l.value > b.upper) / count(*), 2) AS pct_affected,
   round(max(b.lower), 6) AS lower, round(max(b.upper), 6) AS upper
 FROM lng l JOIN b ON l.feature = b.feature WHERE l.value IS NOT NULL GROUP BY l.feature
@@ -147,7 +147,7 @@ def q_capping_impact(spark, sf):
 
 def _impact_sql(masks, n_label, a_label):
     parts = [
-        f"""SELECT '{c}' AS variable, count_if({mf}) AS {n_label}, avg(CASE WHEN {mf} THEN target END) AS a,
+        f"""SELECT '{c}' AS variable, CAST(count_if({mf}) AS BIGINT) AS {n_label}, avg(CASE WHEN {mf} THEN target END) AS a,
                 avg(CASE WHEN {mr} THEN target END) AS b FROM applicants"""
         for c, (mf, mr) in masks.items()
     ]
@@ -203,7 +203,7 @@ def q_positivity(spark, sf):
 
 @register(
     "real_nulls",
-    S.with_() + S.union_all([f"SELECT '{c}' AS variable, count_if({c} IS NULL) AS n_real_null FROM applicants" for c in ["x3", "x4"]]),
+    S.with_() + S.union_all([f"SELECT '{c}' AS variable, CAST(count_if({c} IS NULL) AS BIGINT) AS n_real_null FROM applicants" for c in ["x3", "x4"]]),
 )
 def q_real_nulls(spark, sf):
     return Q.real_nulls(applicants(spark, sf))
@@ -393,7 +393,7 @@ def q_split_medians(spark, sf):
         "vc AS (SELECT x9, count(*) AS n FROM applicants WHERE x9 IS NOT NULL GROUP BY x9)",
         "cum AS (SELECT n, 100.0e0 * sum(n) OVER (ORDER BY n DESC, x9 DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(n) OVER () AS cp FROM vc)",
     )
-    + "SELECT count(*) AS n_categories, count_if(cp <= 80.0e0) + 1 AS n_for_80, count_if(cp <= 95.0e0) + 1 AS n_for_95 FROM cum",
+    + "SELECT count(*) AS n_categories, CAST(count_if(cp <= 80.0e0) + 1 AS BIGINT) AS n_for_80, CAST(count_if(cp <= 95.0e0) + 1 AS BIGINT) AS n_for_95 FROM cum",
 )
 def q_pareto(spark, sf):
     return PR.pareto(base(spark, sf), "x9")
@@ -404,7 +404,7 @@ def q_pareto(spark, sf):
     S.with_(
         "v AS (SELECT target, count_if(base = 'TRAIN') AS ca, count_if(base = 'TEST') AS cb FROM applicants WHERE target IS NOT NULL GROUP BY target)",
         "c AS (SELECT sum(ca) OVER w / sum(ca) OVER () AS fa, sum(cb) OVER w / sum(cb) OVER () AS fb, sum(ca) OVER () AS n_a, sum(cb) OVER () AS n_b FROM v WINDOW w AS (ORDER BY target ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))",
-        "d AS (SELECT max(n_a) AS n_a, max(n_b) AS n_b, max(abs(fa - fb)) AS d FROM c)",
+        "d AS (SELECT CAST(max(n_a) AS BIGINT) AS n_a, CAST(max(n_b) AS BIGINT) AS n_b, max(abs(fa - fb)) AS d FROM c)",
     )
     + """SELECT n_a, n_b, round(d, 6) AS ks_stat,
        round(CASE WHEN sqrt(n_a * n_b / (n_a + n_b)) * d <= 0 THEN 1.0e0 ELSE least(1.0e0, greatest(0.0e0, 2.0e0 *

@@ -126,7 +126,7 @@ def q_qq_grid(spark, sf):
     a = applicants(spark, sf).select(F.log(C.TARGET).alias("ly"))
     names = [f"q{i}" for i in range(1, _QQ_M + 1)]
     q = exact_quantiles(a, "ly", _QQ_P, names=names)
-    parts = [F.struct(F.lit(i).alias("i"), F.lit(float(t)).alias("theoretical"), F.col(n).alias("sample")) for i, (t, n) in enumerate(zip(_QQ_T, names), 1)]
+    parts = [F.struct(F.lit(i).cast("bigint").alias("i"), F.lit(float(t)).alias("theoretical"), F.col(n).alias("sample")) for i, (t, n) in enumerate(zip(_QQ_T, names), 1)]
     long = q.select(F.explode(F.array(*parts)).alias("s")).select("s.*")
     return long.select("i", F.round("theoretical", 6).alias("theoretical"), F.round("sample", 6).alias("sample"))
 

@@ -68,7 +68,7 @@ def q_vif_pair(spark, sf):
 @register(
     "ols_single",
     S.with_("d AS (SELECT x10 AS x, ln(target) AS y FROM applicants)")
-    + """SELECT regr_count(y, x) AS n, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(regr_r2(y, x), 6) AS r2,
+    + """SELECT CAST(regr_count(y, x) AS BIGINT) AS n, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(regr_r2(y, x), 6) AS r2,
          round(sqrt((regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / regr_sxx(y, x)) / (regr_count(y, x) - 2) / regr_sxx(y, x)), 6) AS se_slope,
          round(regr_slope(y, x) / sqrt((regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / regr_sxx(y, x)) / (regr_count(y, x) - 2) / regr_sxx(y, x)), 4) AS t_slope
          FROM d""",

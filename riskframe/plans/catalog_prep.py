@@ -264,7 +264,7 @@ _CODES = " + ".join(f"count_if({c} IN (-9999998.0e0, -99000720.0e0, -99000792.0e
     "prep_checks",
     PREP
     + f"""SELECT null_cells, sentinel_cells, flags_match_codes, null_cells = 0 AND sentinel_cells = 0 AND flags_match_codes AS passed
-        FROM (SELECT ({_NULLS}) AS null_cells, ({_CODES}) AS sentinel_cells, ({_FLAG_MATCH}) AS flags_match_codes FROM feat)""",
+        FROM (SELECT CAST({_NULLS} AS BIGINT) AS null_cells, CAST({_CODES} AS BIGINT) AS sentinel_cells, ({_FLAG_MATCH}) AS flags_match_codes FROM feat)""",
 )
 def q_prep_checks(spark, sf):
     a, m = fitted(spark, sf)
