@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions import columns as X
 from ..operators import metrics as M
 from ..operators import scoring as SC
 from ..operators import stability as ST
-from ..operators.prefix import exact_quantiles, unpivot
+from ..operators.prefix import unpivot
 from ..sources.applicants import applicants
 from ..sources.tables import read_table
 from ..streaming import jobs as STR

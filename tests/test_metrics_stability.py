@@ -3,7 +3,6 @@
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from riskframe.operators import metrics as M
 from riskframe.operators import stability as ST
