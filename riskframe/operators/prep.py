@@ -161,7 +161,21 @@ class RiskPreprocessorModel(Model, _PrepParams):
         self.encoding_df = encoding_df
 
     # ---- feature expressions -------------------------------------------------
-    def feature_columns(self, df: DataFrame) -> list[tuple[str, Column]]:
+    def base_columns(self, df: DataFrame) -> list[tuple[str, Column]]:
+        """First projection: every numeric value with codes nulled (``_c_*``) and then
+        clipped and imputed (``_v_*``). Features refer to these columns, so each nested
+        expression is generated once instead of once per feature that uses it."""
+        s = self.state
+        out = []
+        for c in [c for c in s["numeric"] if c in df.columns]:
+            codes = [C.SENTINEL] + ([C.SENTINEL_COLS[c]] if c in C.SENTINEL_COLS and C.SENTINEL_COLS[c] != C.SENTINEL else [])
+            cleaned = X.null_if_sentinel(c, codes)
+            lo, hi = s["bounds"][c]
+            out.append((f"_c_{c}", cleaned))
+            out.append((f"_v_{c}", F.coalesce(X.clip(cleaned, lo, hi), F.lit(float(s["fill"][c])))))
+        return out
+
+    def feature_columns(self, df: DataFrame, staged: bool = False) -> list[tuple[str, Column]]:
         s = self.state
         num = [c for c in s["numeric"] if c in df.columns]
         out: list[tuple[str, Column]] = []
@@ -171,21 +185,18 @@ class RiskPreprocessorModel(Model, _PrepParams):
             for c, code in C.SENTINEL_COLS.items():
                 if c in df.columns:
                     out.append((f"{c}{C.SENTINEL_FLAG_SUFFIX}", X.sentinel_flag(c, code)))
-        # 2. codes -> NULL
-        clean = {}
+        # 2. codes -> NULL (as columns of the first projection when staged)
+        clean, v = {}, {}
+        base = dict(self.base_columns(df))
         for c in num:
-            codes = [C.SENTINEL] + ([C.SENTINEL_COLS[c]] if c in C.SENTINEL_COLS and C.SENTINEL_COLS[c] != C.SENTINEL else [])
-            clean[c] = X.null_if_sentinel(c, codes)
+            clean[c] = F.col(f"_c_{c}") if staged else base[f"_c_{c}"]
+            v[c] = F.col(f"_v_{c}") if staged else base[f"_v_{c}"]
         # 3. null flags
         if flags:
             for c in C.NULL_FLAG_COLS:
                 if c in clean:
                     out.append((f"{c}{C.NULL_FLAG_SUFFIX}", X.null_flag(clean[c])))
         # 4-5. clip with TRAIN fences, then impute with TRAIN statistics (from unclipped values)
-        v = {}
-        for c in num:
-            lo, hi = s["bounds"][c]
-            v[c] = F.coalesce(X.clip(clean[c], lo, hi), F.lit(float(s["fill"][c])))
         for c in num:
             if c != "x8":
                 out.append((c, v[c]))
@@ -244,18 +255,19 @@ class RiskPreprocessorModel(Model, _PrepParams):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         s = self.state
-        feats = self.feature_columns(df)
+        feats = self.feature_columns(df, staged=True)
         names = {n for n, _ in feats}
         drop = set(s["numeric"]) | {s["category"]}
         keep = [F.col(c) for c in df.columns if c not in drop and c not in names]
+        staged = df.select("*", *[e.alias(n) for n, e in self.base_columns(df)])
         cat = s["category"]
         if s.get("encoding") is None and self.encoding_df is not None and cat in df.columns:
             enc = self.encoding_df.select(F.col("level").alias("_lvl"), F.col("encoding").alias("_enc"))
-            keyed = df.withColumn("_lvl", F.coalesce(F.col(cat), F.lit(C.UNKNOWN_CATEGORY)))
+            keyed = staged.withColumn("_lvl", F.coalesce(F.col(cat), F.lit(C.UNKNOWN_CATEGORY)))
             joined = keyed.join(enc, "_lvl", "left")  # AQE broadcasts it when small at run time
             feats = feats + [(f"{cat}_target_enc", F.coalesce(F.col("_enc"), F.lit(float(s["global_mean"]))))]
             return joined.select(*keep, *[c.alias(n) for n, c in feats])
-        return df.select(*keep, *[c.alias(n) for n, c in feats])
+        return staged.select(*keep, *[c.alias(n) for n, c in feats])
 
     def feature_names(self, df: DataFrame) -> list[str]:
         names = [n for n, _ in self.feature_columns(df)]
