@@ -42,3 +42,18 @@ def test_stream_score_equals_batch(spark):
     a = sorted(map(tuple, qs["stream_score"](spark, SF).collect()))
     b = sorted(map(tuple, qs["score_batch"](spark, SF).collect()))
     assert a == b
+
+
+@pytest.mark.parametrize("name", ["psi_features", "gini", "pareto", "durbin_watson"])
+def test_distributed_ranking_path_same_result(spark, name):
+    """The range-partitioned ranking path gives the same answer as the per-group window path."""
+    from riskframe.operators.prefix import LOCAL_RANK_CONF
+
+    q = E.queries()[name]
+    default = sorted(map(tuple, q(spark, SF).collect()))
+    spark.conf.set(LOCAL_RANK_CONF, "0")
+    try:
+        forced = sorted(map(tuple, q(spark, SF).collect()))
+    finally:
+        spark.conf.unset(LOCAL_RANK_CONF)
+    assert forced == default
