@@ -179,35 +179,39 @@ def _drift_sql():
 
 @register("drift_rules", _drift_sql())
 def q_drift_rules(spark, sf):
+    """Documented monitoring rules, TRAIN -> TEST, as (rule, value, threshold, triggered) rows."""
     c = clean(spark, sf)
-    tr, te = c.where(F.col(C.SPLIT) == C.TRAIN), c.where(F.col(C.SPLIT) == C.TEST)
-    psi = ST.psi_by_feature(tr, te, NUM)
-    r1 = psi.agg(F.lit("features_psi_above_010").alias("rule"), F.count_if(F.col("psi") > 0.1).cast("double").alias("value"), F.lit(2.0).alias("threshold"))
-    r2 = psi.agg(F.lit("max_feature_psi").alias("rule"), F.max("psi").alias("value"), F.lit(0.1).alias("threshold"))
     is_te, is_tr = F.col(C.SPLIT) == C.TEST, F.col(C.SPLIT) == C.TRAIN
-    nr = c.agg(*[
-        (F.lit(100.0) * F.count_if(F.col(x).isNull() & is_te) / F.count_if(is_te) - F.lit(100.0) * F.count_if(F.col(x).isNull() & is_tr) / F.count_if(is_tr)).alias(x)
-        for x in NUM
-    ])
-    r3 = nr.select(F.lit("null_rate_increase_pts").alias("rule"), F.greatest(*[F.col(x) for x in NUM]).alias("value"), F.lit(5.0).alias("threshold"))
-    a = base(spark, sf)
+    psi = ST.psi_by_feature(c.where(is_tr), c.where(is_te), NUM)
+    p = psi.agg(F.count_if(F.col("psi") > 0.1).cast("double").alias("above"), F.max("psi").alias("mx"))
+    r12 = p.select(F.explode(F.array(
+        F.struct(F.lit("features_psi_above_010").alias("rule"), F.col("above").alias("value"), F.lit(2.0).alias("threshold")),
+        F.struct(F.lit("max_feature_psi").alias("rule"), F.col("mx").alias("value"), F.lit(0.1).alias("threshold")),
+    )).alias("s")).select("s.*")
+    # one pass for the null-rate, target-shift and error rules (conditional aggregates per split)
+    e2 = F.pow(F.col(C.TARGET) - SCORERS["lin_a"][0](), 2)
+    one = c.agg(
+        *[(F.lit(100.0) * F.count_if(F.col(x).isNull() & is_te) / F.count_if(is_te) - F.lit(100.0) * F.count_if(F.col(x).isNull() & is_tr) / F.count_if(is_tr)).alias(x)
+          for x in NUM],
+        F.avg(F.when(is_te, F.col(C.TARGET))).alias("t_te"), F.avg(F.when(is_tr, F.col(C.TARGET))).alias("t_tr"),
+        F.sqrt(F.avg(F.when(is_te, e2))).alias("r_te"), F.sqrt(F.avg(F.when(is_tr, e2))).alias("r_tr"),
+    )
+    r356 = one.select(F.explode(F.array(
+        F.struct(F.lit("null_rate_increase_pts").alias("rule"), F.greatest(*[F.col(x) for x in NUM]).alias("value"), F.lit(5.0).alias("threshold")),
+        F.struct(F.lit("target_mean_shift_pct").alias("rule"), (F.lit(100.0) * F.abs(F.col("t_te") - F.col("t_tr")) / F.col("t_tr")).alias("value"), F.lit(10.0).alias("threshold")),
+        F.struct(F.lit("rmse_increase_pct").alias("rule"), (F.lit(100.0) * (F.col("r_te") - F.col("r_tr")) / F.col("r_tr")).alias("value"), F.lit(10.0).alias("threshold")),
+    )).alias("s")).select("s.*")
     lvl = F.coalesce(F.col("x9"), F.lit(C.UNKNOWN_CATEGORY))
-    train_levels = a.where(is_tr).select(lvl.alias("level")).distinct()
-    test = a.where(is_te).select(lvl.alias("level"))
+    train_levels = c.where(is_tr).select(lvl.alias("level")).distinct()
+    test = c.where(is_te).select(lvl.alias("level"))
     new = test.join(train_levels, "level", "left_anti").agg(F.count(F.lit(1)).alias("k")).crossJoin(test.agg(F.count(F.lit(1)).alias("n")))
     r4 = new.select(F.lit("new_category_share_pct").alias("rule"), (F.lit(100.0) * F.col("k") / F.col("n")).alias("value"), F.lit(1.0).alias("threshold"))
-    tm = a.agg(F.avg(F.when(is_te, F.col(C.TARGET))).alias("te"), F.avg(F.when(is_tr, F.col(C.TARGET))).alias("tr"))
-    r5 = tm.select(F.lit("target_mean_shift_pct").alias("rule"), (F.lit(100.0) * F.abs(F.col("te") - F.col("tr")) / F.col("tr")).alias("value"), F.lit(10.0).alias("threshold"))
-    pr = a.select(C.SPLIT, C.TARGET, SCORERS["lin_a"][0]().alias("pred"))
-    rm = M.regression_metrics(pr, C.TARGET, "pred", [C.SPLIT]).agg(
-        F.max(F.when(F.col(C.SPLIT) == C.TEST, F.col("rmse"))).alias("te"), F.max(F.when(F.col(C.SPLIT) == C.TRAIN, F.col("rmse"))).alias("tr")
-    )
-    r6 = rm.select(F.lit("rmse_increase_pct").alias("rule"), (F.lit(100.0) * (F.col("te") - F.col("tr")) / F.col("tr")).alias("value"), F.lit(10.0).alias("threshold"))
+    pr = c.select(C.SPLIT, C.TARGET, SCORERS["lin_a"][0]().alias("pred"))
     gi = M.gini(pr, C.TARGET, "pred", [C.SPLIT]).agg(
         F.max(F.when(F.col(C.SPLIT) == C.TRAIN, F.col("gini"))).alias("tr"), F.max(F.when(F.col(C.SPLIT) == C.TEST, F.col("gini"))).alias("te")
     )
     r7 = gi.select(F.lit("gini_drop_pts").alias("rule"), (F.lit(100.0) * (F.col("tr") - F.col("te"))).alias("value"), F.lit(5.0).alias("threshold"))
-    rules = r1.unionByName(r2).unionByName(r3).unionByName(r4).unionByName(r5).unionByName(r6).unionByName(r7)
+    rules = r12.unionByName(r356).unionByName(r4).unionByName(r7)
     trig = F.when(F.col("rule") == "features_psi_above_010", F.col("value") >= F.col("threshold")).otherwise(F.col("value") > F.col("threshold"))
     return rules.select("rule", F.round("value", 4).alias("value"), "threshold", trig.alias("triggered"))
 
