@@ -42,16 +42,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
-    if current:
-        return current
+    # the session setting wins: it names the shared folder of the cluster
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if conf_dir:
-        sc.setCheckpointDir(conf_dir)
+        if not current or conf_dir.rstrip("/").split(":")[-1] not in current:
+            sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir()
+    if current:
+        return current
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before running riskframe jobs")
+    # (spark.checkpoint.dir is a static setting: only the context's folder can be set at run time)
     path = tempfile.mkdtemp(prefix="riskframe-ckpt-", dir=os.environ.get("RISKFRAME_SCRATCH", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
 
