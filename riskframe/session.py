@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -34,12 +35,36 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per context.
+
+    Spark's own file service hands a small zip of the sources to every executor,
+    so a job started from any folder, or on a cluster without the package
+    installed, finds the functions that its tasks run.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_riskframe_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(root):  # inside a worker's zip there is nothing to ship
+        target = os.path.join(tempfile.mkdtemp(prefix="riskframe-src-"), "riskframe.zip")
+        with zipfile.ZipFile(target, "w") as z:
+            for folder, _, names in os.walk(root):
+                for n in sorted(names):
+                    if n.endswith(".py"):
+                        full = os.path.join(folder, n)
+                        z.write(full, os.path.join("riskframe", os.path.relpath(full, root)))
+        sc.addPyFile(target)
+    sc._riskframe_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder must be set by the deployment (a shared file
     system); only a local-mode session without one gets a fresh local folder.
     """
+    ship_package(spark)
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     # the session setting wins: it names the shared folder of the cluster
