@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, html_extract, lm, packing, pii, quality, simhash, toxicity
+from . import decontam, exact_dedup, html_extract, line_dedup, lm, packing, pii, quality, simhash, toxicity
 from .common import ID, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_personal_data")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+@_query("op9_line_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
