@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -58,6 +59,12 @@ def ship_package(spark: SparkSession) -> None:
     sc._riskframe_shipped = True
 
 
+def _inside(path: str, folder: str) -> bool:
+    """Whether ``path`` is ``folder`` or below it (as whole path parts, ``file:/x`` and ``file:///x`` alike)."""
+    plain = [re.sub("^file:/+", "/", p).rstrip("/") for p in (path, folder)]
+    return plain[0] == plain[1] or plain[0].startswith(plain[1] + "/")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
@@ -66,12 +73,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     ship_package(spark)
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
     # the session setting wins: it names the shared folder of the cluster
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
     if conf_dir:
-        if not current or conf_dir.rstrip("/").split(":")[-1] not in current:
-            sc.setCheckpointDir(conf_dir)
+        if getattr(sc, "_riskframe_checkpoint", None) != (conf_dir, current):
+            if not current or not _inside(current, conf_dir):
+                sc.setCheckpointDir(conf_dir)
+            sc._riskframe_checkpoint = (conf_dir, sc.getCheckpointDir())
         return sc.getCheckpointDir()
     if current:
         return current
@@ -105,3 +114,12 @@ def materialize(df, name: str):
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this session wrote under its checkpoint folder (any file system Spark knows)."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    if not path.startswith(f"{base}/scratch/"):
+        raise ValueError(f"{path} is not a scratch folder of this session")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
