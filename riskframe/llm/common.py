@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, ship_package, shuffle_partitions  # noqa: F401  (re-exported for the operators)
+from ..session import materialize, remove_folder, scratch_path, ship_package, shuffle_partitions  # noqa: F401  (re-exported for the operators)
 
 ID, TEXT = "doc_id", "text"
 

@@ -6,7 +6,7 @@ maximisation on held-out counts: one seventh of the training texts is scored wit
 the counts of the rest. The final counts are those of all training texts.
 
 The counts cover the whole corpus and are never collected. Texts are cut into
-blocks of about two million tokens. A block sends its distinct words and bigrams
+blocks of about a million tokens. A block sends its distinct words and bigrams
 with their counts, packed as sorted arrays, to the tasks that own their hash
 ranges; those add up the blocks and answer with the totals of exactly the keys
 that each block asked about. A block then meets its answers and looks up its
@@ -25,13 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, TEXT, crc_part, materialize, slices, texts
+from .common import ID, TEXT, crc_part, materialize, remove_folder, scratch_path, slices, texts
 from .text import word_bytes
 
 FOLDS, HELD_OUT, DEV = 7, 2, 3
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 20
 RANGE_BYTES = 12 << 20  # bytes of text that one hash range of keys answers for
 BUCKETS = 24
+SPARE_BITS = 17  # bits of a bigram hash beyond log2(tokens): one bigram in 2^17 meets another one
 STEPS = 4  # quantisation of log2 ratios in the held-out table, per octave
 ABSENT = -(1 << 20)
 
@@ -52,11 +53,31 @@ def _unpack(buf: bytes, n: int, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, n).T).view(dtype).ravel()
 
 
-def _sorted_keys(tokens: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _pack_keys(keys: np.ndarray, bits: int) -> bytes:
+    """Sorted keys of one range: which ones are bigrams, then the gaps of the words and of the bigrams (without the dropped bits)."""
+    pair = (keys & np.uint64(1)) == 1
+    drop = np.uint64(63 - min(bits, 62))
+    words, pairs = keys[~pair], keys[pair] >> drop
+    flags, *parts = np.packbits(pair).tobytes(), *(_pack(np.diff(k, prepend=np.uint64(0))) for k in (words, pairs))
+    return b"".join([len(parts[0]).to_bytes(8, "little"), flags, *parts])
+
+
+def _unpack_keys(buf: bytes, n: int, bits: int) -> np.ndarray:
+    size, n_flags = int.from_bytes(buf[:8], "little"), (n + 7) // 8
+    pair = np.unpackbits(np.frombuffer(buf, dtype=np.uint8, count=n_flags, offset=8), count=n).astype(bool)
+    drop, at = np.uint64(63 - min(bits, 62)), 8 + n_flags
+    keys, n_pairs = np.empty(n, dtype=np.uint64), int(pair.sum())
+    keys[~pair] = np.cumsum(_unpack(buf[at : at + size], n - n_pairs, "<u8"), dtype=np.uint64)
+    keys[pair] = np.cumsum(_unpack(buf[at + size :], n_pairs, "<u8"), dtype=np.uint64) << drop | np.uint64(1)
+    return keys
+
+
+def _sorted_keys(tokens: np.ndarray, starts: np.ndarray, hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(sorted keys, key position of each word, key position of each token's bigram, context of each token).
 
-    Keys are the word hashes (lowest bit 0) and bigram hashes (lowest bit 1). The
-    context of a text's first token is the end token, local word 0.
+    Keys are the 63-bit word hashes (lowest bit 0) and the bigram hashes, of which
+    the highest ``bits`` bits are kept (lowest bit 1). The context of a text's
+    first token is the end token, local word 0.
     """
     context = np.empty_like(tokens)
     context[1:] = tokens[:-1]
@@ -68,11 +89,9 @@ def _sorted_keys(tokens: np.ndarray, starts: np.ndarray, hashes: np.ndarray) ->
         mixed ^= mixed >> np.uint64(29)
         mixed *= np.uint64(0x94D049BB133111EB)
         mixed ^= mixed >> np.uint64(32)
-    keys = np.concatenate([hashes & ~np.uint64(1), mixed | np.uint64(1)])
-    order = np.argsort(keys, kind="stable")
-    place = np.empty(len(keys), dtype=np.int64)
-    place[order] = np.arange(len(keys))
-    return keys[order], place[: len(hashes)], place[len(hashes) :][which], context
+    drop = np.uint64(63 - min(bits, 62))
+    keys, place = np.unique(np.concatenate([hashes & ~np.uint64(1), mixed >> drop << drop | np.uint64(1)]), return_inverse=True)
+    return keys, place[: len(hashes)], place[len(hashes) :][which], context
 
 
 class _Block:
@@ -88,13 +107,13 @@ class _Block:
         self.docs.append((doc, fold, np.array(ids, dtype=np.uint32)))
         self.tokens += len(ids)
 
-    def rows(self, block: int, ranges: int) -> Iterator[pa.RecordBatch]:
+    def rows(self, block: int, ranges: int, bits: int) -> Iterator[pa.RecordBatch]:
         tokens = np.concatenate([t for _, _, t in self.docs])
         sizes = np.array([len(t) for _, _, t in self.docs], dtype=np.int64)
         starts = np.cumsum(sizes) - sizes
         folds = np.array([f for _, f, _ in self.docs], dtype=np.uint8)
         hashes = np.array([xxhash.xxh64_intdigest(w) for w in self.words], dtype=np.uint64)
-        keys, of_word, of_pair, _ = _sorted_keys(tokens, starts, hashes)
+        keys, of_word, of_pair, context = _sorted_keys(tokens, starts, hashes, bits)
         fold = np.repeat(folds, sizes)
         counts = []
         for use in (fold != HELD_OUT, fold == DEV):
@@ -104,11 +123,10 @@ class _Block:
         cuts = np.searchsorted(keys, _borders(ranges))
         cuts = np.concatenate([[0], cuts, [len(keys)]])
         parts = [(int(p), int(a), int(b)) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-        gaps = [np.concatenate([keys[a : a + 1], np.diff(keys[a:b])]) for _, a, b in parts]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(["keys"] * len(parts)), pa.array([block] * len(parts), pa.int64()), pa.array([p for p, _, _ in parts], pa.int64()),
-                pa.array([b - a for _, a, b in parts], pa.int64()), pa.array([_pack(g) for g in gaps], pa.binary()),
+                pa.array([b - a for _, a, b in parts], pa.int64()), pa.array([_pack_keys(keys[a:b], bits) for _, a, b in parts], pa.binary()),
                 pa.array([_pack(counts[0][a:b]) for _, a, b in parts], pa.binary()), pa.array([_pack(counts[1][a:b]) for _, a, b in parts], pa.binary()),
             ],
             names=_NAMES,
@@ -119,6 +137,11 @@ class _Block:
         docs = head + ids.tobytes() + null.tobytes() + folds.tobytes() + sizes.tobytes()
         row = ["texts", block, -1, len(tokens), docs, _pack(tokens), _pack(hashes)]
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _TYPES)], names=_NAMES)
+        mine = fold == DEV  # the held-out tokens by the places of their keys, for the mixture weights
+        if mine.any():
+            places = (of_word[tokens[mine]], of_word[context[mine]], of_pair[mine])
+            row = ["dev", block, -1, int(mine.sum()), *(_pack(p.astype(np.uint32)) for p in places)]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _TYPES)], names=_NAMES)
 
 
 _NAMES = ["kind", "block", "part", "n", "a", "b", "c"]
@@ -129,7 +152,7 @@ def _borders(ranges: int) -> np.ndarray:
     return np.array([(i << 64) // ranges for i in range(1, ranges)], dtype=np.uint64)
 
 
-def _count_blocks(docs: DataFrame, ranges: int, block_tokens: int) -> DataFrame:
+def _count_blocks(docs: DataFrame, ranges: int, block_tokens: int, bits: int) -> DataFrame:
     """(kind, block, part, n, a, b, c): packed keys with counts, and packed texts, of each block of (doc_id, text, fold)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,37 +164,39 @@ def _count_blocks(docs: DataFrame, ranges: int, block_tokens: int) -> DataFrame:
             for doc, text, fold in zip(*(c.to_pylist() for c in part.columns)):
                 block.add(doc, fold, text)
                 if block.tokens >= block_tokens:
-                    yield from block.rows(number, ranges)
+                    yield from block.rows(number, ranges, bits)
                     number, block = number + 1, _Block()
         if block.docs:
-            yield from block.rows(number, ranges)
+            yield from block.rows(number, ranges, bits)
 
     return docs.mapInArrow(run, _BLOCK)
 
 
-def _answer(group: pa.Table) -> pa.Table:
+def _answer(bits: int):
     """Totals of one hash range, for each block in the order of its own keys; one row of range sums."""
-    rows = group.to_pylist()
-    rows.sort(key=lambda r: r["block"])
-    keys = [np.cumsum(_unpack(r["a"], r["n"], "<u8")) for r in rows]
-    whole, back = np.unique(np.concatenate(keys), return_inverse=True)
-    total = []
-    for c in ("b", "c"):
-        sums = np.zeros(len(whole), dtype=np.int64)
-        at = 0
-        for r, k in zip(rows, keys):  # a block has a key once
-            sums[back[at : at + len(k)]] += _unpack(r[c], r["n"], "<u4")
-            at += len(k)
-        total.append(sums)
-    word = (whole & np.uint64(1)) == 0
-    sums = np.array([total[0][word].sum(), total[1][word].sum(), (total[0][word] > 0).sum()], dtype=np.int64)
-    out, at = [], 0
-    for r, k in zip(rows, keys):
-        mine = back[at : at + len(k)]
-        at += len(k)
-        out.append(["totals", r["block"], r["part"], r["n"], None, _pack(total[0][mine]), _pack(total[1][mine])])
-    out.append(["sums", -1, rows[0]["part"], 0, sums.tobytes(), None, None])
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], names=_NAMES)
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = sorted(group.to_pylist(), key=lambda r: r["block"])
+        keys = [_unpack_keys(r["a"], r["n"], bits) for r in rows]
+        whole, back = np.unique(np.concatenate(keys), return_inverse=True)
+        total = []
+        for c in ("b", "c"):
+            sums, at = np.zeros(len(whole), dtype=np.int64), 0
+            for r in rows:  # a block has a key once
+                sums[back[at : at + r["n"]]] += _unpack(r[c], r["n"], "<u4")
+                at += r["n"]
+            total.append(sums)
+        word = (whole & np.uint64(1)) == 0
+        sums = np.array([total[0][word].sum(), total[1][word].sum(), (total[0][word] > 0).sum()], dtype=np.int64)
+        out, at = [], 0
+        for r in rows:
+            mine = back[at : at + r["n"]]
+            at += r["n"]
+            out.append(["totals", r["block"], r["part"], r["n"], None, _pack(total[0][mine]), _pack(total[1][mine])])
+        out.append(["sums", -1, rows[0]["part"], 0, sums.tobytes(), None, None])
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], names=_NAMES)
+
+    return run
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
@@ -184,48 +209,59 @@ def _steps(ratio: np.ndarray) -> np.ndarray:
         return np.where(ratio > 0, np.rint(STEPS * np.log2(np.maximum(ratio, 1e-300))), ABSENT).astype(np.int64)
 
 
-_DOC = "doc_id long, fold int, n_tokens long, n_known long, base_score double, words binary, pairs binary, bucket long, two long, one long, n long"
-_DOC_NAMES = ["doc_id", "fold", "n_tokens", "n_known", "base_score", "words", "pairs", "bucket", "two", "one", "n"]
-_DOC_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+def _totals(rows: list[dict], column: str) -> np.ndarray:
+    """The totals of a block's keys, in key order."""
+    answers = sorted((r for r in rows if r["kind"] == "totals"), key=lambda r: r["part"])
+    return np.concatenate([_unpack(r[column], r["n"], "<i8") for r in answers])
 
 
-def _look_up(n_train: int, n_dev: int, n_words: int):
-    """A block with its answers -> a row per text (counts of its words and bigrams), and rows of the held-out table."""
+def _held_out_table(n_train: int, n_dev: int, n_words: int):
+    """A block's held-out tokens with its answers -> rows (bucket, two, one, n), by the counts of the other training texts."""
 
     def run(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
-        text = next(r for r in rows if r["kind"] == "texts")
-        answers = sorted((r for r in rows if r["kind"] == "totals"), key=lambda r: r["part"])
-        head = text["a"]
-        n_docs, n_tokens, n_local = np.frombuffer(head, dtype=np.int64, count=3).tolist()
-        at = 24
-        ids = np.frombuffer(head, dtype=np.int64, count=n_docs, offset=at)
-        null = np.frombuffer(head, dtype=np.uint8, count=n_docs, offset=at + 8 * n_docs)
-        folds = np.frombuffer(head, dtype=np.uint8, count=n_docs, offset=at + 9 * n_docs)
-        sizes = np.frombuffer(head, dtype=np.int64, count=n_docs, offset=at + 10 * n_docs)
-        tokens = _unpack(text["b"], n_tokens, "<u4")
-        hashes = _unpack(text["c"], n_local, "<u8")
-        starts = np.cumsum(sizes) - sizes
-        _, of_word, of_pair, context = _sorted_keys(tokens, starts, hashes)
-        train = np.concatenate([_unpack(r["b"], r["n"], "<i8") for r in answers])
-        dev = np.concatenate([_unpack(r["c"], r["n"], "<i8") for r in answers])
-        word, pair = train[of_word][tokens], train[of_pair]
-        base = np.log10((word + 1) / (n_train + (n_words + 1)))
-        known = np.add.reduceat((word > 0).astype(np.int64), starts)
-        total = np.add.reduceat(base, starts)
-        out = []
-        for i, (a, n) in enumerate(zip(starts.tolist(), sizes.tolist())):
-            out.append((None if null[i] else int(ids[i]), int(folds[i]), n, int(known[i]), float(total[i]), _pack(word[a : a + n].astype("<u8")), _pack(pair[a : a + n].astype("<u8")), None, None, None, None))
-        mine = np.repeat(folds, sizes) == DEV
-        if mine.any():  # held-out texts, with the counts of the others
-            rest = train - dev
-            w, v, p = rest[of_word][tokens[mine]], rest[of_word][context[mine]], rest[of_pair[mine]]
+        dev = next((r for r in rows if r["kind"] == "dev"), None)
+        cells, count = np.zeros((3, 0), dtype=np.int64), np.zeros(0, dtype=np.int64)
+        if dev:
+            rest = _totals(rows, "b") - _totals(rows, "c")
+            w, v, p = (rest[_unpack(dev[c], dev["n"], "<u4")] for c in "abc")
             floor = 1.0 / (n_words + 1)
             two = np.divide(p, v, out=np.zeros(len(p)), where=v > 0) / floor
             one = w / max(n_train - n_dev, 1) / floor
             cells, count = np.unique(np.stack([_bucket(v), _steps(two), _steps(one)]), axis=1, return_counts=True)
-            out += [(None, None, None, None, None, None, None, int(b), int(x), int(y), int(k)) for b, x, y, k in zip(*cells, count)]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _DOC_TYPES)], names=_DOC_NAMES)
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (*cells, count)], names=["bucket", "two", "one", "n"])
+
+    return run
+
+
+_SCORES = "doc_id long, fold int, n_tokens long, n_known long, base_score double, score double"
+
+
+def _score_block(n_train: int, n_words: int, weights: np.ndarray, bits: int):
+    """A block's texts with its answers -> a row per text."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        text = next(r for r in rows if r["kind"] == "texts")
+        head = text["a"]
+        n_docs, n_tokens, n_local = np.frombuffer(head, dtype=np.int64, count=3).tolist()
+        ids = np.frombuffer(head, dtype=np.int64, count=n_docs, offset=24)
+        null = np.frombuffer(head, dtype=np.uint8, count=n_docs, offset=24 + 8 * n_docs)
+        folds = np.frombuffer(head, dtype=np.uint8, count=n_docs, offset=24 + 9 * n_docs)
+        sizes = np.frombuffer(head, dtype=np.int64, count=n_docs, offset=24 + 10 * n_docs)
+        tokens, starts = _unpack(text["b"], n_tokens, "<u4"), np.cumsum(sizes) - sizes
+        _, of_word, of_pair, context = _sorted_keys(tokens, starts, _unpack(text["c"], n_local, "<u8"), bits)
+        train = _totals(rows, "b")
+        word, pair, before = train[of_word][tokens], train[of_pair], train[of_word][context]
+        base = np.log10((word + 1) / (n_train + (n_words + 1)))
+        mix = weights[_bucket(before)]
+        two = np.divide(pair, before, out=np.zeros(n_tokens), where=before > 0)
+        mixed = np.log10(mix[:, 0] / (n_words + 1) + mix[:, 1] * word / max(n_train, 1) + mix[:, 2] * two)
+        known, base, score = (np.add.reduceat(x, starts) for x in ((word > 0).astype(np.int64), base, mixed))
+        return pa.Table.from_arrays(
+            [pa.array(ids, pa.int64(), mask=null.astype(bool)), pa.array(folds.astype(np.int32)), pa.array(sizes), pa.array(known), pa.array(base), pa.array(score)],
+            names=["doc_id", "fold", "n_tokens", "n_known", "base_score", "score"],
+        )
 
     return run
 
@@ -271,30 +307,19 @@ def score_texts(docs: DataFrame, id_col: str = ID, text_col: str = TEXT, block_t
     Other columns are ignored; an empty table gives an empty result.
     """
     rows = texts(docs, id_col, text_col).select(ID, TEXT, crc_part(ID, FOLDS).cast("int").alias("fold"))
+    spark = docs.sparkSession
     size = rows.agg(F.sum(F.octet_length(TEXT))).first()[0] or 0
-    ranges = max(8, math.ceil(size / range_bytes))
-    blocks = materialize(_count_blocks(rows, ranges, block_tokens), "lm_blocks")
-    answers = materialize(blocks.where("kind = 'keys'").groupBy("part").applyInArrow(_answer, _BLOCK), "lm_totals")
+    ranges, bits = max(8, math.ceil(size / range_bytes)), min(62, math.ceil(math.log2(max(size, 2))) + SPARE_BITS - 2)
+    path = scratch_path(spark, "lm_blocks")
+    _count_blocks(rows, ranges, block_tokens, bits).write.partitionBy("kind").parquet(path)
+    blocks = spark.read.schema(_BLOCK).parquet(path).select(*_NAMES)
+    answers = materialize(blocks.where("kind = 'keys'").groupBy("part").applyInArrow(_answer(bits), _BLOCK), "lm_totals")
+    remove_folder(spark, f"{path}/kind=keys")
+    totals = answers.where("kind = 'totals'")
     sums = [np.frombuffer(r["a"], dtype=np.int64) for r in answers.where("kind = 'sums'").select("a").toLocalIterator()]
     n_train, n_dev, n_words = (int(x) for x in (np.sum(sums, axis=0) if sums else (0, 0, 0)))
-    met = blocks.where("kind = 'texts'").unionByName(answers.where("kind = 'totals'"))
-    looked = materialize(met.groupBy("block").applyInArrow(_look_up(n_train, n_dev, n_words), _DOC), "lm_counts")
-    cells = looked.where("bucket IS NOT NULL").groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
-    weights = learn_weights(sorted((r["bucket"], r["two"], r["one"], r["n"]) for r in cells.collect()))  # bounded: buckets x quantised ratios
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            scores = []
-            for n, words, pairs in zip(*(part.column(i).to_pylist() for i in (1, 2, 3))):
-                w, p = _unpack(words, n, "<u8").astype(np.float64), _unpack(pairs, n, "<u8").astype(np.float64)
-                v = np.empty(n)
-                v[1:] = w[:-1]
-                v[0] = w[-1]  # the context of the first token is the end token, which is also the last one
-                mix = weights[_bucket(v)]
-                two = np.divide(p, v, out=np.zeros(n), where=v > 0)
-                scores.append(float(np.log10(mix[:, 0] / (n_words + 1) + mix[:, 1] * w / max(n_train, 1) + mix[:, 2] * two).sum()))
-            yield pa.RecordBatch.from_arrays([part.column(0), *(part.column(i) for i in (4, 5, 6)), part.column(1), pa.array(scores, pa.float64())], ["doc_id", "fold", "n_known", "base_score", "n_tokens", "score"])
-
-    found = looked.where("bucket IS NULL").select(ID, "n_tokens", "words", "pairs", "fold", "n_known", "base_score")
-    out = found.mapInArrow(run, "doc_id long, fold int, n_known long, base_score double, n_tokens long, score double")
+    held_out = blocks.where("kind = 'dev'").unionByName(totals).groupBy("block").applyInArrow(_held_out_table(n_train, n_dev, n_words), "bucket long, two long, one long, n long")
+    cells = held_out.groupBy("bucket", "two", "one").agg(F.sum("n").alias("n")).collect()  # bounded: buckets x quantised ratios
+    weights = learn_weights(sorted((r["bucket"], r["two"], r["one"], r["n"]) for r in cells))
+    out = blocks.where("kind = 'texts'").unionByName(totals).groupBy("block").applyInArrow(_score_block(n_train, n_words, weights, bits), _SCORES)
     return out.select(ID, (F.col("fold") == HELD_OUT).alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
