@@ -39,7 +39,8 @@ class WordTokenizer:
     #: fixed value: the split that the fast way knows, as the vocabulary file states it
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     PLAIN = regex.compile("[\x21-\x7e\xa1-įı-ɏ]+")
-    KEEP = 200_000
+    KEEP = 300_000
+    ODD_SPACE = regex.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
     def __init__(self, json_text: str):
         import json
@@ -64,10 +65,14 @@ class WordTokenizer:
             shifted = iter(c for c in alphabet if ord(c) > 255)
             names = {b: chr(b) for b in printable}
             self.names = {b: names[b] if b in names else next(shifted) for b in range(256)}
+        # two generations of seen words: a full young one becomes the old one, so frequent words stay
         self.seen: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _ids(self, part: str) -> bytes:
-        if self.fast and self.PLAIN.fullmatch(part) and not any(m in part for m in self.marks):
+        if self.fast and part.isascii() and part.isalpha():
+            ids = [t.id for t in self.model.tokenize(part.lower())]
+        elif self.fast and self.PLAIN.fullmatch(part) and not any(m in part for m in self.marks):
             low, ids = unicodedata.normalize("NFC", part).lower(), []
             for piece in self.split.findall(low):
                 name = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.names)
@@ -76,23 +81,26 @@ class WordTokenizer:
             ids = self.full.encode(part, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
+    def _look(self, part: str) -> bytes:
+        ids = self.seen.get(part)
+        if ids is None:
+            ids = self.old.get(part)
+            if ids is None:
+                ids = self._ids(part)
+            if len(part) <= 64:
+                if len(self.seen) >= self.KEEP:
+                    self.seen, self.old = {}, self.seen
+                self.seen[part] = ids
+        return ids
+
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        seen = self.seen
-        parts = WORD.findall(text)
-        found = [seen.get(p) for p in parts]
+        # str.split() knows more kinds of white space than the words' definition
+        parts = WORD.findall(text) if self.ODD_SPACE.search(text) else text.split()
+        found = list(map(self.seen.get, parts))
         if None in found:
-            for i, ids in enumerate(found):
-                if ids is None:
-                    p = parts[i]
-                    ids = seen.get(p)
-                    if ids is None:
-                        ids = self._ids(p)
-                        if len(p) <= 64:
-                            if len(seen) >= self.KEEP:
-                                seen.clear()
-                            seen[p] = ids
-                    found[i] = ids
+            look = self._look
+            found = [look(p) if ids is None else ids for p, ids in zip(parts, found)]
         return b"".join(found)
 
 
