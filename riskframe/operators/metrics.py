@@ -3,7 +3,7 @@
 Every metric takes ``by`` grouping columns (e.g. model and split), so a long
 table of predictions for many models and splits is evaluated in one set of
 jobs, not a Python loop. Group counts are small by contract (models x
-splits); per-group scalars such as the median are broadcast to the rows.
+splits); per-group scalars such as the median are joined back null-safely.
 
 Rank metrics (Gini, KS) group by score first so tied scores move together,
 then take cumulative class counts with the distributed running totals; no
@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from .prefix import _cum_name, _tot_name, exact_quantiles, qcut_bucket, running_totals
+from .prefix import _cum_name, _tot_name, exact_quantiles, join_on, qcut_bucket, running_totals
 
 
 def _attach(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Join a one-row-per-group table to every row (broadcast: groups are few)."""
-    return df.join(F.broadcast(small), list(by)) if by else df.crossJoin(F.broadcast(small))
+    """Join a one-row-per-group table to every row, NULL groups included (AQE sizes the join at run time)."""
+    return join_on(df, small, by)
 
 
 def regression_metrics(df: DataFrame, y: str, yhat: str, by: Sequence[str] = (), guard_zero: bool = True) -> DataFrame:
@@ -52,7 +52,7 @@ def gini(df: DataFrame, y: str, yhat: str, by: Sequence[str] = (), medians: Data
     lab = _attach(df.select(*by, y, yhat), medians if medians is not None else _medians(df, y, by), by)
     pos = (F.col(y) > F.col("_med")).cast("long")
     g = lab.groupBy(*by, yhat).agg(F.sum(pos).alias("_pos"), F.sum(F.lit(1) - pos).alias("_neg"))
-    r = running_totals(g, [yhat], ["_neg"], within=by, bound_from=df.select(*by))
+    r = running_totals(g, [yhat], ["_neg"], within=by)
     a = r.groupBy(*by).agg(
         F.sum(F.col("_pos") * (F.col(_cum_name("_neg")) - F.col("_neg") / F.lit(2.0))).alias("_s"),
         F.sum("_pos").alias("_P"),
@@ -71,7 +71,7 @@ def ks(df: DataFrame, y: str, yhat: str, by: Sequence[str] = (), strict: bool =
     lab = _attach(df.select(*by, y, yhat), medians if medians is not None else _medians(df, y, by), by)
     good = ((F.col(y) > F.col("_med")) if strict else (F.col(y) >= F.col("_med"))).cast("long")
     g = lab.groupBy(*by, yhat).agg(F.sum(good).alias("_gd"), F.sum(F.lit(1) - good).alias("_bd"))
-    r = running_totals(g, [yhat], ["_gd", "_bd"], within=by, descending=True, bound_from=df.select(*by))
+    r = running_totals(g, [yhat], ["_gd", "_bd"], within=by, descending=True)
     gap = F.abs(F.try_divide(F.col(_cum_name("_gd")), F.col(_tot_name("_gd"))) - F.try_divide(F.col(_cum_name("_bd")), F.col(_tot_name("_bd"))))
     a = r.groupBy(*by).agg(F.max(gap).alias("_ks"), F.max(_tot_name("_gd")).alias("_g"), F.max(_tot_name("_bd")).alias("_b"))
     return a.select(*by, F.when((F.col("_g") == 0) | (F.col("_b") == 0), F.lit(0.0)).otherwise(F.col("_ks")).alias("ks"))
@@ -123,9 +123,8 @@ def evaluate(df: DataFrame, y: str, yhat: str, by: Sequence[str] = (), ks_strict
     med = _medians(df, y, by)  # one exact-median pass shared by Gini and KS
     reg = regression_metrics(df, y, yhat, by)
     g = gini(df, y, yhat, by, medians=med)
-    out = reg.join(g, by) if by else reg.crossJoin(g)
     k = ks(df, y, yhat, by, strict=ks_strict, medians=med)
-    return out.join(k, by) if by else out.crossJoin(k)
+    return join_on(join_on(reg, g, by), k, by)
 
 
 def metrics_report(preds: DataFrame, y: str = C.TARGET, yhat: str = "pred", model: str = "model", split: str = C.SPLIT,
@@ -150,8 +149,7 @@ def compute_metrics(df: DataFrame, y: str, yhat: str, label: str, by: Sequence[s
     reg = regression_metrics(df, y, yhat, by, guard_zero=False)
     med = _medians(df, y, by)
     g, k = gini(df, y, yhat, by, medians=med), ks(df, y, yhat, by, strict=True, medians=med)
-    j = (lambda a, b: a.join(b, by)) if by else (lambda a, b: a.crossJoin(b))
-    out = j(j(reg, g), k)
+    out = join_on(join_on(reg, g, by), k, by)
     return out.select(
         *by, F.lit(label).alias("modelo"), F.round("r2", 4).alias("r2"), F.round("rmse", 0).alias("rmse"),
         F.round("mae", 0).alias("mae"), F.round("mape", 2).alias("mape"), F.round("ks", 4).alias("ks"), F.round("gini", 4).alias("gini"),

@@ -13,13 +13,11 @@ Here the ordered scan is split across tasks instead:
    partition ids stay fixed even if an executor is lost and a stage is
    recomputed;
 4. per-(partition, group) totals (a table with partitions x groups rows) give
-   every partition its offset; offsets are joined back (AQE broadcasts the
-   table when its runtime size is below the broadcast threshold).
+   every partition its offset; offsets are joined back null-safely, so a NULL
+   group is a group like any other (AQE broadcasts the table when its runtime
+   size is below the broadcast threshold).
 
-When a size check shows that every group is small (at most
-``spark.riskframe.localRankThreshold`` rows after pre-aggregation), a window
-per group does the same in one task per group, skipping the sampling and the
-written table; this is the broadcast-threshold idea applied to ranking.
+There is one path for every size; no group is ever collected into one task.
 
 ``exact_quantiles`` builds on it: the row holding rank k is the one whose
 running count crosses k, so quantiles with linear interpolation (pandas,
@@ -33,6 +31,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,12 +40,6 @@ from pyspark.sql import types as T
 from ..session import ensure_checkpoint_dir, materialize, shuffle_partitions
 
 PID = "_pid"
-LOCAL_RANK_CONF = "spark.riskframe.localRankThreshold"
-
-
-def local_rank_threshold(spark) -> int:
-    """Largest group (rows after pre-aggregation) ranked inside a single task."""
-    return int(spark.conf.get(LOCAL_RANK_CONF, "1000000"))
 
 
 def _cum_name(s: str) -> str:
@@ -56,46 +50,59 @@ def _tot_name(s: str) -> str:
     return f"_tot_{s}"
 
 
-def _partition_scan(within: list[str], sums: list[str]):
+def join_on(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on the ``by`` columns with NULL equal to NULL; one copy of each key column. No keys: a one-row side."""
+    by = list(by)
+    if not by:
+        return left.crossJoin(right)
+    named = right.select(*[F.col(c).alias(f"_on_{c}") for c in by], *[c for c in right.columns if c not in by])
+    cond = [left[c].eqNullSafe(named[f"_on_{c}"]) for c in by]
+    return left.join(named, cond, how).drop(*[f"_on_{c}" for c in by])
+
+
+def _same(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Row by row: equal, both NULL, or both NaN."""
+    equal = pc.fill_null(pc.equal(a, b), False)
+    both = pc.and_(pc.is_null(a), pc.is_null(b))
+    if pa.types.is_floating(a.type):
+        both = pc.or_(both, pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False))
+    return pc.or_(equal, both).to_numpy(zero_copy_only=False)
+
+
+def _partition_scan(within: Sequence[str], sums: Sequence[str]):
     """In-partition running sums of ``sums`` per ``within`` group, rows already sorted."""
 
     def scan(batches):
         from pyspark import TaskContext
 
         pid = TaskContext.get().partitionId()
-        carry = None  # running sums at the end of the previous batch
-        last_key = None
-        for pdf in batches:
-            n = len(pdf)
+        carry: list = []  # running sums at the end of the previous batch
+        last = None  # its last row's group
+        for batch in batches:
+            n = batch.num_rows
             if n == 0:
                 continue
-            vals = np.column_stack([pdf[s].to_numpy() for s in sums])
+            col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             change = np.zeros(n, dtype=bool)
-            if within:
-                keys = [pdf[c].to_numpy(dtype=object) for c in within]
-                for kc in keys:
-                    change[1:] |= kc[1:] != kc[:-1]
-                first_key = tuple(kc[0] for kc in keys)
-                continues = last_key is not None and first_key == last_key
-                last_key = tuple(kc[-1] for kc in keys)
-            else:
-                continues = carry is not None
-                last_key = ()
+            for c in within:
+                change[1:] |= ~_same(col[c].slice(1), col[c].slice(0, n - 1))
+            continues = last is not None and all(_same(last[c], col[c].slice(0, 1))[0] for c in within)
+            last = {c: col[c].slice(n - 1, 1) for c in within}
             change[0] = True
-            cs = np.cumsum(vals, axis=0)
-            idx = np.arange(n)
-            start = np.maximum.accumulate(np.where(change, idx, 0))
-            base = cs[start] - vals[start]
-            out = cs - base
-            if continues:
-                first_group = start == 0
-                out[first_group] += carry
-            carry = out[-1].copy()
-            res = pdf.copy()
-            res[PID] = np.int32(pid)
+            start = np.maximum.accumulate(np.where(change, np.arange(n), 0))
+            out, carried = [], []
             for j, s in enumerate(sums):
-                res[_cum_name(s)] = out[:, j]
-            yield res
+                whole = pa.types.is_integer(col[s].type)
+                v = col[s].cast(pa.int64() if whole else pa.float64()).to_numpy(zero_copy_only=False)
+                cs = np.cumsum(v)
+                total = cs - (cs[start] - v[start])
+                if continues:
+                    total[start == 0] += carry[j]
+                carried.append(total[-1])
+                out.append(pa.array(total))
+            carry = carried
+            arrays = [*batch.columns, pa.array(np.full(n, pid, dtype=np.int32)), *out]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, PID, *[_cum_name(s) for s in sums]])
 
     return scan
 
@@ -107,22 +114,12 @@ def running_totals(
     within: Sequence[str] = (),
     descending: bool = False,
     num_partitions: int | None = None,
-    local_limit: int | None = None,
-    bound_from: DataFrame | None = None,
 ) -> DataFrame:
     """Inclusive running sums of ``sums`` in ``order_by`` order inside each ``within`` group.
 
     ``df`` must hold one row per (within, order_by); pre-aggregate ties first so
     tied keys move together. Adds ``_cum_<s>`` (running sum) and ``_tot_<s>``
     (group total) for every ``s`` in ``sums``. Sum columns must be non-null.
-
-    Groups whose (pre-aggregated) size is checked to be at most ``local_limit``
-    rows (default ``spark.riskframe.localRankThreshold``, 1,000,000) use a
-    window per group; larger inputs take the distributed range-partitioned
-    scan. ``local_limit=0`` forces the distributed scan. ``bound_from`` is the
-    raw input the caller pre-aggregated: its rows per group bound the size from
-    above, and counting them is a partial aggregate whose shuffle carries only
-    the group keys (the pre-aggregation itself is not computed twice).
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -131,21 +128,6 @@ def running_totals(
     order_cols = [F.col(c).desc() if descending else F.col(c).asc() for c in order_by]
     keys = [F.col(c).asc() for c in within] + order_cols
 
-    limit = local_rank_threshold(spark) if local_limit is None else local_limit
-    if limit > 0:
-        # size check (one small job): rows of the largest group after pre-aggregation
-        source = bound_from if bound_from is not None else df
-        biggest = source.groupBy(*within).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-        if biggest <= limit:
-            # every group fits one task: a window per group, no sampling or materialisation
-            w = Window.partitionBy(*within).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-            w_all = Window.partitionBy(*within)
-            return df.select(
-                *[F.col(c) for c in df.columns],
-                *[F.sum(s).over(w).alias(_cum_name(s)) for s in sums],
-                *[F.sum(s).over(w_all).alias(_tot_name(s)) for s in sums],
-            )
-
     ranged = df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
     fields = list(df.schema.fields) + [T.StructField(PID, T.IntegerType(), False)]
     for s in sums:
@@ -153,7 +135,7 @@ def running_totals(
         out_t = T.LongType() if isinstance(dt, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)) else T.DoubleType()
         fields.append(T.StructField(_cum_name(s), out_t, False))
     # written once: partition ids and in-partition sums stay fixed for both passes below
-    scanned = materialize(ranged.mapInPandas(_partition_scan(within, sums), T.StructType(fields)), "running_totals")
+    scanned = materialize(ranged.mapInArrow(_partition_scan(within, sums), T.StructType(fields)), "running_totals")
 
     part_tot = scanned.groupBy(PID, *within).agg(*[F.sum(s).alias(f"_pt_{s}") for s in sums])
     w_prev = Window.partitionBy(*within).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
@@ -164,7 +146,7 @@ def running_totals(
         *[F.coalesce(F.sum(f"_pt_{s}").over(w_prev), F.lit(0)).alias(f"_off_{s}") for s in sums],
         *[F.sum(f"_pt_{s}").over(w_all).alias(_tot_name(s)) for s in sums],
     )
-    joined = scanned.join(offsets, on=[PID, *within], how="inner")
+    joined = join_on(scanned, offsets, [PID, *within])
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[(F.col(_cum_name(s)) + F.col(f"_off_{s}")).alias(_cum_name(s)) for s in sums],
@@ -179,7 +161,6 @@ def exact_quantiles(
     within: Sequence[str] = (),
     names: Sequence[str] | None = None,
     weight: str | None = None,
-    local_limit: int | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles of the non-null ``value`` per group.
 
@@ -193,7 +174,7 @@ def exact_quantiles(
     base = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
     w_expr = F.sum(F.col(weight)).cast("bigint") if weight else F.count(F.lit(1))
     counts = base.groupBy(*within, value).agg(w_expr.alias("_w"))
-    ranked = running_totals(counts, [value], ["_w"], within, local_limit=local_limit, bound_from=None if weight else base)
+    ranked = running_totals(counts, [value], ["_w"], within)
     cum, n = F.col(_cum_name("_w")), F.col(_tot_name("_w"))
     first_rank = cum - F.col("_w")  # 0-based rank of the first copy of this value
 
@@ -226,12 +207,6 @@ def unpivot(df: DataFrame, columns: Sequence[str], ids: Sequence[str] = (), var:
     return df.select(*ids, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(list(ids), cols, var, val)
 
 
-def bin_index(x: Column, edges: Column) -> Column:
-    """0-based index of the left-closed bin of ``x`` among sorted ``edges``:
-    number of edges <= x, minus one (-1 below the first edge)."""
-    return F.size(F.filter(edges, lambda e: e <= x)) - F.lit(1)
-
-
 def qcut_bucket(x: Column, edges: Column) -> Column:
     """pandas ``qcut(..., duplicates='drop')`` bucket, 1-based.
 

@@ -278,7 +278,7 @@ class RiskPreprocessorModel(Model, _PrepParams):
     # ---- S5 persistence ------------------------------------------------------
     def save(self, path: str) -> None:
         spark = _active()
-        save_params(spark, path, self.state)
+        save_params(spark, path, self.state | {"has_encoding": self.encoding_df is not None})
         if self.encoding_df is not None:
             self.encoding_df.write.mode("overwrite").parquet(path.rstrip("/") + "/encoding")
 
@@ -287,11 +287,8 @@ class RiskPreprocessorModel(Model, _PrepParams):
         spark = _active()
         state = load_params(spark, path)
         state["bounds"] = {k: tuple(v) for k, v in state["bounds"].items()}
-        enc = None
-        try:
-            enc = spark.read.parquet(path.rstrip("/") + "/encoding")
-        except Exception:  # noqa: BLE001 - no encoding table saved
-            enc = None
+        # a model saved with its encoding must be read with it: a missing folder is an error, not a smaller model
+        enc = spark.read.parquet(path.rstrip("/") + "/encoding") if state.pop("has_encoding") else None
         return cls(state=state, encoding_df=enc)
 
 

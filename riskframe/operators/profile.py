@@ -74,6 +74,8 @@ def histogram(df: DataFrame, column: str, bins: int = 50, lo: float | None = Non
         (F.lit(float(lo)) if lo is not None else F.min(x)).alias("_lo"), (F.lit(float(hi)) if hi is not None else F.max(x)).alias("_hi"),
         F.count(F.lit(1)).alias("_n"),
     )
+    flat = F.col("_lo") == F.col("_hi")  # a constant column: the range is widened by one half on both sides
+    rng = rng.select(F.when(flat, F.col("_lo") - F.lit(0.5)).otherwise(F.col("_lo")).alias("_lo"), F.when(flat, F.col("_hi") + F.lit(0.5)).otherwise(F.col("_hi")).alias("_hi"), "_n")
     k = F.lit(int(bins))
     b = F.least(k - 1, F.floor((x - F.col("_lo")) * k / (F.col("_hi") - F.col("_lo"))).cast("int"))
     in_range = (x >= F.col("_lo")) & (x <= F.col("_hi"))
@@ -85,7 +87,7 @@ def histogram(df: DataFrame, column: str, bins: int = 50, lo: float | None = Non
         F.round(F.col("_lo") + F.col("bin") * w, 6).alias("lower"),
         F.round(F.col("_lo") + (F.col("bin") + 1) * w, 6).alias("upper"),
         F.coalesce(F.col("n"), F.lit(0)).alias("n"),
-        F.round(F.coalesce(F.col("n"), F.lit(0)) / (F.col("_n") * w), 12).alias("density"),
+        F.round(F.try_divide(F.coalesce(F.col("n"), F.lit(0)), F.col("_n") * w), 12).alias("density"),
     )
 
 
@@ -287,7 +289,7 @@ def ks_two_sample(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
     counts = v.groupBy(value).agg(
         F.count_if(F.col(group) == F.lit(a)).alias("ca"), F.count_if(F.col(group) == F.lit(b)).alias("cb")
     )
-    ranked = running_totals(counts, [value], ["ca", "cb"], bound_from=v)
+    ranked = running_totals(counts, [value], ["ca", "cb"])
     gap = F.abs(F.col(_cum_name("ca")) / F.col(_tot_name("ca")) - F.col(_cum_name("cb")) / F.col(_tot_name("cb")))
     d = ranked.agg(F.max(gap).alias("d"), F.max(_tot_name("ca")).alias("n_a"), F.max(_tot_name("cb")).alias("n_b"))
     en = F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b"))

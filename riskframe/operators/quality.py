@@ -182,7 +182,7 @@ def _impact(df: DataFrame, target: str, masks: Mapping[str, tuple], n_label: str
         F.col("n").alias(n_label),
         F.round("a", 6).alias(f"target_mean_{a_label}"),
         F.round("b", 6).alias("target_mean_real"),
-        F.round((F.col("a") - F.col("b")) / F.col("b") * F.lit(100.0), 4).alias("diff_pct"),
+        F.round(F.try_divide(F.col("a") - F.col("b"), F.col("b")) * F.lit(100.0), 4).alias("diff_pct"),
     )
 
 

@@ -3,8 +3,7 @@
 PSI for every feature (and every period) is one set of jobs, not a loop:
 values are unpivoted to (feature, value) rows, the reference edges are exact
 percentiles per feature, each value finds its bin by comparing with at most
-n_bins + 1 edges (the edge table has one row per feature: a bounded broadcast),
-and both samples are counted per (feature, bin) in one aggregate.
+n_bins + 1 edges (one row per feature; AQE sizes that join at run time), and both samples are counted per (feature, bin) in one aggregate.
 
 NumPy ``histogram`` rules are kept: bins are left-closed with the last one
 closed, values outside the reference range are dropped from the bins but stay
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import columns as X
-from .prefix import exact_quantiles, unpivot
+from .prefix import exact_quantiles, join_on, unpivot
 
 
 def reference_edges(ref_long: DataFrame, n_bins: int = 10, key: str = "feature") -> DataFrame:
@@ -47,31 +46,32 @@ def psi_long(ref_long: DataFrame, cur_long: DataFrame, n_bins: int = 10, key: st
     Returns key, by..., psi (4 dp), status, n_bins_used.
     """
     by = list(by)
+    # every key and group of the current sample reports, also when all of its values are NULL
+    groups = cur_long.select(key, *by).distinct()
     ref_long = ref_long.where(F.col("value").isNotNull())
     cur_long = cur_long.where(F.col("value").isNotNull())
     edges = reference_edges(ref_long, n_bins, key)
-    e_b = F.broadcast(edges.select(key, "edges"))
 
-    ref_counts = (
-        ref_long.join(e_b, key).select(key, histogram_bin(F.col("value"), F.col("edges")).alias("bin"))
-        .where(F.col("bin").isNotNull()).groupBy(key, "bin").agg(F.count(F.lit(1)).alias("c_ref"))
-    )
-    cur_binned = cur_long.join(e_b, key).select(key, *by, histogram_bin(F.col("value"), F.col("edges")).alias("bin"))
-    cur_tot = cur_binned.groupBy(key, *by).agg(F.count(F.lit(1)).alias("n_cur"))
-    cur_counts = cur_binned.where(F.col("bin").isNotNull()).groupBy(key, *by, "bin").agg(F.count(F.lit(1)).alias("c_cur"))
+    binned_ref = join_on(ref_long, edges.select(key, "edges"), [key]).select(key, histogram_bin(F.col("value"), F.col("edges")).alias("bin"))
+    ref_counts = binned_ref.where(F.col("bin").isNotNull()).groupBy(key, "bin").agg(F.count(F.lit(1)).alias("c_ref"))
+    # one aggregate for bins and totals: rows outside every bin are counted under a NULL bin
+    cur_binned = join_on(cur_long, edges.select(key, "edges"), [key]).select(key, *by, histogram_bin(F.col("value"), F.col("edges")).alias("bin"))
+    cur_counts = cur_binned.groupBy(key, *by, "bin").agg(F.count(F.lit(1)).alias("c_cur"))
+    cur_tot = cur_counts.groupBy(key, *by).agg(F.sum("c_cur").alias("n_cur"))
 
-    heads = cur_tot.join(F.broadcast(edges), key)
+    heads = join_on(join_on(groups, cur_tot, [key, *by], "left"), edges, [key], "left")
     grid = heads.where(F.size("edges") >= 2).select(
         key, *by, "n_ref", "n_cur", F.explode(F.sequence(F.lit(0), F.size("edges") - F.lit(2))).alias("bin")
     )
-    cells = grid.join(ref_counts, [key, "bin"], "left").join(cur_counts, [key, *by, "bin"], "left")
+    cells = join_on(join_on(grid, ref_counts, [key, "bin"], "left"), cur_counts, [key, *by, "bin"], "left")
     c_ref = F.coalesce(F.col("c_ref"), F.lit(0))
     c_cur = F.coalesce(F.col("c_cur"), F.lit(0))
     e = F.when(c_ref == 0, F.lit(C.PSI_EPS)).otherwise(c_ref / F.col("n_ref"))
     a = F.when(c_cur == 0, F.lit(C.PSI_EPS)).otherwise(c_cur / F.col("n_cur"))
     term = (a - e) * F.log(a / e)
     sums = cells.groupBy(key, *by).agg(F.sum(term).alias("_psi"), F.count(F.lit(1)).alias("n_bins_used"))
-    out = heads.select(key, *by).join(sums, [key, *by], "left")
+    out = join_on(heads.select(key, *by), sums, [key, *by], "left")
+    # 0.0 only where the reference has fewer than two edges
     psi = F.round(F.coalesce(F.col("_psi"), F.lit(0.0)), 4)
     return out.select(key, *by, psi.alias("psi"), X.psi_status(psi).alias("status"), F.coalesce("n_bins_used", F.lit(0)).alias("n_bins_used"))
 

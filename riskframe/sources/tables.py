@@ -29,20 +29,15 @@ RAW_SCHEMA = T.StructType(
 
 
 def load_raw_csv(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", schema: T.StructType = RAW_SCHEMA) -> DataFrame:
-    """CSV scan with an explicit schema (no inference pass), latin-1, malformed rows kept aside.
+    """CSV scan with an explicit schema (no inference pass), latin-1.
 
-    Column names are lower-cased so the result has the applicants layout.
-    NaN read from text is normalised to NULL (Spark keeps both, pandas only one).
+    The header must name the schema's columns in their order (an exchanged or
+    missing column is an error). Rows that do not fit the schema are left out here
+    and returned by ``rejected_csv``. Column names are lower-cased so the result
+    has the applicants layout. NaN read from text is normalised to NULL (Spark
+    keeps both, pandas only one).
     """
-    df = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("encoding", encoding)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .option("nanValue", "NaN")
-        .csv(path)
-    )
+    df = _scan_csv(spark, path, encoding, schema).where(F.col("_corrupt_record").isNull())
     cols = []
     for f in schema.fields:
         if f.name == "_corrupt_record":
@@ -54,6 +49,26 @@ def load_raw_csv(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", s
     return df.select(*cols)
 
 
+def rejected_csv(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", schema: T.StructType = RAW_SCHEMA) -> DataFrame:
+    """The rows that ``load_raw_csv`` leaves out: their text, with the columns that could be read."""
+    return _scan_csv(spark, path, encoding, schema).where(F.col("_corrupt_record").isNotNull())
+
+
+def _scan_csv(spark: SparkSession, path: str, encoding: str, schema: T.StructType) -> DataFrame:
+    if "_corrupt_record" not in schema.names:
+        schema = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    return (
+        spark.read.schema(schema)
+        .option("header", True)
+        .option("enforceSchema", False)
+        .option("encoding", encoding)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", "_corrupt_record")
+        .option("nanValue", "NaN")
+        .csv(path)
+    )
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """S3: processed splits. Partitioning by split lets readers prune a whole split."""
     w = df.write.mode("overwrite")
@@ -76,9 +91,23 @@ REQUEST_SCHEMA = T.StructType(
 def read_requests(spark: SparkSession, path: str, schema: T.StructType = REQUEST_SCHEMA) -> DataFrame:
     """Score requests as JSON lines; every field optional, an absent key becomes NULL.
 
-    Field names are matched case-insensitively (X1 or x1).
+    Field names are matched whatever their case (X1 or x1); a key given in both
+    cases takes the lower-case one. A line that is not a JSON object is not a
+    request: it is left out here and returned by ``rejected_requests``.
     """
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+    m = F.col("m")
+    cols = [F.coalesce(m[f.name], m[f.name.upper()]).try_cast(f.dataType).alias(f.name) for f in schema.fields]
+    return _request_lines(spark, path).where(m.isNotNull()).select(*cols)
+
+
+def rejected_requests(spark: SparkSession, path: str) -> DataFrame:
+    """The lines that ``read_requests`` leaves out, as they are (column value)."""
+    return _request_lines(spark, path).where(F.col("m").isNull()).select("value")
+
+
+def _request_lines(spark: SparkSession, path: str) -> DataFrame:
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select("value", F.from_json("value", "map<string,string>").alias("m"))
 
 
 def shape(df: DataFrame) -> DataFrame:

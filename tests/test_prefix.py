@@ -1,4 +1,4 @@
-"""Distributed running totals and exact quantiles against pandas/NumPy, both execution paths."""
+"""Distributed running totals and exact quantiles against pandas/NumPy."""
 
 import numpy as np
 import pandas as pd
@@ -15,22 +15,20 @@ def frame(spark):
     return pdf, spark.createDataFrame(pdf)
 
 
-@pytest.mark.parametrize("limit", [0, None])
-def test_quantiles_match_pandas(frame, limit):
+def test_quantiles_match_pandas(frame):
     pdf, df = frame
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = exact_quantiles(df, "v", probs, within=["g"], local_limit=limit).toPandas().set_index("g").sort_index()
+    got = exact_quantiles(df, "v", probs, within=["g"]).toPandas().set_index("g").sort_index()
     exp = pdf.groupby("g")["v"].quantile(probs).unstack()
     for i, p in enumerate(probs):
         np.testing.assert_allclose(got[f"q{i}"].to_numpy(), exp[p].to_numpy(), rtol=0, atol=1e-12)
     assert list(got["n"]) == list(pdf.groupby("g").size())
 
 
-@pytest.mark.parametrize("limit", [0, None])
-def test_running_totals_descending_ties_grouped(frame, limit):
+def test_running_totals_descending_ties_grouped(frame):
     pdf, df = frame
     counts = df.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    got = running_totals(counts, ["v"], ["c"], descending=True, local_limit=limit).toPandas().sort_values("v", ascending=False)
+    got = running_totals(counts, ["v"], ["c"], descending=True).toPandas().sort_values("v", ascending=False)
     exp = pdf.groupby("v").size().sort_index(ascending=False).cumsum()
     assert got["_cum_c"].tolist() == exp.tolist()
     assert set(got["_tot_c"]) == {len(pdf)}
@@ -38,8 +36,8 @@ def test_running_totals_descending_ties_grouped(frame, limit):
 
 def test_partition_count_does_not_change_results(spark, frame):
     pdf, df = frame
-    a = exact_quantiles(df.repartition(1), "v", [0.1, 0.9], local_limit=0).first()
-    b = exact_quantiles(df.repartition(13), "v", [0.1, 0.9], local_limit=0).first()
+    a = exact_quantiles(df.repartition(1), "v", [0.1, 0.9]).first()
+    b = exact_quantiles(df.repartition(13), "v", [0.1, 0.9]).first()
     assert a == b
 
 
@@ -53,3 +51,19 @@ def test_qcut_bucket_matches_pandas(spark):
     e = edges.select(F.array_sort(F.array_distinct(F.array(*[f"e{i}" for i in range(11)]))).alias("edges"))
     got = df.crossJoin(e).select("x", qcut_bucket(F.col("x"), F.col("edges")).alias("b")).toPandas()
     assert got.sort_values("x")["b"].tolist() == exp.loc[pdf.sort_values("x").index].tolist()
+
+
+@pytest.mark.parametrize("kind", ["string", "bigint", "double"])
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_null_groups_are_groups(spark, kind, partitions):
+    keys = {"string": ["a", "b", None], "bigint": [2**60 + 1, 2**60 + 2, None], "double": [1.5, float("nan"), None]}[kind]
+    rows = [(keys[i % 3], float(i)) for i in range(90)]
+    df = spark.createDataFrame(rows, f"g {kind}, v double")
+    got = running_totals(df.withColumn("c", F.lit(1)), ["v"], ["c"], within=["g"], num_partitions=partitions).collect()
+    assert len(got) == 90
+    by = {}
+    for r in sorted(got, key=lambda r: r.v):
+        by.setdefault(str(r.g), []).append(r["_cum_c"])
+    assert sorted(by) == sorted(map(str, keys)) and all(c == list(range(1, 31)) for c in by.values())
+    q = {str(r.g): (r.q0, r.n) for r in exact_quantiles(df, "v", [0.5], within=["g"]).collect()}
+    assert q == {str(keys[i]): (43.5 + i, 30) for i in range(3)}
