@@ -41,5 +41,9 @@ def crc_part(id_col: str, mod: int):
 
 
 def drop_ids(docs: DataFrame, dropped: DataFrame, id_col: str = ID) -> DataFrame:
-    """``docs`` without the rows whose id is in ``dropped`` (column ``_drop``); all columns stay as they are."""
-    return docs.join(dropped.select("_drop").distinct(), F.col(id_col).eqNullSafe(F.col("_drop")), "left_anti")
+    """``docs`` without the documents whose id is in ``dropped`` (column ``_drop``); all columns stay as they are.
+
+    A doc_id names one document: rows that repeat it go or stay together. A row
+    without an id can't be named by a verdict, so the filters keep it.
+    """
+    return docs.join(dropped.where("_drop IS NOT NULL").select("_drop").distinct(), F.col(id_col) == F.col("_drop"), "left_anti")

@@ -30,8 +30,6 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-# runs of characters that a match of the kind can hold; a match never crosses their borders
-_EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+-]*@[A-Za-z0-9._%+@-]*")
 _DIGIT = re.compile("[0-9]")
 
 
@@ -323,7 +321,10 @@ def added_spans(batch: Sequence[str], bases: Sequence[list[tuple[str, int, int]]
         for k, (_, _, s) in enumerate(group):
             shapes[k, : len(s)] = s
         for (i, found, _), y in zip(group, model.decode(shapes, lengths)):
-            y = y[: len(found)]
+            y = y[: len(found)].copy()
+            for t, m in enumerate(found):  # base spans stand by themselves, and numbers have no letters
+                if y[t] and (any(m.start() < e and s < m.end() for _, s, e in bases[i]) or (y[t] > 1 and m.group()[0].isalpha())):
+                    y[t] = 0
             change = np.flatnonzero(np.diff(np.concatenate([[0], y, [0]])))
             for a, b in zip(change, change[1:]):
                 if y[a] and a < b:
