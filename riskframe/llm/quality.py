@@ -50,6 +50,11 @@ def features(text: str | None, dim: int = DIM) -> np.ndarray:
     return (row / norm).astype(np.float32) if norm else out
 
 
+def _unit(z: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(z, axis=1, keepdims=True)
+    return np.divide(z, norm, out=np.zeros_like(z), where=norm > 0)
+
+
 @dataclass
 class LatentNeighbours:
     """Broadcast model: projection, labelled vectors (unit length), their labels, the share of label 1."""
@@ -63,9 +68,7 @@ class LatentNeighbours:
     k: int
 
     def project(self, rows: np.ndarray) -> np.ndarray:
-        z = (rows * self.weight - self.mean) @ self.basis
-        norm = np.linalg.norm(z, axis=1, keepdims=True)
-        return np.divide(z, norm, out=np.zeros_like(z), where=norm > 0)
+        return _unit((rows * self.weight - self.mean) @ self.basis)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         """Similarity-weighted share of label 1 among the k nearest labelled vectors, in [0, 1]."""
@@ -95,19 +98,25 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            rows = [features(t).astype(np.float16).tobytes() for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, type=pa.binary())], ["y", "row"])
+            rows = [features(t) for t in part.column(1).to_pylist()]
+            at = [np.flatnonzero(r).astype(np.uint16) for r in rows]
+            packed = [i.tobytes() + r[i].astype(np.float16).tobytes() for i, r in zip(at, rows)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, type=pa.binary())], ["y", "row"])
 
     got = chosen.mapInArrow(run, "y int, row binary").limit(4 * max_labelled).collect()
-    got = sorted((r["row"], r["y"]) for r in got)  # the order of arrival must not matter
-    rows = np.array([np.frombuffer(r, dtype=np.float16) for r, _ in got], dtype=np.float32).reshape(-1, DIM)
+    got = sorted((bytes(r["row"]), r["y"]) for r in got)  # the order of arrival must not matter
     y = np.array([v for _, v in got], dtype=np.float64)
     prior = float(y.mean()) if len(y) else 0.5
-    if not rows.any():
+    a = np.zeros((len(got), DIM), dtype=np.float32)  # the one large array; all that follows works in place
+    for line, (r, _) in zip(a, got):
+        n = len(r) // 4
+        line[np.frombuffer(r, dtype=np.uint16, count=n)] = np.frombuffer(r, dtype=np.float16, offset=2 * n)
+    del got
+    df = np.array([np.count_nonzero(c) for c in a.T])
+    if not df.any():
         return LatentNeighbours(np.ones(DIM, np.float32), np.zeros(DIM, np.float32), np.zeros((DIM, 1), np.float32), np.zeros((0, 1), np.float32), y[:0], prior, k)
-    df = (rows > 0).sum(axis=0)
-    weight = (np.log((1 + len(rows)) / (1 + df)) + 1).astype(np.float32)
-    a = rows * weight
+    weight = (np.log((1 + len(a)) / (1 + df)) + 1).astype(np.float32)
+    a *= weight
     mean = a.mean(axis=0)
     a -= mean
     rng = np.random.default_rng(7)
@@ -116,9 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ra
     for _ in range(3):  # subspace iteration of the truncated SVD
         q = np.linalg.qr(a @ np.linalg.qr(a.T @ q)[0])[0]
     basis = np.ascontiguousarray(np.linalg.svd(q.T @ a, full_matrices=False)[2][:r].T)
-    model = LatentNeighbours(weight, mean, basis, np.zeros((0, r), np.float32), y, prior, k)
-    model.vectors = model.project(rows)
-    return model
+    return LatentNeighbours(weight, mean, basis, _unit(a @ basis), y, prior, k)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
