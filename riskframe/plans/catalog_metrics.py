@@ -184,3 +184,67 @@ def q_report_csv(spark, sf):
     path = scratch_path(spark, "report")
     write_report(rep, path)
     return spark.read.schema(rep.schema).option("header", True).csv(path)
+
+
+# a NULL group is a group: every fifth applicant has no split label
+_NULL_PR = f"pr AS (SELECT 'lin_a' AS model, CASE WHEN id % 5 = 0 THEN 'none' ELSE base END AS base, target AS y, {SCORERS['lin_a'][1]} AS p FROM applicants)"
+
+
+@register(
+    "metrics_null_group",
+    S.with_(_NULL_PR, *_metric_ctes())
+    + """SELECT nullif(base, 'none') AS grp, n, round(rmse, 2) AS rmse, round(gini, 4) AS gini, round(ks, 4) AS ks
+         FROM reg JOIN gini USING (model, base) JOIN ks USING (model, base)""",
+)
+def q_metrics_null_group(spark, sf):
+    """M1-M3 per group where one group's label is NULL."""
+    a = base(spark, sf).select(F.when(F.col(C.ID) % 5 != 0, F.col(C.SPLIT)).alias("grp"), C.TARGET, SCORERS["lin_a"][0]().alias("pred"))
+    m = M.evaluate(a, C.TARGET, "pred", ["grp"])
+    return m.select("grp", "n", F.round("rmse", 2).alias("rmse"), F.round("gini", 4).alias("gini"), F.round("ks", 4).alias("ks"))
+
+
+@register(
+    "deciles_null_group",
+    S.with_(_NULL_PR, *_DEC_CTES)
+    + "SELECT nullif(base, 'none') AS grp, decile, count(*) AS n, round(avg(p), 2) AS mean_pred, round(avg(y), 2) AS mean_actual FROM d GROUP BY base, decile",
+)
+def q_deciles_null_group(spark, sf):
+    """M5 where one group's label is NULL."""
+    a = base(spark, sf).select(F.when(F.col(C.ID) % 5 != 0, F.col(C.SPLIT)).alias("grp"), C.TARGET, SCORERS["lin_a"][0]().alias("pred"))
+    return M.decile_table(a, C.TARGET, "pred", ["grp"]).select("grp", "decile", "n", "mean_pred", "mean_actual")
+
+
+@register(
+    "overfit_variants",
+    f"""SELECT model, CASE WHEN abs(train_r2 - test_r2) < 0.05e0 THEN 'estable' ELSE 'sobreajuste' END AS r2_status,
+        CASE WHEN (test_rmse - train_rmse) / train_rmse * 100.0e0 < 10.0e0 THEN 'estable' ELSE 'sobreajuste' END AS rmse_status
+        FROM ({_report_sql()})""",
+)
+def q_overfit_variants(spark, sf):
+    """The two other overfit diagnoses (absolute R2 gap, relative RMSE gap)."""
+    r = M.metrics_report(predictions(spark, sf, ("lin_a", "lin_b")))
+    return r.select(
+        "model", M.overfit_gap(F.col("train_r2"), F.col("test_r2")).alias("r2_status"),
+        M.overfit_gap(F.col("train_rmse"), F.col("test_rmse"), "rmse").alias("rmse_status"),
+    )
+
+
+# a feature that is missing from every current row: each bin's current share is the floor
+_mf_ctes, _mf_tab = S.psi_ctes(
+    S.unpivot_sql("applicants", ["x1", "x10"], where="base = 'TRAIN'"), S.unpivot_sql("applicants", ["x1"], where="base = 'TEST'"), prefix="mf"
+)
+_MF_LOST = [
+    "mf_g AS (SELECT feature, n_ref, unnest(range(0, len(edges) - 1)) AS bin FROM mf_edges WHERE feature = 'x10')",
+    "mf_e AS (SELECT CASE WHEN coalesce(c_ref, 0) = 0 THEN 1.0e-4 ELSE c_ref / n_ref END AS e FROM mf_g LEFT JOIN mf_refc USING (feature, bin))",
+    f"mf_all AS (SELECT feature, psi, n_bins_used FROM {_mf_tab} UNION ALL SELECT 'x10', round(sum((1.0e-4 - e) * ln(1.0e-4 / e)), 4), count(*) FROM mf_e)",
+]
+
+
+@register("psi_missing_feature", S.with_(*_mf_ctes, *_MF_LOST) + f"SELECT feature, psi, {S.psi_status()} AS status, n_bins_used FROM mf_all")
+def q_psi_missing_feature(spark, sf):
+    """x10 is NULL in every current row and must report an alert; x1 is as it is."""
+    from ..operators import stability as ST
+
+    a = base(spark, sf).select(C.SPLIT, "x1", "x10")
+    cur = a.where(F.col(C.SPLIT) == C.TEST).withColumn("x10", F.lit(None).cast("double"))
+    return ST.psi_by_feature(a.where(F.col(C.SPLIT) == C.TRAIN), cur, ["x1", "x10"])

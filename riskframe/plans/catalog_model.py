@@ -109,6 +109,48 @@ def q_linear_contributions(spark, sf):
     return EX.mean_abs_contribution(EX.linear_contributions(a, _CONTRIB), list(_CONTRIB))
 
 
+@register(
+    "top_explanation",
+    S.with_(
+        "d AS (SELECT id, x10, coalesce(x1, 0.0e0) AS x1c, 2.0e0 * x10 + 0.5e0 * coalesce(x1, 0.0e0) AS pred FROM applicants)",
+        "m AS (SELECT avg(x10) AS m10, avg(x1c) AS m1 FROM d)",
+        "t AS (SELECT * FROM d ORDER BY pred DESC, id LIMIT 1)",
+    )
+    + """SELECT id, round(pred, 6) AS pred, 'x10' AS feature, round(2.0e0 * (x10 - m10), 6) AS contribution FROM t, m
+         UNION ALL SELECT id, round(pred, 6), 'x1c', round(0.5e0 * (x1c - m1), 6) FROM t, m""",
+)
+def q_top_explanation(spark, sf):
+    """The additive breakdown of the highest score."""
+    a = base(spark, sf).select(C.ID, "x10", F.coalesce(F.col("x1"), F.lit(0.0)).alias("x1c"), SCORERS["lin_a"][0]().alias("pred"))
+    top = EX.top_explanation(EX.linear_contributions(a, _CONTRIB), "pred", list(_CONTRIB), C.ID)
+    return top.select(C.ID, F.round("pred", 6).alias("pred"), "feature", F.round("contribution", 6).alias("contribution"))
+
+
+@register(
+    "level_concentration",
+    S.with_(
+        "l AS (SELECT coalesce(x9, 'DESCONOCIDO') AS f, CAST(count(*) AS DOUBLE) AS v FROM applicants GROUP BY 1)",
+        "c AS (SELECT row_number() OVER (ORDER BY v DESC, f) AS rank, sum(v) OVER (ORDER BY v DESC, f ROWS UNBOUNDED PRECEDING) / sum(v) OVER () * 100.0e0 AS cum FROM l)",
+    )
+    + "SELECT round(max(cum) FILTER (WHERE rank = 5), 2) AS top5_pct, round(max(cum) FILTER (WHERE rank = 10), 2) AS top10_pct FROM c",
+)
+def q_level_concentration(spark, sf):
+    """B8 over any (name, value) table: share of the applicants in the 5 and 10 largest districts."""
+    a = applicants(spark, sf).groupBy(F.coalesce(F.col("x9"), F.lit(C.UNKNOWN_CATEGORY)).alias("f")).agg(F.count(F.lit(1)).cast("double").alias("v"))
+    return EX.concentration(EX.importance_table(a, "f", "v"))
+
+
+@register(
+    "breusch_pagan_single",
+    S.with_(_RES) + "SELECT round(count(*) * power(corr(resid * resid, x10), 2), 4) AS statistic FROM res JOIN (SELECT id, x10 FROM applicants) USING (id)",
+)
+def q_breusch_pagan_single(spark, sf):
+    """T8 with one regressor: n times the squared correlation of e^2 and x."""
+    a = base(spark, sf)
+    r = a.select("x10", (F.log(F.col(C.TARGET)) - F.log(SCORERS["lin_a"][0]())).alias("resid"))
+    return spark.createDataFrame([(L.breusch_pagan(r, "resid", ["x10"])["statistic"],)], "statistic double")
+
+
 def _wide_preds(spark, sf):
     a = base(spark, sf)
     return a.select(C.ID, C.SPLIT, C.TARGET, *[SCORERS[m][0]().alias(m) for m in ("lin_a", "lin_b")])
@@ -130,15 +172,28 @@ def q_blend_moments(spark, sf):
     return m.select("a", "b", X.sig_round("value").alias("value"))
 
 
-@register("blend_weights")
+# with two models the best weight is a ratio of moments, cut to [0, 1]
+_BLEND = [
+    f"bd AS (SELECT id, base, target, {SCORERS['lin_a'][1]} AS lin_a, {SCORERS['lin_b'][1]} AS lin_b FROM applicants)",
+    """bw AS (SELECT greatest(0.0e0, least(1.0e0, avg((target - lin_b) * (lin_a - lin_b)) / avg((lin_a - lin_b) * (lin_a - lin_b)))) AS w
+       FROM bd WHERE base = 'TRAIN')""",
+    "br AS (SELECT round(sqrt(avg(power(target - w * lin_a - (1.0e0 - w) * lin_b, 2))), 4) AS rmse FROM bd, bw WHERE base = 'TRAIN')",
+]
+
+
+@register(
+    "blend_weights",
+    S.with_(*_BLEND) + "SELECT 'lin_a' AS modelo, round(w, 4) AS peso, rmse FROM bw, br UNION ALL SELECT 'lin_b', round(1.0e0 - w, 4), rmse FROM bw, br",
+)
 def q_blend_weights(spark, sf):
-    """E1 on the TRAIN rows of two closed-form scorers; weights rounded to 4 dp."""
+    """E1 on the TRAIN rows of two closed-form scorers; weights and RMSE rounded to 4 dp."""
     d = _wide_preds(spark, sf).where(F.col(C.SPLIT) == C.TRAIN)
     w, rmse = BL.optimize_weights(d, C.TARGET, ["lin_a", "lin_b"])
-    return spark.createDataFrame([(k, float(v), float(rmse)) for k, v in w.items()], "modelo string, peso double, rmse double")
+    rows = spark.createDataFrame([(k, float(v), float(rmse)) for k, v in w.items()], "modelo string, peso double, rmse double")
+    return rows.select("modelo", "peso", F.round("rmse", 4).alias("rmse"))
 
 
-@register("blend_scores")
+@register("blend_scores", S.with_(*_BLEND) + "SELECT id, round(round(w, 4) * lin_a + round(1.0e0 - w, 4) * lin_b, 6) AS blend FROM bd, bw")
 def q_blend_scores(spark, sf):
     """Blended score of every applicant with the E1 weights."""
     d = _wide_preds(spark, sf)
