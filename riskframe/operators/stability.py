@@ -123,3 +123,10 @@ def retrain_trigger(psi_periods: DataFrame, threshold: float = C.PSI_ALERT, run:
         order, "psi", ((streak == F.lit(run)) & (full == F.lit(run))).alias("retrain"),
         F.lag("psi").over(w).alias("prev_psi"),
     )
+
+
+def rule_rows(wide: DataFrame, rules: Sequence[tuple[str, Column, float]]) -> DataFrame:
+    """One (rule, value, threshold, triggered) row per rule over a one-row table; triggered when value > threshold."""
+    rows = [F.struct(F.lit(n).alias("rule"), v.cast("double").alias("value"), F.lit(float(t)).alias("threshold")) for n, v, t in rules]
+    out = wide.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
+    return out.select("rule", F.round("value", 4).alias("value"), "threshold", (F.col("value") > F.col("threshold")).alias("triggered"))

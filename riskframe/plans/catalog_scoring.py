@@ -14,7 +14,7 @@ from ..sources.tables import read_table
 from ..streaming import jobs as STR
 from . import sqlparts as S
 from .catalog import NUM, base, clean, register
-from .catalog_metrics import SCORERS
+from .catalog_metrics import SCORERS, _metric_ctes, _pr_cte, _sp_ctes, _sp_tab, predictions
 from .catalog_prep import PREP, fitted
 
 # a fixed log-linear scorer over preprocessed features (so the SQL twin needs no fitted model)
@@ -216,6 +216,70 @@ def q_drift_rules(spark, sf):
     return rules.select("rule", F.round("value", 4).alias("value"), "threshold", trig.alias("triggered"))
 
 
+# ---------------------------------------------------------------------------
+# rules on the scores themselves, TRAIN -> TEST (O6, O7): lin_a is the champion, lin_b the challenger
+# ---------------------------------------------------------------------------
+
+#: rule -> threshold (fixed values of the monitoring table)
+SCORE_RULES = {
+    "score_psi": 0.10, "ks_drop_pts": 5.0, "r2_degradation_pct": 5.0, "gini_degradation_pct": 5.0,
+    "new_segment_share_pct": 5.0, "gini_drop_retrain_pts": 10.0, "challenger_rmse_gain": 0.0,
+}
+
+
+def _score_rules_sql():
+    pick = ", ".join(
+        f"max({k}) FILTER (WHERE model = '{m}' AND base = '{b}') AS {k}_{m[-1]}_{b.lower()}"
+        for k in ("rmse", "r2", "gini", "ks") for m in ("lin_a", "lin_b") for b in ("TRAIN", "TEST")
+    )
+    values = {
+        "score_psi": f"(SELECT psi FROM {_sp_tab} WHERE feature = 'lin_a')",
+        "ks_drop_pts": "100.0e0 * (ks_a_train - ks_a_test)",
+        "r2_degradation_pct": "100.0e0 * (r2_a_train - r2_a_test) / abs(r2_a_train)",
+        "gini_degradation_pct": "100.0e0 * (gini_a_train - gini_a_test) / abs(gini_a_train)",
+        "new_segment_share_pct": """(SELECT 100.0e0 * count_if(x6 NOT IN (SELECT x6 FROM applicants WHERE base = 'TRAIN' AND x6 IS NOT NULL)) / count(*)
+                                     FROM applicants WHERE base = 'TEST')""",
+        "gini_drop_retrain_pts": "100.0e0 * (gini_a_train - gini_a_test)",
+        "challenger_rmse_gain": "rmse_a_test - rmse_b_test",
+    }
+    rows = S.union_all([f"SELECT '{r}' AS rule, CAST({v} AS DOUBLE) AS value, {S.lit(SCORE_RULES[r])} AS threshold FROM wide" for r, v in values.items()])
+    return S.with_(
+        _pr_cte(("lin_a", "lin_b")), *_metric_ctes(), *_sp_ctes,
+        "allm AS (SELECT model, base, rmse, r2, gini, ks FROM reg JOIN gini USING (model, base) JOIN ks USING (model, base))",
+        f"wide AS (SELECT {pick} FROM allm)",
+        f"rules AS ({rows})",
+    ) + "SELECT rule, round(value, 4) AS value, threshold, value > threshold AS triggered FROM rules"
+
+
+@register("score_rules", _score_rules_sql())
+def q_score_rules(spark, sf):
+    """O6/O7 on scores: PSI, KS and Gini falls, R2 and Gini degradation, new segments, challenger against champion."""
+    a = base(spark, sf)
+    is_te, is_tr = F.col(C.SPLIT) == C.TEST, F.col(C.SPLIT) == C.TRAIN
+    m = M.evaluate(predictions(spark, sf, ("lin_a", "lin_b")), C.TARGET, "pred", ["model", C.SPLIT])
+    pick = [
+        F.max(F.when((F.col("model") == n) & (F.col(C.SPLIT) == b), F.col(k))).alias(f"{k}_{n[-1]}_{b.lower()}")
+        for k in ("rmse", "r2", "gini", "ks") for n in ("lin_a", "lin_b") for b in (C.TRAIN, C.TEST)
+    ]
+    score = a.select(C.SPLIT, SCORERS["lin_a"][0]().alias("lin_a"))
+    psi = ST.psi_by_feature(score.where(is_tr), score.where(is_te), ["lin_a"]).agg(F.max("psi").alias("psi"))
+    seen = a.where(is_tr & F.col("x6").isNotNull()).select("x6").distinct().withColumn("_seen", F.lit(True))
+    test = a.where(is_te).join(seen, "x6", "left")
+    segment = test.agg((F.try_divide(F.count_if(F.col("_seen").isNull() & F.col("x6").isNotNull()), F.count(F.lit(1))) * 100.0).alias("seg"))
+    wide = m.agg(*pick).crossJoin(psi).crossJoin(segment)  # three one-row tables
+    c = F.col
+    values = {
+        "score_psi": c("psi"),
+        "ks_drop_pts": (c("ks_a_train") - c("ks_a_test")) * 100.0,
+        "r2_degradation_pct": F.try_divide(c("r2_a_train") - c("r2_a_test"), F.abs("r2_a_train")) * 100.0,
+        "gini_degradation_pct": F.try_divide(c("gini_a_train") - c("gini_a_test"), F.abs("gini_a_train")) * 100.0,
+        "new_segment_share_pct": c("seg"),
+        "gini_drop_retrain_pts": (c("gini_a_train") - c("gini_a_test")) * 100.0,
+        "challenger_rmse_gain": c("rmse_a_test") - c("rmse_b_test"),
+    }
+    return ST.rule_rows(wide, [(r, v, SCORE_RULES[r]) for r, v in values.items()])
+
+
 # ---------------------------------------------------------------------------
 # streaming drift (O8): PSI per 7-day window of events.value vs all events
 # ---------------------------------------------------------------------------
