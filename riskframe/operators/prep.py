@@ -20,7 +20,6 @@ scored later has the same columns whatever levels it happens to contain.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 
 from pyspark.ml import Estimator, Model
@@ -48,13 +47,12 @@ class _PrepParams(Params):
     labelCol = Param(Params._dummy(), "labelCol", "target column ('' for none)", TypeConverters.toString)
     numericCols = Param(Params._dummy(), "numericCols", "numeric feature columns", TypeConverters.toListString)
     categoryCol = Param(Params._dummy(), "categoryCol", "category column", TypeConverters.toString)
-    maxMapCategories = Param(Params._dummy(), "maxMapCategories", "largest encoding kept as a literal map", TypeConverters.toInt)
 
     def __init__(self):
         super().__init__()
         self._setDefault(
             imputeStrategy="median", outlierFactor=3.0, topN=25, addMissingFlags=True, targetEncode=True,
-            smoothing=10.0, labelCol=C.TARGET, numericCols=list(C.NUMERIC), categoryCol="x9", maxMapCategories=10000,
+            smoothing=10.0, labelCol=C.TARGET, numericCols=list(C.NUMERIC), categoryCol="x9",
         )
 
 
@@ -121,18 +119,14 @@ class RiskPreprocessor(Estimator, _PrepParams):
         x8_levels = sorted(row["levels"]) if "x8" in num else []
 
         # category encoding
-        encoding, enc_df, global_mean, top_levels = None, None, 0.0, None
+        enc_df, global_mean, top_levels = None, 0.0, None
         if cat in df.columns:
             key = F.coalesce(F.col(cat), F.lit(C.UNKNOWN_CATEGORY)).alias("level")
             if use_target:
                 global_mean = row["mean"]
                 enc_df = target_encoding_table(df, cat, label, float(g(self.smoothing)), global_mean)
-                limit = g(self.maxMapCategories)
-                head = enc_df.select("level", "encoding").limit(limit + 1).collect()  # size check and values in one job
-                if len(head) <= limit:
-                    encoding = {r["level"]: r["encoding"] for r in head}
-                else:
-                    enc_df = materialize(enc_df, "target_encoding")
+                # always a join, at every category count: AQE sizes it at run time
+                enc_df = materialize(enc_df.select("level", "encoding"), "target_encoding")
             else:
                 n_top = g(self.topN)
                 counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
@@ -144,7 +138,7 @@ class RiskPreprocessor(Estimator, _PrepParams):
         model = RiskPreprocessorModel(
             state={
                 "numeric": num, "bounds": bounds, "fill": fill, "ratio_cap": ratio_cap, "den_fill": den_fill,
-                "x8_levels": x8_levels, "encoding": encoding, "global_mean": global_mean, "top_levels": top_levels,
+                "x8_levels": x8_levels, "global_mean": global_mean, "top_levels": top_levels,
                 "category": cat, "flags": g(self.addMissingFlags),
             },
             encoding_df=enc_df if encoding is None and enc_df is not None else None,
@@ -243,10 +237,7 @@ class RiskPreprocessorModel(Model, _PrepParams):
         cat = s["category"]
         if cat in df.columns:
             key = F.coalesce(F.col(cat), F.lit(C.UNKNOWN_CATEGORY))
-            if s.get("encoding") is not None:
-                m = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(float(e))) for k, e in sorted(s["encoding"].items())))
-                out.append((f"{cat}_target_enc", F.coalesce(F.try_element_at(m, key) if s["encoding"] else F.lit(None), F.lit(float(s["global_mean"])))))
-            elif s.get("top_levels") is not None:
+            if s.get("top_levels") is not None:
                 top = s["top_levels"]["top"]
                 lv = F.when(key.isin(top), key).otherwise(F.lit(C.OTHER_CATEGORY))
                 for level in s["top_levels"]["layout"]:
@@ -261,7 +252,7 @@ class RiskPreprocessorModel(Model, _PrepParams):
         keep = [F.col(c) for c in df.columns if c not in drop and c not in names]
         staged = df.select("*", *[e.alias(n) for n, e in self.base_columns(df)])
         cat = s["category"]
-        if s.get("encoding") is None and self.encoding_df is not None and cat in df.columns:
+        if self.encoding_df is not None and cat in df.columns:
             enc = self.encoding_df.select(F.col("level").alias("_lvl"), F.col("encoding").alias("_enc"))
             keyed = staged.withColumn("_lvl", F.coalesce(F.col(cat), F.lit(C.UNKNOWN_CATEGORY)))
             joined = keyed.join(enc, "_lvl", "left")  # AQE broadcasts it when small at run time
@@ -271,7 +262,7 @@ class RiskPreprocessorModel(Model, _PrepParams):
 
     def feature_names(self, df: DataFrame) -> list[str]:
         names = [n for n, _ in self.feature_columns(df)]
-        if self.state.get("encoding") is None and self.encoding_df is not None:
+        if self.encoding_df is not None:
             names.append(f"{self.state['category']}_target_enc")
         return names
 

@@ -21,9 +21,9 @@ SCORERS = {
 }
 
 
-def predictions(spark, sf, models=("lin_a",)):
-    """Long table (model, base, target, pred) for the chosen scorers."""
-    a = base(spark, sf)
+def predictions(spark, sf, models=("lin_a",), one_pass=False):
+    """Long table (model, base, target, pred) for the chosen scorers; ``one_pass``: read once, so nothing is written first."""
+    a = applicants(spark, sf) if one_pass else base(spark, sf)
     parts = [a.select(F.lit(m).alias("model"), C.SPLIT, C.TARGET, SCORERS[m][0]().alias("pred")) for m in models]
     out = parts[0]
     for p in parts[1:]:
@@ -68,7 +68,7 @@ def _metric_ctes(by="model, base"):
     + "SELECT base, n, round(rmse, 2) AS rmse, round(mae, 2) AS mae, round(r2, 4) AS r2, round(mape, 2) AS mape FROM reg",
 )
 def q_regression_metrics(spark, sf):
-    r = M.regression_metrics(predictions(spark, sf), C.TARGET, "pred", [C.SPLIT])
+    r = M.regression_metrics(predictions(spark, sf, one_pass=True), C.TARGET, "pred", [C.SPLIT])
     return r.select(C.SPLIT, "n", F.round("rmse", 2).alias("rmse"), F.round("mae", 2).alias("mae"), F.round("r2", 4).alias("r2"), F.round("mape", 2).alias("mape"))
 
 

@@ -12,6 +12,7 @@ from ..operators import blend as BL
 from ..operators import explain as EX
 from ..functions import columns as X
 from ..operators import linear as L
+from ..operators.quality import replace_sentinels
 from ..sources.applicants import applicants
 from . import sqlparts as S
 from .catalog import base, register
@@ -19,9 +20,8 @@ from .catalog_metrics import SCORERS
 from .catalog_prep import fitted
 
 
-def residuals(spark, sf):
+def residuals(a):
     """Log-scale residuals of the closed-form scorer lin_a, every applicant."""
-    a = base(spark, sf)
     return a.select(C.ID, C.TARGET, SCORERS["lin_a"][0]().alias("pred")).select(
         C.ID, C.TARGET, "pred", (F.log(F.col(C.TARGET)) - F.log(F.col("pred"))).alias("resid")
     )
@@ -42,7 +42,7 @@ _RES = f"res AS (SELECT id, target, {SCORERS['lin_a'][1]} AS pred, ln(target) -
          round(s, 6) AS skewness, round(k, 6) AS kurtosis, exp(-(n / 6.0e0 * (s * s + k * k / 4.0e0)) / 2.0e0) > 0.05e0 AS cumple_supuesto FROM sk""",
 )
 def q_jarque_bera(spark, sf):
-    return L.jarque_bera(residuals(spark, sf), "resid")
+    return L.jarque_bera(residuals(applicants(spark, sf)), "resid")
 
 
 @register(
@@ -52,7 +52,7 @@ def q_jarque_bera(spark, sf):
          sum((resid - prev) * (resid - prev)) / (SELECT sum(resid * resid) FROM res) BETWEEN 1.5e0 AND 2.5e0 AS cumple_supuesto FROM l""",
 )
 def q_durbin_watson(spark, sf):
-    return L.durbin_watson(residuals(spark, sf), "resid", C.ID)
+    return L.durbin_watson(residuals(base(spark, sf)), "resid", C.ID)
 
 
 @register(
@@ -60,9 +60,7 @@ def q_durbin_watson(spark, sf):
     S.with_(S.clean_cte()) + "SELECT round(1.0e0 / (1.0e0 - corr(x1, x10) * corr(x1, x10)), 6) AS vif, round(corr(x1, x10), 6) AS corr FROM clean",
 )
 def q_vif_pair(spark, sf):
-    from .catalog import clean
-
-    return L.vif_pair(clean(spark, sf), "x1", "x10")
+    return L.vif_pair(replace_sentinels(applicants(spark, sf)), "x1", "x10")
 
 
 @register(
@@ -74,7 +72,7 @@ def q_vif_pair(spark, sf):
          FROM d""",
 )
 def q_ols_single(spark, sf):
-    a = base(spark, sf).select(F.col("x10").alias("x"), F.log(C.TARGET).alias("y"))
+    a = applicants(spark, sf).select(F.col("x10").alias("x"), F.log(C.TARGET).alias("y"))
     return L.ols_single(a, "x", "y")
 
 
