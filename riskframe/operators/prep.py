@@ -8,11 +8,9 @@
 3. one ``groupBy`` of the category for the smoothed target encoding (or the
    top-N frequency list when there is no target).
 
-Only small results come back: 3 numbers per column, one cap, one row per
-category. ``transform`` is a single projection of column expressions (whole-
-stage codegen, no UDF) plus, for the category, either a literal map (when the
-category count is below ``max_map_categories``, checked at fit) or a left join
-to the encoding table.
+Only small results come back: 3 numbers per column and one cap; the encoding
+stays a written table. ``transform`` is a projection of column expressions
+(whole-stage codegen, no UDF) plus a left join to the encoding table.
 
 Dummy layouts are learned at fit time (sorted level names), so every batch
 scored later has the same columns whatever levels it happens to contain.
@@ -141,13 +139,13 @@ class RiskPreprocessor(Estimator, _PrepParams):
                 "x8_levels": x8_levels, "global_mean": global_mean, "top_levels": top_levels,
                 "category": cat, "flags": g(self.addMissingFlags),
             },
-            encoding_df=enc_df if encoding is None and enc_df is not None else None,
+            encoding_df=enc_df,
         )
         return self._copyValues(model)
 
 
 class RiskPreprocessorModel(Model, _PrepParams):
-    """Fitted preprocessing; ``transform`` is one projection (+ a join for huge encodings)."""
+    """Fitted preprocessing; ``transform`` is one projection (+ a join to the encoding table)."""
 
     def __init__(self, state: dict | None = None, encoding_df: DataFrame | None = None):
         super().__init__()
