@@ -3,7 +3,8 @@
 PSI for every feature (and every period) is one set of jobs, not a loop:
 values are unpivoted to (feature, value) rows, the reference edges are exact
 percentiles per feature, each value finds its bin by comparing with at most
-n_bins + 1 edges (one row per feature; AQE sizes that join at run time), and both samples are counted per (feature, bin) in one aggregate.
+n_bins + 1 edges (one row per feature, written once; Spark sizes that join), and both samples are counted per
+(feature, group, bin) in one aggregate, written once too. What follows works on those counts alone.
 
 NumPy ``histogram`` rules are kept: bins are left-closed with the last one
 closed, values outside the reference range are dropped from the bins but stay
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import columns as X
+from ..session import materialize
 from .prefix import exact_quantiles, join_on, unpivot
 
 
@@ -46,20 +48,21 @@ def psi_long(ref_long: DataFrame, cur_long: DataFrame, n_bins: int = 10, key: st
     Returns key, by..., psi (4 dp), status, n_bins_used.
     """
     by = list(by)
-    # every key and group of the current sample reports, also when all of its values are NULL
-    groups = cur_long.select(key, *by).distinct()
-    ref_long = ref_long.where(F.col("value").isNotNull())
-    cur_long = cur_long.where(F.col("value").isNotNull())
-    edges = reference_edges(ref_long, n_bins, key)
-
-    binned_ref = join_on(ref_long, edges.select(key, "edges"), [key]).select(key, histogram_bin(F.col("value"), F.col("edges")).alias("bin"))
-    ref_counts = binned_ref.where(F.col("bin").isNotNull()).groupBy(key, "bin").agg(F.count(F.lit(1)).alias("c_ref"))
-    # one aggregate for bins and totals: rows outside every bin are counted under a NULL bin
-    cur_binned = join_on(cur_long, edges.select(key, "edges"), [key]).select(key, *by, histogram_bin(F.col("value"), F.col("edges")).alias("bin"))
-    cur_counts = cur_binned.groupBy(key, *by, "bin").agg(F.count(F.lit(1)).alias("c_cur"))
-    cur_tot = cur_counts.groupBy(key, *by).agg(F.sum("c_cur").alias("n_cur"))
-
-    heads = join_on(join_on(groups, cur_tot, [key, *by], "left"), edges, [key], "left")
+    # the edges and the counts are a few rows per key and group; written once, so the samples are read twice in all
+    edges = materialize(reference_edges(ref_long.where(F.col("value").isNotNull()), n_bins, key), "psi_edges")
+    no_group = [F.lit(None).cast(cur_long.schema[c].dataType).alias(c) for c in by]
+    ref_rows = ref_long.select(key, *no_group, "value", F.lit(True).alias("_ref"))
+    rows = ref_rows.unionAll(cur_long.select(key, *by, "value", F.lit(False).alias("_ref")))
+    binned = join_on(rows, edges.select(key, "edges"), [key], "left")
+    # one aggregate for bins and totals: values outside every bin are counted under a NULL bin, NULL values not at all
+    # (their group stays, with a count of 0: every key and group of the current sample reports)
+    counts = binned.groupBy("_ref", key, *by, histogram_bin(F.col("value"), F.col("edges")).alias("bin")).agg(F.count("value").alias("c"))
+    counts = materialize(counts, "psi_counts")
+    ref_counts = counts.where(F.col("_ref") & F.col("bin").isNotNull()).select(key, "bin", F.col("c").alias("c_ref"))
+    cur_counts = counts.where(~F.col("_ref")).select(key, *by, "bin", F.col("c").alias("c_cur"))
+    groups = cur_counts.groupBy(key, *by).agg(F.sum("c_cur").alias("n_cur"))
+
+    heads = join_on(groups, edges, [key], "left")
     grid = heads.where(F.size("edges") >= 2).select(
         key, *by, "n_ref", "n_cur", F.explode(F.sequence(F.lit(0), F.size("edges") - F.lit(2))).alias("bin")
     )
