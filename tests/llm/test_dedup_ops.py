@@ -187,6 +187,41 @@ def test_line_dedup_rows(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_classes_of_long_lines(spark):
+    """The threshold grows with the line; lines of one long word (no word runs) link as well."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    base = [" ".join(word() for _ in range(n)) for n in (14, 30, 60, 60, 150)] + ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in (90, 200)]
+    passage = " ".join(word() for _ in range(25))
+    base += [passage + " " + " ".join(word() for _ in range(25)) for _ in range(3)]
+    lines = []
+    for x in base:
+        for _ in range(9):
+            c = list(x)
+            for _ in range(rng.randint(0, len(x) // 40 + 2)):
+                i = rng.randrange(len(c))
+                c[i : i + rng.randint(0, 1)] = rng.choice(("x", "é", ""))
+            lines.append(line_dedup.norm_line("".join(c)))
+    near = {x: x for x in lines}
+
+    def root(x):
+        while near[x] != x:
+            x = near[x]
+        return x
+
+    linked = 0
+    for a, b in itertools.combinations(near, 2):
+        if line_dedup.within(a, b, max(1, min(len(a), len(b)) // 40)):
+            linked += not line_dedup.within(a, b, 1)
+            near[root(a)] = root(b)
+    first = {}
+    for d, x in enumerate(lines):
+        first.setdefault(root(x), d)
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {r.doc_id: r.first_doc for r in line_dedup.line_classes(df).collect()} == {d: first[root(x)] for d, x in enumerate(lines)}
+    assert linked > 50
+
+
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
