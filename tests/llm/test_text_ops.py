@@ -264,6 +264,21 @@ def test_html_blocks(spark):
     assert html_extract.extract_text(df.limit(0)).count() == 0
 
 
+def test_html_copies_without_an_article(spark):
+    """Copies under other URLs and a paragraph that one neighbour shares stay; the template goes."""
+    page = lambda *own: "<p>Menu line<p>" + "<p>".join(own) + "<p>Shared tail"
+    one, two = ("Text of its own " * 9).strip(), ("Other words here " * 9).strip()
+    rows = [(1, "http://a.org/x?ref=a", page(one)), (2, "http://a.org/x?ref=b", page(one)), (3, "http://a.org/mirror", page(one)), (4, "http://a.org/y", page(two)),
+            (5, "http://b.org/only?ref=a", page(one)), (6, "http://b.org/only?ref=b", page(one)), (7, "http://c.org/1", page(one, "Views: 10")), (8, "http://c.org/2", page(one, "Views: 7")),
+            (11, "http://d.org/1", page("Alpha " * 9, "Both")), (12, "http://d.org/2", page("Beta " * 9, "Both")), (13, "http://d.org/3", page("Gamma " * 9)), (14, "http://d.org/4", "")]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = f"Menu line\n{one}\nShared tail"
+    assert got == {
+        1: one, 2: one, 3: one, 4: two, 5: whole, 6: whole, 7: f"Menu line\n{one}\nViews: 10\nShared tail", 8: f"Menu line\n{one}\nViews: 7\nShared tail",
+        11: ("Alpha " * 9).strip() + "\nBoth", 12: ("Beta " * 9).strip() + "\nBoth", 13: ("Gamma " * 9).strip(), 14: "",
+    }
+
+
 def test_common_lines_is_a_longest_common_subsequence():
     rng = random.Random(3)
     for _ in range(300):
