@@ -264,6 +264,20 @@ def test_html_blocks(spark):
     assert html_extract.extract_text(df.limit(0)).count() == 0
 
 
+def test_html_hints_spare_the_article():
+    """Class names that only contain a hint, hints on an article and hints around it lose nothing; whole names still drop."""
+    body = "<article class='%s'><h1>Title</h1><p>Text</article>"
+    plain = body % "post"
+    for page in (
+        f"<div class='content no-sidebar'>{plain}</div>", f"<div id='page' class='has-header'>{plain}</div>", body % "post tag-social", body % "social",
+        f"<div class='sidebar'><div class='widget'>{plain}</div></div>", "<div class='widget'><main role='main'><h1>Title</h1><p>Text</main></div>",
+        f"<section class='comment-list'><article class='comment'><p>First!</article></section>{plain}", f"{plain}<div class='ad'>Buy</div>",
+        f"<div class='site-header'>Menu</div><ul id='sidebarLeft'><li>Side</ul>{plain}<div class='related-posts'><article><p>Card</article></div>",
+        f"<div class='overlay'><main>{plain}</main></div><section id='comments'><article><p>First!</article></section>",
+    ):
+        assert html_extract.blocks(page) == (["Title", "Text"], [], True), page
+
+
 def test_html_copies_without_an_article(spark):
     """Copies under other URLs and a paragraph that one neighbour shares stay; the template goes."""
     page = lambda *own: "<p>Menu line<p>" + "<p>".join(own) + "<p>Shared tail"
