@@ -40,10 +40,16 @@ def crc_part(id_col: str, mod: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % F.lit(mod)
 
 
-def drop_ids(docs: DataFrame, dropped: DataFrame, id_col: str = ID) -> DataFrame:
-    """``docs`` without the documents whose id is in ``dropped`` (column ``_drop``); all columns stay as they are.
+def row_id(id_col: str = ID, text_col: str = TEXT):
+    """Name of a row by its id and a hash of its text (NULL text: empty)."""
+    return F.concat_ws(":", F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
 
-    A doc_id names one document: rows that repeat it go or stay together. A row
-    without an id can't be named by a verdict, so the filters keep it.
+
+def drop_rows(docs: DataFrame, verdicts: DataFrame, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
+    """``docs`` without the rows that ``verdicts`` (columns doc_id and rid, see ``row_id``) names; all columns stay as they are.
+
+    Each row meets the verdict of its own text: of two texts under one doc_id one
+    may go and the other stay. Rows without an id are kept.
     """
-    return docs.join(dropped.where("_drop IS NOT NULL").select("_drop").distinct(), F.col(id_col) == F.col("_drop"), "left_anti")
+    gone = verdicts.where(F.col(ID).isNotNull()).select(F.col("rid").alias("_drop")).distinct()
+    return docs.join(gone, row_id(id_col, text_col) == F.col("_drop"), "left_anti")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, TEXT, drop_ids, materialize, texts
+from .common import ID, TEXT, drop_rows, materialize, row_id, texts
 
 WINDOW = 13
 #: fixed values: the bytes between words, once the text is lower-cased (A-Z only)
@@ -65,7 +65,7 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, start, step, lambda acc: acc["n"])
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, one_in: int = 20, id_col: str = ID, text_col: str = TEXT, item_col: str = "item_id", item_text: str = TEXT, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, one_in: int = 20, id_col: str = ID, text_col: str = TEXT, item_col: str = "item_id", item_text: str = TEXT, broadcast_windows: int = BROADCAST_WINDOWS, with_rid: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans.
 
     A word is hit when it lies in an occurrence of a window. ``spans`` has the
@@ -82,12 +82,12 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, one_i
     size = all_grams.groupBy("k").agg(F.countDistinct("gram").alias("n")).collect()  # at most `window` rows
     lengths, broadcast = sorted(r["k"] for r in size), sum(r["n"] for r in size) <= broadcast_windows
     # a row is known by its id and a hash of its text: both scans below then agree, however the rows are dealt
-    rid = F.concat_ws(":", F.col(ID), F.xxhash64(TEXT))
+    rid, more = row_id(), ["rid"] if with_rid else []
     rows = texts(docs, id_col, text_col).select(rid.alias("rid"), ID, norm_words(F.col(TEXT)).alias("w"))
     counts = rows.select("rid", ID, F.size("w").cast("long").alias("n_words"))
     none = F.sha2(F.lit(""), 256)
     if not lengths:
-        return counts.select(ID, "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("items_sha256"), F.lit(False).alias("contaminated"), F.array().cast("array<struct<pos:int,k:int>>").alias("spans"))
+        return counts.select(ID, "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("items_sha256"), F.lit(False).alias("contaminated"), F.array().cast("array<struct<pos:int,k:int>>").alias("spans"), *more)
     hits = materialize(find_hits(rows.select("rid", "w"), all_grams.select("k", "h", "gram").distinct(), lengths, broadcast), "bench_hits")
     per_doc = hits.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("pos", "k"))).alias("spans"))
     items = all_grams.select("k", "h", "item_id").distinct()
@@ -96,12 +96,12 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, one_i
     out = counts.join(per_doc.join(seen, "rid"), "rid", "left")
     n_hit = F.coalesce(covered(F.col("spans")), F.lit(0).cast("long"))
     n_items = F.coalesce(F.size("items") + F.col("unnamed"), F.lit(0)).cast("long")
-    out = out.select(ID, "n_words", n_hit.alias("n_hit"), n_items.alias("n_items"), F.coalesce(F.sha2(F.array_join("items", ","), 256), none).alias("items_sha256"), F.coalesce("spans", F.array().cast("array<struct<pos:int,k:int>>")).alias("spans"))
+    out = out.select(ID, "n_words", *more, n_hit.alias("n_hit"), n_items.alias("n_items"), F.coalesce(F.sha2(F.array_join("items", ","), 256), none).alias("items_sha256"), F.coalesce("spans", F.array().cast("array<struct<pos:int,k:int>>")).alias("spans"))
     bad = (F.col("n_hit") > 0) & (F.col("n_hit") * F.lit(one_in) >= F.col("n_words"))
-    return out.select(ID, "n_words", "n_hit", "n_items", "items_sha256", bad.alias("contaminated"), "spans")
+    return out.select(ID, "n_words", "n_hit", "n_items", "items_sha256", bad.alias("contaminated"), "spans", *more)
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
     """``docs`` (all columns) without the contaminated documents."""
-    bad = decontaminate(docs, bench, id_col=id_col, text_col=text_col).where("contaminated")
-    return drop_ids(docs, bad.select(F.col(ID).alias("_drop")), id_col)
+    bad = decontaminate(docs, bench, id_col=id_col, text_col=text_col, with_rid=True).where("contaminated")
+    return drop_rows(docs, bad, id_col, text_col)

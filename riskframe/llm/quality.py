@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, TEXT, crc_part, drop_ids, slices, texts
+from .common import ID, TEXT, crc_part, drop_rows, row_id, slices, texts
 
 DIM = 4096
 #: labelled rows that are fitted and broadcast (documented bound): 6,000 x 64 floats = 1.5 MB
@@ -128,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ra
     return LatentNeighbours(weight, mean, basis, _unit(a @ basis), y, prior, k)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED, id_col: str = ID, text_col: str = TEXT, with_rid: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
     Edge cases: NULL, empty and word-less texts score the share of label 1 among
@@ -139,16 +139,19 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_labelled, id_col=id_col, text_col=text_col))
 
+    more = ["rid"] if with_rid else []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             score = model.value.score(np.stack([features(t) for t in part.column(1).to_pylist()]))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score.astype(np.float64))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score.astype(np.float64)), *(part.column(2) for _ in more)], ["doc_id", "score", *more])
 
-    scored = texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
-    return scored.select(ID, (F.col(ID).isNotNull() & (crc_part(ID, 4) == 2)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    rows = texts(docs, id_col, text_col)
+    scored = (rows.withColumn("rid", row_id()) if with_rid else rows).mapInArrow(run, "doc_id long, score double" + (", rid string" if with_rid else ""))
+    return scored.select(ID, (F.col(ID).isNotNull() & (crc_part(ID, 4) == 2)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *more)
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
     """``docs`` (all columns) without the documents that the classifier rejects."""
-    bad = score_quality(docs, labels, id_col=id_col, text_col=text_col).where("predicted = 0")
-    return drop_ids(docs, bad.select(F.col(ID).alias("_drop")), id_col)
+    bad = score_quality(docs, labels, id_col=id_col, text_col=text_col, with_rid=True).where("predicted = 0")
+    return drop_rows(docs, bad, id_col, text_col)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ID, TEXT, drop_ids, materialize, slices, texts
+from .common import ID, TEXT, drop_rows, materialize, row_id, slices, texts
 from .components import connected_components
 from .text import word_bytes
 
@@ -51,14 +51,15 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp) for each row of (doc_id, text); fp is the fingerprint as a signed long."""
+    """(doc_id, fp) for each row of (doc_id, text), with rid if ``docs`` has it third; fp is the fingerprint as a signed long."""
+    more = ["rid"] if "rid" in docs.columns else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             fp = np.array([fingerprint(t, shingle) for t in part.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp), *(part.column(2) for _ in more)], ["doc_id", "fp", *more])
 
-    return docs.mapInArrow(run, "doc_id long, fp long")
+    return docs.mapInArrow(run, "doc_id long, fp long" + (", rid string" if more else ""))
 
 
 def block_masks(n_fingerprints: int, distance: int) -> list[int]:
@@ -111,7 +112,7 @@ def close_links(fps: DataFrame, distance: int = 4, hot_bucket: int = 1024) -> Da
     return links.distinct()
 
 
-def simhash_groups(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = ID, text_col: str = TEXT, hot_bucket: int = 1024) -> DataFrame:
+def simhash_groups(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = ID, text_col: str = TEXT, hot_bucket: int = 1024, with_rid: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id, group_size.
 
     component_id is the smallest doc_id reachable over links of at most
@@ -123,17 +124,18 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col:
     component_id is NULL). Repeated rows share a component. Other columns are
     ignored; an empty table gives an empty result.
     """
-    fps = materialize(fingerprints(texts(docs, id_col, text_col), shingle), "simhash_fp")
+    rows = texts(docs, id_col, text_col)
+    fps = materialize(fingerprints(rows.withColumn("rid", row_id()) if with_rid else rows, shingle), "simhash_fp")
     reps = materialize(fps.groupBy("fp").agg(F.min(ID).alias("rep"), F.count(F.lit(1)).alias("n")), "simhash_reps")
     roots = connected_components(close_links(reps.select("fp"), distance, hot_bucket))
     named = reps.join(roots, reps["fp"] == roots["node"], "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root"))
     named = materialize(named, "simhash_roots")
     heads = named.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("n").alias("group_size"))
     of_fp = named.select("fp", "root").join(heads, "root").select("fp", "component_id", "group_size")
-    return fps.join(of_fp, "fp").select(ID, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size")
+    return fps.join(of_fp, "fp").select(ID, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size", *(["rid"] if with_rid else []))
 
 
 def keep_one_per_group(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
     """``docs`` (all columns) with one document of each near-duplicate group: the one with the smallest id."""
-    gone = simhash_groups(docs, shingle, distance, id_col, text_col).where(~F.col(ID).eqNullSafe(F.col("component_id")))
-    return drop_ids(docs, gone.select(F.col(ID).alias("_drop")), id_col)
+    gone = simhash_groups(docs, shingle, distance, id_col, text_col, with_rid=True).where(~F.col(ID).eqNullSafe(F.col("component_id")))
+    return drop_rows(docs, gone, id_col, text_col)

@@ -68,6 +68,20 @@ def test_exact_dedup(spark, docs, rows):
     assert {r.doc_id for r in kept.collect()} == {low(g) for g in groups.values()}
 
 
+def test_each_text_of_a_repeated_id_meets_its_own_verdict(spark):
+    """Under id 5, a copy or contaminated text goes and the other text stays."""
+    rng = random.Random(8)
+    one, two, item = prose(rng, 60), prose(rng, 60), prose(rng, 30)
+    df = spark.createDataFrame([(1, one), (5, one), (5, two), (None, one)], "doc_id long, text string")
+    ids = lambda kept: sorted((r.doc_id or 0, r.text) for r in kept.collect())
+    want = sorted([(0, one), (1, one), (5, two)])
+    assert ids(exact_dedup.keep_first_copies(df)) == want
+    assert ids(simhash.keep_one_per_group(df)) == want
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    df = spark.createDataFrame([(5, item), (5, two), (6, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in decontam.drop_contaminated(df, bench).collect() if r.text) == [(5, two)]
+
+
 def brute_fingerprint(text):
     w = re.findall("[^\x20\x09-\x0d]+", (text or "").translate(LOW))
     h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))] if w else []
