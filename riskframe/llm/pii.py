@@ -265,6 +265,7 @@ def train(table: Sequence[tuple[str, list[tuple[str, str]]]] = tuple(TRAINING),
 
 #: what every added span holds (see _valid): a digit, an @, or the word "dot" of a spelled-out address
 _LIVELY = re.compile(r"[0-9@]|\b[dD][oO][tT]\b")
+CELLS = 1 << 20  # words of a padded batch, unless one sequence is longer
 REACH = 64  # words on either side of a lively word that are decoded with it
 
 
@@ -289,7 +290,8 @@ def added_spans(batch: Sequence[str], bases: Sequence[list[tuple[str, int, int]]
 
     A word whose surroundings (``REACH`` words each way) hold no digit, @ or "dot"
     can only be O: ``_valid`` asks every kind for one. Such words are not decoded; the
-    rest of the text is, in padded batches of word sequences.
+    rest of the text is, in padded batches of word sequences. A sequence is never
+    cut, so a long text without such gaps is decoded in one piece.
     """
     work: list[tuple[int, list[re.Match], np.ndarray]] = []
     for i, text in enumerate(batch):
@@ -309,13 +311,16 @@ def added_spans(batch: Sequence[str], bases: Sequence[list[tuple[str, int, int]]
             while b < len(text) and not text[b].isspace():
                 b += 1
             found = list(TOKEN.finditer(text, a, b))
-            for j in range(0, len(found), 4096):
-                part = found[j : j + 4096]
-                work.append((i, part, np.array([shape(m.group()) for m in part], dtype=np.int64)))
+            work.append((i, found, np.array([shape(m.group()) for m in found], dtype=np.int64)))
     out: list[list[tuple[str, int, int]]] = [[] for _ in batch]
     work.sort(key=lambda w: len(w[2]))
-    for j in range(0, len(work), rows):
-        group = work[j : j + rows]
+    j = 0
+    while j < len(work):
+        size = 1  # as many rows as fit in a padded batch of CELLS words, one at least
+        while size < rows and j + size < len(work) and (size + 1) * len(work[j + size][2]) <= CELLS:
+            size += 1
+        group = work[j : j + size]
+        j += size
         lengths = np.array([len(s) for _, _, s in group])
         shapes = np.full((len(group), max(int(lengths.max()), 1)), EDGE)
         for k, (_, _, s) in enumerate(group):

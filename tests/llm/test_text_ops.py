@@ -293,6 +293,18 @@ def test_html_copies_without_an_article(spark):
     }
 
 
+def test_long_stretch_is_decoded_whole():
+    """An added span is found wherever it lies in a stretch of more than 4,096 words."""
+    model, phrase = pii.train(), "reach me at john dot smith at example dot com today"
+    short = pii.added_spans([phrase], [[]], model)[0]
+    assert short
+    for words in range(4076, 4100, 2):
+        lead = "line 5 " * (words // 2) + ". "
+        text = lead + phrase + " line 5" * 50
+        got = pii.added_spans([text], [pii.base_spans(text)], model)[0]
+        assert {(k, a - len(lead), b - len(lead)) for k, a, b in got} >= set(short), words
+
+
 def test_common_lines_is_a_longest_common_subsequence():
     rng = random.Random(3)
     for _ in range(300):
