@@ -32,7 +32,7 @@ FOLDS, HELD_OUT, DEV = 7, 2, 3
 BLOCK_TOKENS = 1 << 20
 RANGE_BYTES = 12 << 20  # bytes of text that one hash range of keys answers for
 BUCKETS = 24
-SPARE_BITS = 17  # bits of a bigram hash beyond log2(tokens): one bigram in 2^17 meets another one
+KEY_BITS = 62  # of a bigram hash: two distinct bigrams do not meet at any real number of them
 STEPS = 4  # quantisation of log2 ratios in the held-out table, per octave
 ABSENT = -(1 << 20)
 
@@ -309,7 +309,7 @@ def score_texts(docs: DataFrame, id_col: str = ID, text_col: str = TEXT, block_t
     rows = texts(docs, id_col, text_col).select(ID, TEXT, crc_part(ID, FOLDS).cast("int").alias("fold"))
     spark = docs.sparkSession
     size = rows.agg(F.sum(F.octet_length(TEXT))).first()[0] or 0
-    ranges, bits = max(8, math.ceil(size / range_bytes)), min(62, math.ceil(math.log2(max(size, 2))) + SPARE_BITS - 2)
+    ranges, bits = max(8, math.ceil(size / range_bytes)), KEY_BITS
     path = scratch_path(spark, "lm_blocks")
     _count_blocks(rows, ranges, block_tokens, bits).write.partitionBy("kind").parquet(path)
     blocks = spark.read.schema(_BLOCK).parquet(path).select(*_NAMES)

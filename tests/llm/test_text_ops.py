@@ -305,6 +305,14 @@ def test_long_stretch_is_decoded_whole():
         assert {(k, a - len(lead), b - len(lead)) for k, a, b in got} >= set(short), words
 
 
+def test_bigram_hashes_are_kept_whole(spark, monkeypatch):
+    seen = []
+    real = lm._count_blocks
+    monkeypatch.setattr(lm, "_count_blocks", lambda rows, ranges, block, bits: seen.append(bits) or real(rows, ranges, block, bits))
+    lm.score_texts(spark.createDataFrame([(i, "one two three four") for i in range(20)], "doc_id long, text string")).collect()
+    assert seen == [62]
+
+
 def test_common_lines_is_a_longest_common_subsequence():
     rng = random.Random(3)
     for _ in range(300):
