@@ -159,6 +159,7 @@ def audit_sources(docs: DataFrame, text_col: str = TEXT, lang_col: str = "lang",
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("n_lang").alias("in_lang"))
     blocks = F.ceil(F.col("kept") / F.lit(block)).cast("long")
     numbered = kept.join(langs, "lang").withColumn("block", F.pmod(F.xxhash64("term"), blocks))
+    numbered = numbered.repartition("lang", "block")  # else the window takes the join's deal, a task for each language
     numbered = numbered.withColumn("id", F.row_number().over(Window.partitionBy("lang", "block").orderBy("term")))
     uses = materialize(counts.select("lang", "source", "term", "n").join(numbered, ["lang", "term"]), "kept_counts")
 
