@@ -67,13 +67,13 @@ def _lit(values: list) -> Column:
 
 
 def template_table(spark: SparkSession, templates: list[Template]) -> DataFrame:
-    """template, label, base, words, must: a row for each template."""
-    rows = [F.struct(F.lit(i).alias("template"), F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), _lit(t.words).alias("words"), _lit(t.must).alias("must")) for i, t in enumerate(templates)]
+    """template, base, words: a row for each template."""
+    rows = [F.struct(F.lit(i).alias("template"), F.lit(t.base).alias("base"), _lit(t.words).alias("words")) for i, t in enumerate(templates)]
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def rare_word_index(words: DataFrame, templates: DataFrame, rarest: int = RAREST) -> DataFrame:
-    """word, at, need and the template's columns: a posting for each place of the words that the fewest rows of ``words`` (w) have.
+    """word, at, need, template: a posting for each place of the words that the fewest rows of ``words`` (w) have.
 
     A base template has one posting, the first place of its rarest word. Equally rare
     words are taken in the order of their places.
@@ -85,19 +85,30 @@ def rare_word_index(words: DataFrame, templates: DataFrame, rarest: int = RAREST
     by_rarity = Window.partitionBy("template").orderBy(F.coalesce("docs", F.lit(0)), "at")
     taken = F.when(F.col("base"), F.lit(1)).otherwise(F.least(F.lit(rarest), F.size("words")))
     need = F.when(F.col("base"), F.lit(1)).otherwise(F.ceil(taken * F.lit(AGREE)).cast("int"))
-    return places.withColumn("_n", F.row_number().over(by_rarity)).where(F.col("_n") <= taken).select("word", "at", need.alias("need"), "template", "label", "base", "words", "must")
+    return places.withColumn("_n", F.row_number().over(by_rarity)).where(F.col("_n") <= taken).select("word", "at", need.alias("need"), "template")
 
 
-def find_places(files: DataFrame, index: DataFrame) -> DataFrame:
-    """rid, label, base, start, score: the verified places of the templates in ``files`` (rid, w)."""
-    same = lambda i: F.get(F.col("w"), F.col("start") + i).eqNullSafe(F.get(F.col("words"), i))
-    hits = files.select("rid", "w", F.posexplode("w").alias("pos", "word")).join(F.broadcast(index), "word")
-    hits = hits.withColumn("start", F.col("pos") - F.col("at"))
-    hits = hits.where(F.forall("must", same))
-    size = F.size("words")
-    hits = hits.withColumn("score", F.size(F.filter(F.sequence(F.lit(0), size - F.lit(1)), same)) / size)
-    agreed = hits.groupBy("rid", "template", "start").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"), F.first("label").alias("label"), F.first("base").alias("base"), F.max("score").alias("score"))
-    return agreed.where(F.col("n") >= F.col("need")).select("rid", "label", "base", F.col("start").cast("long").alias("start"), "score")
+def find_starts(files: DataFrame, index: DataFrame) -> DataFrame:
+    """rid, starts: where templates (template, start) can stand in ``files`` (rid, w), by the agreement of their indexed words."""
+    hits = files.select("rid", F.posexplode("w").alias("pos", "word")).join(F.broadcast(index), "word")
+    agreed = hits.groupBy("rid", "template", (F.col("pos") - F.col("at")).alias("start")).agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
+    return agreed.where(F.col("n") >= F.col("need")).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "template"))).alias("starts"))
+
+
+def verified(starts: Column, w: Column, templates: list[Template]) -> Column:
+    """(start, label, base, score) of the starts at which all key phrases stand in the words ``w``."""
+    words, must = (F.array(*[_lit(x) for x in xs]) for xs in ([t.words for t in templates], [t.must for t in templates]))
+    labels, base = _lit([t.label for t in templates]), _lit([t.base for t in templates])
+
+    def same(c: Column):
+        return lambda i: F.get(w, c["start"] + i).eqNullSafe(F.get(F.get(words, c["template"]), i))
+
+    def place(c: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(F.get(words, c["template"])) - F.lit(1))
+        score = F.size(F.filter(places, same(c))) / F.size(places)
+        return F.struct(c["start"].cast("long").alias("start"), F.get(labels, c["template"]).alias("label"), F.get(base, c["template"]).alias("base"), score.alias("score"))
+
+    return F.transform(F.filter(starts, lambda c: F.forall(F.get(must, c["template"]), same(c))), place)
 
 
 def scan_licenses(docs: DataFrame, id_col: str = ID, text_col: str = TEXT, base: list[Template] = BASE, notices: list[Template] = NOTICES, rarest: int = RAREST) -> DataFrame:
@@ -107,27 +118,29 @@ def scan_licenses(docs: DataFrame, id_col: str = ID, text_col: str = TEXT, base:
     adds the labels of the notices found; a notice needs half of its indexed words and all
     its key phrases at their places. ``score`` is the largest share of a template's words
     at their places, over all verified places (a base phrase: 1), 0 without one. ``places``
-    lists (label, base, start, score).
+    lists (start, label, base, score).
 
     Edge cases: NULL text has no words. Overlapping places all count. Rows that repeat an
     id, or have none, are scanned each on their own. A document without an indexed word
     ends with the first look-up; the others' words are written once. A very long text is one
-    row's work and memory. Other columns are ignored. An empty table gives an empty result.
+    row's work, in proportion to its length. Other columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship_package(spark)
     words = docs.select(F.col(f"`{id_col}`").alias(ID), norm_words(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("w"))
-    index = materialize(rare_word_index(words, template_table(spark, [*base, *notices]), rarest), "license_index")
+    templates = [*base, *notices]
+    index = materialize(rare_word_index(words, template_table(spark, templates), rarest), "license_index")
     rare = [r["word"] for r in index.select("word").distinct().orderBy("word").collect()]  # at most `rarest` words per template
     # every row is named once, in a written table, so its name holds for all that follows
     held = words.select(F.monotonically_increasing_id().alias("rid"), ID, F.size("w").cast("long").alias("n_words"), F.when(F.arrays_overlap("w", _lit(rare)), F.col("w")).alias("w"))
     files = materialize(held, "license_files")
-    places = find_places(files.where(F.col("w").isNotNull()).select("rid", "w"), index)
-    is_base = F.col("base")
-    found = places.groupBy("rid").agg(
-        F.count_if(is_base).alias("n_base"), F.min(F.when(is_base, F.col("start"))).alias("first_word"), F.max(F.when(is_base, F.col("start"))).alias("last_word"),
-        F.array_join(F.sort_array(F.collect_set(F.when(is_base, F.col("label")))), ",").alias("base_labels"), F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"),
-        F.max("score").alias("score"), F.sort_array(F.collect_list(F.struct("start", "label", "base", "score"))).alias("places"),
+    licensed = files.where(F.col("w").isNotNull()).select("rid", "w")
+    places = licensed.join(find_starts(licensed, index), "rid").select("rid", verified(F.col("starts"), F.col("w"), templates).alias("places")).where(F.size("places") > 0)
+    based = F.filter("places", lambda p: p["base"])
+    one_each = lambda at: F.array_join(F.array_sort(F.array_distinct(F.transform(at, lambda p: p["label"]))), ",")
+    found = places.select(
+        "rid", F.size(based).cast("long").alias("n_base"), F.array_min(F.transform(based, lambda p: p["start"])).alias("first_word"), F.array_max(F.transform(based, lambda p: p["start"])).alias("last_word"),
+        one_each(based).alias("base_labels"), one_each(F.col("places")).alias("labels"), F.array_max(F.transform("places", lambda p: p["score"])).alias("score"), "places",
     )
     out = files.select("rid", ID, "n_words").join(found, "rid", "left")
     none = {"n_base": F.lit(0).cast("long"), "base_labels": F.lit(""), "labels": F.lit(""), "score": F.lit(0.0)}
