@@ -19,11 +19,12 @@ Here the ordered scan is split across tasks instead:
 
 There is one path for every size; no group is ever collected into one task.
 
-``exact_quantiles`` builds on it: the row holding rank k is the one whose
-running count crosses k, so quantiles with linear interpolation (pandas,
-NumPy and DuckDB ``quantile_cont``) come out exact without holding any group's
-values in one task, unlike Spark's ``percentile`` aggregate whose buffer keeps
-every distinct value of the group.
+``exact_quantiles`` needs single ranks only, not an order of everything: a quantile
+sketch cuts the values into cells, the cells are counted, and only those that hold a
+wanted rank are ranked value by value. Quantiles with linear interpolation (pandas,
+NumPy and DuckDB ``quantile_cont``) come out exact without a sort of the column and
+without holding a group's values in one task, unlike Spark's ``percentile`` aggregate
+whose buffer keeps every distinct value of the group.
 """
 
 from __future__ import annotations
@@ -154,6 +155,39 @@ def running_totals(
     )
 
 
+#: values that one task may rank (they are sorted and streamed, with spilling), and cells per narrowing
+RANKED, FAN = 1 << 22, 1024
+
+
+def _cell(x: str, edges: str, fan: int, df: DataFrame) -> DataFrame:
+    """``df`` with ``_sub``: the number of sorted ``edges`` below ``x``, by binary search (a projection per halving, all generated code)."""
+    df, step = df.withColumn("_sub", F.lit(0)), 1 << (fan - 1).bit_length()
+    while step := step >> 1:
+        probe = F.get(F.col(edges), F.col("_sub") + F.lit(step - 1))
+        df = df.withColumn("_sub", F.when(probe < F.col(x), F.col("_sub") + F.lit(step)).otherwise(F.col("_sub")))
+    return df
+
+
+def _narrowed(rows: DataFrame, ranks: DataFrame, key: list[str], fan: int) -> tuple[DataFrame, DataFrame]:
+    """One narrowing of ``rows`` (key, _v, _w) and of the ``ranks`` (key, _k, _below) looked for in each cell.
+
+    A mergeable quantile sketch (partial aggregate) cuts each cell into at most ``fan``
+    parts, the parts are counted, and only the parts that hold a rank go on. Exactness
+    does not rest on the sketch: it decides how even the parts are, the counts which
+    part holds a rank.
+    """
+    grid = [i / fan for i in range(1, fan)]
+    edges = rows.groupBy(*key).agg(F.percentile_approx("_v", grid, 4 * fan).alias("_edges"))
+    cut = _cell("_v", "_edges", fan, join_on(rows, edges, key)).drop("_edges")
+    counts = cut.groupBy(*key, "_sub").agg(F.sum("_w").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*key).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*key, "_sub", "_n", before.alias("_before"))
+    found = join_on(ranks, counts, key).withColumn("_low", F.col("_below") + F.col("_before")).where((F.col("_low") <= F.col("_k")) & (F.col("_k") < F.col("_low") + F.col("_n")))
+    found = found.select(*key[:-1], (F.col("_c") * F.lit(fan) + F.col("_sub")).alias("_c"), "_k", F.col("_low").alias("_below"))
+    cut = cut.select(*key[:-1], (F.col("_c") * F.lit(fan) + F.col("_sub")).alias("_c"), "_v", "_w")
+    return join_on(cut, found.select(*key).distinct(), key), found
+
+
 def exact_quantiles(
     df: DataFrame,
     value: str,
@@ -161,6 +195,8 @@ def exact_quantiles(
     within: Sequence[str] = (),
     names: Sequence[str] | None = None,
     weight: str | None = None,
+    ranked: int = RANKED,
+    fan: int = FAN,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles of the non-null ``value`` per group.
 
@@ -168,29 +204,46 @@ def exact_quantiles(
     Returns one row per group with one column per probability (``names`` or
     ``q0, q1, ...``) and ``n`` (non-null count). ``weight`` (an integer count
     column) lets a caller pass rows that are already (value, count) pairs.
+
+    Equal values are counted first, so a hot value is one row. Tables of more than
+    ``ranked`` rows are narrowed to the cells that hold the wanted ranks, by a factor of
+    about ``fan`` each time, until no task has more than ``ranked`` values to rank: no
+    narrowing up to 4 million rows, one up to 4 billion, two up to 4 trillion. Nothing is
+    written, and the full column is never sorted or shuffled.
     """
     within = list(within)
     names = list(names) if names is not None else [f"q{i}" for i in range(len(probs))]
-    base = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
-    w_expr = F.sum(F.col(weight)).cast("bigint") if weight else F.count(F.lit(1))
-    counts = base.groupBy(*within, value).agg(w_expr.alias("_w"))
-    ranked = running_totals(counts, [value], ["_w"], within)
-    cum, n = F.col(_cum_name("_w")), F.col(_tot_name("_w"))
+    present = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
+    rows = present.select(*within, F.lit(0).cast("long").alias("_c"), F.col(value).alias("_v"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"))
+    key, left = [*within, "_c"], df.count()
+    if left <= ranked:
+        ordered = Window.partitionBy(*key).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        counts = rows.groupBy(*key, "_v").agg(F.sum("_w").alias("_w"))
+        spread = counts.select(*within, "_v", "_w", F.sum("_w").over(ordered).alias("_cum"), F.sum("_w").over(Window.partitionBy(*key)).alias("_n"))
+    else:
+        totals = rows.groupBy(*key).agg(F.sum("_w").alias("_n"))
+        ends = [f((F.col("_n") - F.lit(1)).cast("double") * F.lit(float(p))) for p in probs for f in (F.floor, F.ceil)]
+        ranks = totals.select(*key, F.explode(F.array_distinct(F.array(*[e.cast("long") for e in ends]))).alias("_k"), F.lit(0).cast("long").alias("_below"))
+        while left > ranked:
+            rows, ranks = _narrowed(rows, ranks, key, fan)
+            left = -(-left // fan)
+        ordered = Window.partitionBy(*key).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        counts = rows.groupBy(*key, "_v").agg(F.sum("_w").alias("_w"))
+        placed = join_on(counts.select(*key, "_v", "_w", F.sum("_w").over(ordered).alias("_in")), ranks.select(*key, "_below").distinct(), key)
+        spread = join_on(placed.select(*within, "_v", "_w", (F.col("_below") + F.col("_in")).alias("_cum")), totals.drop("_c"), within)
+
+    n, cum = F.col("_n"), F.col("_cum")
     first_rank = cum - F.col("_w")  # 0-based rank of the first copy of this value
-
     aggs = []
     for i, p in enumerate(probs):
         h = (n - F.lit(1)).cast("double") * F.lit(float(p))
-        lo = F.floor(h)
-        hi = F.ceil(h)
-        holds_lo = (first_rank <= lo) & (lo < cum)
-        holds_hi = (first_rank <= hi) & (hi < cum)
+        lo, hi = F.floor(h), F.ceil(h)
         aggs += [
-            F.max(F.when(holds_lo, F.col(value))).alias(f"_lo{i}"),
-            F.max(F.when(holds_hi, F.col(value))).alias(f"_hi{i}"),
+            F.max(F.when((first_rank <= lo) & (lo < cum), F.col("_v"))).alias(f"_lo{i}"),
+            F.max(F.when((first_rank <= hi) & (hi < cum), F.col("_v"))).alias(f"_hi{i}"),
             F.max(h - lo).alias(f"_d{i}"),
         ]
-    picked = ranked.groupBy(*within).agg(F.max(n).alias("n"), *aggs)
+    picked = spread.groupBy(*within).agg(F.max(n).alias("n"), *aggs)
     return picked.select(
         *within,
         "n",

@@ -67,3 +67,28 @@ def test_null_groups_are_groups(spark, kind, partitions):
     assert sorted(by) == sorted(map(str, keys)) and all(c == list(range(1, 31)) for c in by.values())
     q = {str(r.g): (r.q0, r.n) for r in exact_quantiles(df, "v", [0.5], within=["g"]).collect()}
     assert q == {str(keys[i]): (43.5 + i, 30) for i in range(3)}
+
+
+@pytest.mark.parametrize("ranked,fan", [(10**9, 1024), (700, 8), (60, 4), (3, 32)])
+def test_narrowing_never_changes_a_quantile(spark, ranked, fan):
+    """The same values with no narrowing, one, and several; NULL groups, hot values, missing values and weights among them."""
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b", "tiny", ""], 4000, p=[0.5, 0.4, 0.001, 0.099]), "v": np.where(rng.random(4000) < 0.35, 7.25, np.round(rng.normal(0, 50, 4000), 2))})
+    pdf.loc[pdf["g"] == "b", "v"] = 1.5
+    rows = [(None if g == "" else g, float(v), i % 3) for i, (g, v) in enumerate(zip(pdf["g"], pdf["v"]))] + [("a", None, 1), ("a", float("nan"), 1), ("void", None, 1)]
+    df = spark.createDataFrame(rows, "g string, v double, w int").repartition(5)
+    probs = [0.0, 0.003, 0.25, 0.5, 0.9, 1.0]
+    got = {r.g or "": r for r in exact_quantiles(df, "v", probs, within=["g"], ranked=ranked, fan=fan).collect()}
+    assert sorted(got) == sorted(pdf["g"].unique())
+    for g, own in pdf.groupby("g")["v"]:
+        assert got[g].n == len(own)
+        np.testing.assert_allclose([got[g][f"q{i}"] for i in range(6)], own.quantile(probs), rtol=0, atol=1e-12)
+    whole = exact_quantiles(df, "v", [0.3], weight="w", ranked=ranked, fan=fan).first()
+    every = np.repeat([v for _, v, _ in rows[:-3]], [w for _, _, w in rows[:-3]])
+    assert whole.n == len(every) and whole.q0 == pytest.approx(np.quantile(every, 0.3), abs=1e-12)
+
+
+def test_quantiles_write_and_sort_nothing(frame):
+    _, df = frame
+    plan = exact_quantiles(df, "v", [0.5], within=["g"], ranked=100)._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan and "FileScan" not in plan
