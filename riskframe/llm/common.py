@@ -51,5 +51,8 @@ def drop_rows(docs: DataFrame, verdicts: DataFrame, id_col: str = ID, text_col:
     Each row meets the verdict of its own text: of two texts under one doc_id one
     may go and the other stay. Rows without an id are kept.
     """
-    gone = verdicts.where(F.col(ID).isNotNull()).select(F.col("rid").alias("_drop")).distinct()
-    return docs.join(gone, row_id(id_col, text_col) == F.col("_drop"), "left_anti")
+    key = "_drop"
+    while key in docs.columns:  # a name that the documents do not have
+        key += "_"
+    gone = verdicts.where(F.col(ID).isNotNull()).select(F.col("rid").alias(key)).distinct()
+    return docs.join(gone, row_id(id_col, text_col) == F.col(key), "left_anti")

@@ -249,3 +249,16 @@ def test_scan_runs_without_python(spark, license_rows):
     df = spark.createDataFrame([(d, t, "w", 5, 1, "l", 2) for d, t in license_rows], FILES)
     plan = licenses.scan_licenses(df)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# ---------------------------------------------------------------------------
+# filters
+# ---------------------------------------------------------------------------
+
+
+def test_filters_keep_columns_of_any_name(spark):
+    from riskframe.llm.exact_dedup import keep_first_copies
+
+    df = spark.createDataFrame([(1, "a", "x", 1), (2, "a", "y", 2), (3, "b", None, 3)], "doc_id long, text string, _drop string, rid int")
+    got = keep_first_copies(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == [(1, "a", "x", 1), (3, "b", None, 3)]
