@@ -320,6 +320,30 @@ def fold_column(id_col: str = C.ID, k: int = 3, seed: int = 42) -> Column:
     return F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + 1)), F.lit(k)).cast("int")
 
 
+def portable_key(id_col: str = C.ID, seed: int = 42) -> Column:
+    """A seeded key of a whole-number id in 0..2^32-1 that any SQL engine can state: (id mod 2^31) * 2654435761 + seed * 40503, mod 2^32.
+
+    ``holdout_flag`` and ``fold_column`` hash with Spark's own function; splits that other
+    systems must reproduce take this key instead (a multiplicative hash, then modulus).
+    """
+    return F.pmod(F.pmod(F.col(id_col), F.lit(1 << 31)) * F.lit(2654435761) + F.lit(seed * 40503), F.lit(1 << 32))
+
+
+def portable_holdout(id_col: str = C.ID, pct: int = 20, seed: int = 42) -> Column:
+    """F11 by ``portable_key``: the lowest ``pct`` hundredths of the key range."""
+    return F.col(id_col).isNotNull() & (F.coalesce(portable_key(id_col, seed), F.lit(1 << 32)) * F.lit(100) < F.lit(pct << 32))
+
+
+def portable_fold(id_col: str = C.ID, k: int = 5, seed: int = 42) -> Column:
+    """F12 by ``portable_key``: k equal stretches of the key range, 0..k-1."""
+    return F.shiftright(portable_key(id_col, seed + 1) * F.lit(k), 32).cast("int")
+
+
+def portable_sample(df: DataFrame, n: int, id_col: str = C.ID, seed: int = 42) -> DataFrame:
+    """J7 by ``portable_key``: the ``n`` rows with the smallest keys (ties: smaller id)."""
+    return df.orderBy(portable_key(id_col, seed), F.col(id_col)).limit(n)
+
+
 def feature_list(model: RiskPreprocessorModel, df: DataFrame) -> list[str]:
     return model.feature_names(df)
 

@@ -303,3 +303,9 @@ def residual_summary(df: DataFrame, actual: str, predicted: str, bins: int = 50)
     e = df.select((F.col(actual) - F.col(predicted)).alias("error"))
     mean = e.agg(F.round(F.avg("error"), 6).alias("mean_error"), F.round(F.stddev_samp("error"), 6).alias("sd_error"))
     return mean, histogram(e, "error", bins)
+
+
+def qq_line(grid: DataFrame, theoretical: str = "theoretical", sample: str = "sample") -> DataFrame:
+    """Least-squares line through the points of a Q-Q grid, and their correlation (the plot's straight line)."""
+    y, x = F.col(sample), F.col(theoretical)
+    return grid.agg(F.round(F.regr_slope(y, x), 6).alias("slope"), F.round(F.regr_intercept(y, x), 6).alias("intercept"), F.round(F.corr(y, x), 6).alias("r"))

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import columns as X
-from .prefix import exact_quantiles, unpivot
+from .prefix import _cum_name, _tot_name, exact_quantiles, running_totals, unpivot
+from .profile import kolmogorov_sf
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -193,6 +194,25 @@ def sentinel_impact(df: DataFrame, target: str = C.TARGET, codes: Mapping[str, f
     return _impact(df, target, masks, "n_sentinel", "sentinel")
 
 
+def sentinel_impact_test(df: DataFrame, target: str = C.TARGET, codes: Mapping[str, float] | None = None) -> DataFrame:
+    """A16 with its test: ``sentinel_impact`` and, per column, the two-sample KS distance and p of the target of coded against real rows.
+
+    All columns share one range-ordered scan of the (column, target) counts. A column
+    without a coded or without a real row has no distance.
+    """
+    codes = dict({"x3": C.SENTINEL, "x4": C.SENTINEL} if codes is None else codes)
+    marks = F.array(*[F.struct(F.lit(c).alias("variable"), (F.col(c) == F.lit(s)).alias("coded")) for c, s in codes.items()])
+    rows = df.where(F.col(target).isNotNull()).select(F.col(target).alias("_y"), F.explode(marks).alias("m")).select("m.variable", "_y", "m.coded").where(F.col("coded").isNotNull())
+    counts = rows.groupBy("variable", "_y").agg(F.count_if("coded").alias("ca"), F.count_if(~F.col("coded")).alias("cb"))
+    ranked = running_totals(counts, ["_y"], ["ca", "cb"], within=["variable"])
+    share = {c: F.try_divide(F.col(_cum_name(c)), F.col(_tot_name(c))) for c in ("ca", "cb")}
+    d = ranked.groupBy("variable").agg(F.max(F.abs(share["ca"] - share["cb"])).alias("d"), F.max(_tot_name("ca")).alias("a"), F.max(_tot_name("cb")).alias("b"))
+    size = F.try_divide(F.col("a") * F.col("b"), F.col("a") + F.col("b"))
+    tests = d.select(F.col("variable").alias("_variable"), F.round("d", 6).alias("ks_stat"), F.when(F.col("d").isNotNull(), F.round(kolmogorov_sf(F.sqrt(size) * F.col("d")), 6)).alias("p_value"))
+    impact = sentinel_impact(df, target, codes)
+    return impact.join(tests, F.col("variable") == F.col("_variable"), "left").drop("_variable")
+
+
 def null_impact(df: DataFrame, target: str = C.TARGET, cols: Sequence[str] = C.NULL_FLAG_COLS, sentinel: float = C.SENTINEL) -> DataFrame:
     """Per column n NULL, mean target when NULL vs real (non-code) value, % difference."""
     masks = {c: (F.col(c).isNull(), F.col(c).isNotNull() & (F.col(c) != F.lit(sentinel))) for c in cols}
