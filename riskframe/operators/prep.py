@@ -22,7 +22,8 @@ from collections.abc import Sequence
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -31,6 +32,7 @@ from ..session import materialize
 from ..sources.tables import load_params, save_params
 from .prefix import exact_quantiles, unpivot
 from .quality import replace_sentinels
+from .saved import Stateful
 
 X7_LABELS = [s.lower() for s in C.X7_LABELS]
 
@@ -54,7 +56,7 @@ class _PrepParams(Params):
         )
 
 
-class RiskPreprocessor(Estimator, _PrepParams):
+class RiskPreprocessor(Estimator, _PrepParams, DefaultParamsReadable, DefaultParamsWritable):
     """preprocessing estimator; parameters as in the reference, plus column roles."""
 
     def __init__(self, **kwargs):
@@ -144,7 +146,7 @@ class RiskPreprocessor(Estimator, _PrepParams):
         return self._copyValues(model)
 
 
-class RiskPreprocessorModel(Model, _PrepParams):
+class RiskPreprocessorModel(Model, _PrepParams, Stateful):
     """Fitted preprocessing; ``transform`` is one projection (+ a join to the encoding table)."""
 
     def __init__(self, state: dict | None = None, encoding_df: DataFrame | None = None):
@@ -265,15 +267,13 @@ class RiskPreprocessorModel(Model, _PrepParams):
         return names
 
     # ---- S5 persistence ------------------------------------------------------
-    def save(self, path: str) -> None:
-        spark = _active()
+    def save_state(self, spark: SparkSession, path: str) -> None:
         save_params(spark, path, self.state | {"has_encoding": self.encoding_df is not None})
         if self.encoding_df is not None:
             self.encoding_df.write.mode("overwrite").parquet(path.rstrip("/") + "/encoding")
 
     @classmethod
-    def load(cls, path: str) -> "RiskPreprocessorModel":
-        spark = _active()
+    def load_state(cls, spark: SparkSession, path: str) -> "RiskPreprocessorModel":
         state = load_params(spark, path)
         state["bounds"] = {k: tuple(v) for k, v in state["bounds"].items()}
         # a model saved with its encoding must be read with it: a missing folder is an error, not a smaller model
@@ -296,12 +296,6 @@ def target_encoding_table(df: DataFrame, category: str, label: str = C.TARGET, s
     return per.select("level", "n", "mean", ((F.col("n") * F.col("mean") + k * g) / (F.col("n") + k)).alias("encoding"))
 
 
-def _active():
-    from pyspark.sql import SparkSession
-
-    return SparkSession.getActiveSession()
-
-
 def prepare_train_test(df: DataFrame, label: str = C.TARGET, split: str = C.SPLIT, id_col: str = C.ID, **params):
     """filter the splits, fit on TRAIN, transform both. Identity, split and target pass through."""
     train = df.where(F.col(split) == C.TRAIN)

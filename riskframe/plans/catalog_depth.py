@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..operators import linear as L
 from ..operators import prep as P
 from ..operators import profile as PR
 from ..operators import quality as Q
 from ..operators import scoring as SC
+from ..session import scratch_path
 from ..sources.applicants import applicants
 from . import sqlparts as S
 from .catalog import SQL, base, register
@@ -130,3 +133,12 @@ def q_portable_folds(spark, sf):
 def q_portable_sample(spark, sf):
     """2,000 applicants (the size of the reference's sample) in the order of the key."""
     return P.portable_sample(applicants(spark, sf), 2000).select(C.ID, C.TARGET)
+
+
+@register("pipeline_persistence")
+def q_pipeline_persistence(spark, sf):
+    """T6 + S5 + O1: preprocessor and log-linear model fitted on TRAIN as one ``Pipeline``, saved, loaded and applied to every applicant."""
+    a = base(spark, sf)
+    path = scratch_path(spark, "pipeline_model")
+    Pipeline(stages=[P.RiskPreprocessor(), L.LogLinearRegression()]).fit(a.where(F.col(C.SPLIT) == C.TRAIN)).write().save(path)
+    return PipelineModel.load(path).transform(a).select(C.ID, C.SPLIT, F.round("prediction", 2).alias("prediction"))
