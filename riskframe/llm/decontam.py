@@ -1,8 +1,8 @@
 """Benchmark decontamination with DataFrame functions only.
 
 The distinct test windows (13 words, or a whole shorter item) form a hash set;
-every window of every document is hashed and looked up, hits are verified word by
-word, and the covered words are counted. The set is broadcast only while its
+a document's windows are hashed and looked up where two words of theirs begin one, hits
+are verified word by word, and the covered words are counted. The set is broadcast only while its
 counted size is under a bound; beyond it the same join shuffles.
 """
 
@@ -17,19 +17,13 @@ WINDOW = 13
 #: fixed values: the bytes between words, once the text is lower-cased (A-Z only)
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: windows that may be broadcast: about 60 bytes each, 60 MB at most
+#: windows (of items) that may be broadcast: about 60 bytes each, 60 MB at most
 BROADCAST_WINDOWS = 1_000_000
 
 
 def norm_words(text: Column) -> Column:
     """Words of the text with A-Z lower-cased: runs of 0-9, a-z and all non-ASCII characters."""
-    return F.filter(F.split(F.translate(text, UPPER, LOWER), BETWEEN), lambda w: w != "")
-
-
-def _windows(words: Column, k: int) -> Column:
-    """Hashes of all runs of ``k`` words, in order (empty array if there are fewer words)."""
-    starts = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - F.lit(k - 1)))
-    return F.coalesce(F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, k))), F.array().cast("array<long>"))
+    return F.array_remove(F.split(F.translate(text, UPPER, LOWER), BETWEEN), "")
 
 
 def benchmark_windows(bench: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = TEXT) -> DataFrame:
@@ -41,16 +35,33 @@ def benchmark_windows(bench: DataFrame, window: int = WINDOW, id_col: str = "ite
 
 
 def find_hits(docs: DataFrame, grams: DataFrame, lengths: list[int], broadcast: bool) -> DataFrame:
-    """(rid, pos, k, h): verified occurrences of the distinct windows ``grams`` (k, h, gram) in ``docs`` (rid, w)."""
-    hits = None
-    for k in lengths:
-        mine = grams.where(F.col("k") == k).select("h", "gram")
-        scan = docs.select("rid", "w", F.posexplode(_windows(F.col("w"), k)).alias("pos", "h"))
-        found = scan.join(F.broadcast(mine) if broadcast else mine, "h")
-        found = found.where(F.slice(F.col("w"), F.col("pos") + 1, k) == F.col("gram"))
-        found = found.select("rid", "pos", F.lit(k).alias("k"), "h")
-        hits = found if hits is None else hits.unionByName(found)
-    return hits
+    """(rid, pos, k, h): verified occurrences of the distinct windows ``grams`` (k, h, gram) in ``docs`` (rid, w).
+
+    One scan serves all lengths. With a broadcast set, a position is looked at only when its
+    word and the next one begin some window; its window is built and hashed there alone.
+    Beyond the bound every position's windows are hashed and joined by a shuffle, without
+    the documents' words, which the hits meet again by ``rid``.
+    """
+    # (outer: else Spark splits each text once more to drop the empty ones first)
+    scan = docs.select("rid", "w", F.posexplode_outer("w").alias("pos", "word"))
+    run = F.slice(F.col("w"), F.col("pos") + 1, F.col("k"))
+    fits = F.size("w") >= F.col("pos") + F.col("k")
+    if not broadcast:
+        at = scan.select("rid", "w", "pos", F.explode(F.array(*[F.lit(k) for k in lengths])).alias("k")).where(fits)
+        found = at.select("rid", "pos", "k", F.xxhash64(run).alias("h")).join(grams.select("k", "h", "gram"), ["k", "h"])
+        found = found.join(docs, "rid")
+    else:
+        starts = grams.select("k", F.get("gram", F.lit(0)).alias("word"), F.get("gram", F.lit(1)).alias("next")).distinct()
+        parts = []
+        if max(lengths) > 1:
+            parts.append(scan.withColumn("next", F.get("w", F.col("pos") + 1)).join(F.broadcast(starts.where("k > 1")), ["word", "next"]))
+        if 1 in lengths:
+            parts.append(scan.join(F.broadcast(starts.where("k = 1").drop("next")), "word"))
+        found = None
+        for at in parts:
+            one = at.where(fits).select("rid", "w", "pos", "k", F.xxhash64(run).alias("h")).join(F.broadcast(grams.select("k", "h", "gram")), ["k", "h"])
+            found = one if found is None else found.unionByName(one)
+    return found.where(run == F.col("gram")).select("rid", "pos", "k", "h")
 
 
 def covered(spans: Column) -> Column:
@@ -79,7 +90,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, one_i
     Other columns are ignored. An empty table on either side gives no hits.
     """
     all_grams = materialize(benchmark_windows(bench, window, item_col, item_text), "bench_windows")
-    size = all_grams.groupBy("k").agg(F.countDistinct("gram").alias("n")).collect()  # at most `window` rows
+    size = all_grams.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()  # at most `window` rows
+    # counted with their items, so the table of items is bounded too
     lengths, broadcast = sorted(r["k"] for r in size), sum(r["n"] for r in size) <= broadcast_windows
     # a row is known by its id and a hash of its text: both scans below then agree, however the rows are dealt
     rid, more = row_id(), ["rid"] if with_rid else []
