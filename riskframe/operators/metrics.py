@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..session import materialize
 from .prefix import _cum_name, _tot_name, exact_quantiles, join_on, qcut_bucket, running_totals
 
 
@@ -40,7 +41,8 @@ def regression_metrics(df: DataFrame, y: str, yhat: str, by: Sequence[str] = (),
 
 
 def _medians(df: DataFrame, y: str, by: Sequence[str]) -> DataFrame:
-    return exact_quantiles(df, y, [0.5], within=list(by), names=["_med"]).drop("n")
+    """A row per group, written: Gini and KS both read it."""
+    return materialize(exact_quantiles(df, y, [0.5], within=list(by), names=["_med"]).drop("n"), "medians")
 
 
 def gini(df: DataFrame, y: str, yhat: str, by: Sequence[str] = (), medians: DataFrame | None = None) -> DataFrame:
