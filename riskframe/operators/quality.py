@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -259,6 +259,20 @@ def real_nulls(df: DataFrame, cols: Sequence[str] = ("x3", "x4"), sentinel: floa
     return wide.unpivot([], list(cols), "variable", "n_real_null")
 
 
+def new_levels(df: DataFrame, level: Column, current: Column, reference: Column) -> DataFrame:
+    """One row: n_new (current rows whose level no reference row has), n (current rows), new_share_pct.
+
+    One aggregate over the rows, then one over the levels: what moves is a row per
+    level and task, at any number of levels and for a level that holds a third of
+    all rows. NULL is a level. Rows that are neither current nor reference don't count.
+    """
+    rows = df.select(level.alias("_level"), F.coalesce(current, F.lit(False)).alias("_cur"), F.coalesce(reference, F.lit(False)).alias("_ref"))
+    levels = rows.groupBy("_level").agg(F.count_if("_cur").alias("k"), F.max("_ref").alias("known"))
+    new = F.coalesce(F.sum(F.when(~F.col("known"), F.col("k"))), F.lit(0)).alias("n_new")
+    out = levels.agg(new, F.coalesce(F.sum("k"), F.lit(0)).alias("n"))
+    return out.select("n_new", "n", F.try_divide(F.lit(100.0) * F.col("n_new"), F.col("n")).alias("new_share_pct"))
+
+
 def post_conditions(raw: DataFrame, prepped: DataFrame, codes: Mapping[str, float] | None = None) -> DataFrame:
     """after transform no NULL and no code is left, and every flag count equals the raw code count.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..operators import metrics as M
+from ..operators import quality as Q
 from ..operators import scoring as SC
 from ..operators import stability as ST
 from ..operators.prefix import unpivot
@@ -202,10 +203,8 @@ def q_drift_rules(spark, sf):
         F.struct(F.lit("rmse_increase_pct").alias("rule"), (F.lit(100.0) * (F.col("r_te") - F.col("r_tr")) / F.col("r_tr")).alias("value"), F.lit(10.0).alias("threshold")),
     )).alias("s")).select("s.*")
     lvl = F.coalesce(F.col("x9"), F.lit(C.UNKNOWN_CATEGORY))
-    train_levels = c.where(is_tr).select(lvl.alias("level")).distinct()
-    test = c.where(is_te).select(lvl.alias("level"))
-    new = test.join(train_levels, "level", "left_anti").agg(F.count(F.lit(1)).alias("k")).crossJoin(test.agg(F.count(F.lit(1)).alias("n")))
-    r4 = new.select(F.lit("new_category_share_pct").alias("rule"), (F.lit(100.0) * F.col("k") / F.col("n")).alias("value"), F.lit(1.0).alias("threshold"))
+    new = Q.new_levels(c, lvl, is_te, is_tr)
+    r4 = new.select(F.lit("new_category_share_pct").alias("rule"), F.col("new_share_pct").alias("value"), F.lit(1.0).alias("threshold"))
     pr = c.select(C.SPLIT, C.TARGET, SCORERS["lin_a"][0]().alias("pred"))
     gi = M.gini(pr, C.TARGET, "pred", [C.SPLIT]).agg(
         F.max(F.when(F.col(C.SPLIT) == C.TRAIN, F.col("gini"))).alias("tr"), F.max(F.when(F.col(C.SPLIT) == C.TEST, F.col("gini"))).alias("te")

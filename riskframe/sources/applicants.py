@@ -14,7 +14,7 @@ the runtime size) and nation is a 25-row dimension.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -25,11 +25,10 @@ def _cents(c):
     return F.round(c * F.lit(100.0)).cast("bigint")
 
 
-def line_item_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-order aggregate of the line items (partial aggregation before the shuffle on the order key)."""
-    li = read_table(spark, sf_dir, "lineitem")
+def line_item_aggregates() -> list[Column]:
+    """The columns of an order's line-item summary."""
     ext_c = _cents(F.col("l_extendedprice"))
-    return li.groupBy("l_orderkey").agg(
+    return [
         F.count(F.lit(1)).alias("n_lines"),
         F.sum(ext_c * _cents(F.lit(1.0) - F.col("l_discount"))).alias("tgt_c"),
         F.sum("l_quantity").alias("qty"),
@@ -39,7 +38,12 @@ def line_item_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("l_extendedprice").alias("max_ext"),
         F.min("l_quantity").alias("min_q"),
         F.max("l_quantity").alias("max_q"),
-    )
+    ]
+
+
+def line_item_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-order aggregate of the line items (partial aggregation before the shuffle on the order key)."""
+    return read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*line_item_aggregates())
 
 
 def applicants(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None, per_order: DataFrame | None = None) -> DataFrame:
@@ -47,12 +51,16 @@ def applicants(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None
     (stream-static joins against the aggregated line items and the customers).
     ``per_order`` lets a caller pass an already written line-item summary."""
     orders = (orders if orders is not None else read_table(spark, sf_dir, "orders")).select("o_orderkey", "o_custkey", "o_totalprice")
+    per_order = per_order if per_order is not None else line_item_summary(spark, sf_dir)
+    return with_customers(spark, sf_dir, orders.join(per_order, orders.o_orderkey == per_order.l_orderkey))
+
+
+def with_customers(spark: SparkSession, sf_dir: str, summed: DataFrame) -> DataFrame:
+    """The applicants layout of orders that carry their line-item summary (batch or stream)."""
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    per_order = per_order if per_order is not None else line_item_summary(spark, sf_dir)
     j = (
-        orders.join(per_order, orders.o_orderkey == per_order.l_orderkey)
-        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        summed.join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     )
     k = F.col("o_orderkey")

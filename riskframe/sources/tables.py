@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch_path, shuffle_partitions
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -77,6 +80,22 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     w.parquet(path)
 
 
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None) -> DataFrame:
+    """S3: ``df`` as a table in hash buckets of ``key``, one sorted file per bucket, and the table read back.
+
+    Two tables written with the same number of buckets join on their keys, or
+    group by them, without an exchange. The default is the session's shuffle
+    partitions, which a cluster sizes for its data. The files lie in the shared
+    folder; the table's name is new in each call and known to this session's catalog.
+    """
+    spark = df.sparkSession
+    n = buckets or shuffle_partitions(spark)
+    path = scratch_path(spark, f"bucketed_{name}")
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """Small report tables (one row per model / decile / feature) as one CSV file."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
