@@ -6,12 +6,14 @@ maximisation on held-out counts: one seventh of the training texts is scored wit
 the counts of the rest. The final counts are those of all training texts.
 
 The counts cover the whole corpus and are never collected. Texts are cut into
-blocks of about a million tokens. A block sends its distinct words and bigrams
-with their counts, packed as sorted arrays, to the tasks that own their hash
-ranges; those add up the blocks and answer with the totals of exactly the keys
-that each block asked about. A block then meets its answers and looks up its
-tokens. Both shuffles carry a few bytes per distinct key of a block, hot words
-are one key per block, and a task holds one hash range or one block.
+blocks of about a million tokens, written once as word numbers and word hashes.
+From those a block takes its distinct words and bigrams with their counts and
+sends them, packed as sorted arrays, to the tasks that own their hash ranges;
+those add up the blocks and answer with the totals of exactly the keys that each
+block asked about. A block then meets its answers and looks up its tokens. The
+keys themselves are only shuffled, never written: a block derives them again
+from its numbers. Both shuffles carry a few bytes per distinct key of a block,
+hot words are one key per block, and a task holds one hash range or one block.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, TEXT, crc_part, materialize, remove_folder, scratch_path, slices, texts
+from .common import ID, TEXT, crc_part, materialize, scratch_path, slices, texts
 from .text import word_bytes
 
 FOLDS, HELD_OUT, DEV = 7, 2, 3
@@ -107,41 +109,71 @@ class _Block:
         self.docs.append((doc, fold, np.array(ids, dtype=np.uint32)))
         self.tokens += len(ids)
 
-    def rows(self, block: int, ranges: int, bits: int) -> Iterator[pa.RecordBatch]:
+    def rows(self, block: int, bits: int) -> Iterator[pa.RecordBatch]:
         tokens = np.concatenate([t for _, _, t in self.docs])
         sizes = np.array([len(t) for _, _, t in self.docs], dtype=np.int64)
-        starts = np.cumsum(sizes) - sizes
         folds = np.array([f for _, f, _ in self.docs], dtype=np.uint8)
         hashes = np.array([xxhash.xxh64_intdigest(w) for w in self.words], dtype=np.uint64)
-        keys, of_word, of_pair, context = _sorted_keys(tokens, starts, hashes, bits)
-        fold = np.repeat(folds, sizes)
-        counts = []
-        for use in (fold != HELD_OUT, fold == DEV):
-            c = np.bincount(of_pair[use], minlength=len(keys))
-            c += np.bincount(of_word[tokens[use]], minlength=len(keys))
-            counts.append(c.astype(np.uint32))
-        cuts = np.searchsorted(keys, _borders(ranges))
-        cuts = np.concatenate([[0], cuts, [len(keys)]])
-        parts = [(int(p), int(a), int(b)) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(["keys"] * len(parts)), pa.array([block] * len(parts), pa.int64()), pa.array([p for p, _, _ in parts], pa.int64()),
-                pa.array([b - a for _, a, b in parts], pa.int64()), pa.array([_pack_keys(keys[a:b], bits) for _, a, b in parts], pa.binary()),
-                pa.array([_pack(counts[0][a:b]) for _, a, b in parts], pa.binary()), pa.array([_pack(counts[1][a:b]) for _, a, b in parts], pa.binary()),
-            ],
-            names=_NAMES,
-        )
         ids = np.array([-1 if d is None else d for d, _, _ in self.docs], dtype=np.int64)
         null = np.array([d is None for d, _, _ in self.docs], dtype=np.uint8)
         head = np.array([len(ids), len(tokens), len(hashes)], dtype=np.int64).tobytes()
         docs = head + ids.tobytes() + null.tobytes() + folds.tobytes() + sizes.tobytes()
-        row = ["texts", block, -1, len(tokens), docs, _pack(tokens), _pack(hashes)]
-        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _TYPES)], names=_NAMES)
-        mine = fold == DEV  # the held-out tokens by the places of their keys, for the mixture weights
+        yield _rows([("texts", block, -1, len(tokens), docs, _pack(tokens), _pack(hashes))])
+        mine = np.repeat(folds, sizes) == DEV  # the held-out tokens by the places of their keys, for the mixture weights
         if mine.any():
+            _, of_word, of_pair, context = _sorted_keys(tokens, np.cumsum(sizes) - sizes, hashes, bits)
             places = (of_word[tokens[mine]], of_word[context[mine]], of_pair[mine])
-            row = ["dev", block, -1, int(mine.sum()), *(_pack(p.astype(np.uint32)) for p in places)]
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _TYPES)], names=_NAMES)
+            yield _rows([("dev", block, -1, int(mine.sum()), *(_pack(p.astype(np.uint32)) for p in places))])
+
+
+class _Texts:
+    """The texts of a block as they were written."""
+
+    def __init__(self, head: bytes, tokens: bytes, hashes: bytes) -> None:
+        n_docs, n_tokens, n_local = np.frombuffer(head, dtype=np.int64, count=3).tolist()
+        self.ids = np.frombuffer(head, dtype=np.int64, count=n_docs, offset=24)
+        self.null = np.frombuffer(head, dtype=np.uint8, count=n_docs, offset=24 + 8 * n_docs).astype(bool)
+        self.folds = np.frombuffer(head, dtype=np.uint8, count=n_docs, offset=24 + 9 * n_docs)
+        self.sizes = np.frombuffer(head, dtype=np.int64, count=n_docs, offset=24 + 10 * n_docs)
+        self.tokens, self.starts = _unpack(tokens, n_tokens, "<u4"), np.cumsum(self.sizes) - self.sizes
+        self.hashes = _unpack(hashes, n_local, "<u8")
+
+    def sorted_keys(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        return _sorted_keys(self.tokens, self.starts, self.hashes, bits)
+
+
+def _block_keys(blocks: DataFrame, ranges: int, bits: int) -> DataFrame:
+    """Written texts -> (kind, block, part, n, a, b, c): the block's keys of each hash range, with their counts in the training and in the held-out texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, *packed = (batch.column(c)[i].as_py() for c in ("block", "a", "b", "c"))
+                t = _Texts(*packed)
+                keys, of_word, of_pair, _ = t.sorted_keys(bits)
+                fold, counts = np.repeat(t.folds, t.sizes), []
+                for use in (fold != HELD_OUT, fold == DEV):
+                    c = np.bincount(of_pair[use], minlength=len(keys))
+                    c += np.bincount(of_word[t.tokens[use]], minlength=len(keys))
+                    counts.append(c.astype(np.uint32))
+                cuts = np.concatenate([[0], np.searchsorted(keys, _borders(ranges)), [len(keys)]])
+                parts = [(p, a, b) for p, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if b > a]
+                yield _rows([("keys", block, p, b - a, _pack_keys(keys[a:b], bits), _pack(counts[0][a:b]), _pack(counts[1][a:b])) for p, a, b in parts])
+
+    return blocks.where("kind = 'texts'").mapInArrow(run, _BLOCK)
+
+
+def _count_blocks(docs: DataFrame, ranges: int, block_tokens: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(written blocks, their keys with counts) of (doc_id, text, fold)."""
+    spark = docs.sparkSession
+    path = scratch_path(spark, "lm_blocks")
+    _text_blocks(docs, block_tokens, bits).write.partitionBy("kind").parquet(path)
+    blocks = spark.read.schema(_BLOCK).parquet(path).select(*_NAMES)
+    return blocks, _block_keys(blocks, ranges, bits)
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=_NAMES)
 
 
 _NAMES = ["kind", "block", "part", "n", "a", "b", "c"]
@@ -152,8 +184,8 @@ def _borders(ranges: int) -> np.ndarray:
     return np.array([(i << 64) // ranges for i in range(1, ranges)], dtype=np.uint64)
 
 
-def _count_blocks(docs: DataFrame, ranges: int, block_tokens: int, bits: int) -> DataFrame:
-    """(kind, block, part, n, a, b, c): packed keys with counts, and packed texts, of each block of (doc_id, text, fold)."""
+def _text_blocks(docs: DataFrame, block_tokens: int, bits: int) -> DataFrame:
+    """(kind, block, part, n, a, b, c): packed texts, and the places of held-out tokens, of each block of (doc_id, text, fold)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -164,10 +196,10 @@ def _count_blocks(docs: DataFrame, ranges: int, block_tokens: int, bits: int) ->
             for doc, text, fold in zip(*(c.to_pylist() for c in part.columns)):
                 block.add(doc, fold, text)
                 if block.tokens >= block_tokens:
-                    yield from block.rows(number, ranges, bits)
+                    yield from block.rows(number, bits)
                     number, block = number + 1, _Block()
         if block.docs:
-            yield from block.rows(number, ranges, bits)
+            yield from block.rows(number, bits)
 
     return docs.mapInArrow(run, _BLOCK)
 
@@ -243,23 +275,17 @@ def _score_block(n_train: int, n_words: int, weights: np.ndarray, bits: int):
     def run(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
         text = next(r for r in rows if r["kind"] == "texts")
-        head = text["a"]
-        n_docs, n_tokens, n_local = np.frombuffer(head, dtype=np.int64, count=3).tolist()
-        ids = np.frombuffer(head, dtype=np.int64, count=n_docs, offset=24)
-        null = np.frombuffer(head, dtype=np.uint8, count=n_docs, offset=24 + 8 * n_docs)
-        folds = np.frombuffer(head, dtype=np.uint8, count=n_docs, offset=24 + 9 * n_docs)
-        sizes = np.frombuffer(head, dtype=np.int64, count=n_docs, offset=24 + 10 * n_docs)
-        tokens, starts = _unpack(text["b"], n_tokens, "<u4"), np.cumsum(sizes) - sizes
-        _, of_word, of_pair, context = _sorted_keys(tokens, starts, _unpack(text["c"], n_local, "<u8"), bits)
-        train = _totals(rows, "b")
+        t = _Texts(text["a"], text["b"], text["c"])
+        _, of_word, of_pair, context = t.sorted_keys(bits)
+        train, tokens, starts = _totals(rows, "b"), t.tokens, t.starts
         word, pair, before = train[of_word][tokens], train[of_pair], train[of_word][context]
         base = np.log10((word + 1) / (n_train + (n_words + 1)))
         mix = weights[_bucket(before)]
-        two = np.divide(pair, before, out=np.zeros(n_tokens), where=before > 0)
+        two = np.divide(pair, before, out=np.zeros(len(tokens)), where=before > 0)
         mixed = np.log10(mix[:, 0] / (n_words + 1) + mix[:, 1] * word / max(n_train, 1) + mix[:, 2] * two)
         known, base, score = (np.add.reduceat(x, starts) for x in ((word > 0).astype(np.int64), base, mixed))
         return pa.Table.from_arrays(
-            [pa.array(ids, pa.int64(), mask=null.astype(bool)), pa.array(folds.astype(np.int32)), pa.array(sizes), pa.array(known), pa.array(base), pa.array(score)],
+            [pa.array(t.ids, pa.int64(), mask=t.null), pa.array(t.folds.astype(np.int32)), pa.array(t.sizes), pa.array(known), pa.array(base), pa.array(score)],
             names=["doc_id", "fold", "n_tokens", "n_known", "base_score", "score"],
         )
 
@@ -307,19 +333,16 @@ def score_texts(docs: DataFrame, id_col: str = ID, text_col: str = TEXT, block_t
     Other columns are ignored; an empty table gives an empty result.
     """
     rows = texts(docs, id_col, text_col).select(ID, TEXT, crc_part(ID, FOLDS).cast("int").alias("fold"))
-    spark = docs.sparkSession
     size = rows.agg(F.sum(F.octet_length(TEXT))).first()[0] or 0
     ranges, bits = max(8, math.ceil(size / range_bytes)), KEY_BITS
-    path = scratch_path(spark, "lm_blocks")
-    _count_blocks(rows, ranges, block_tokens, bits).write.partitionBy("kind").parquet(path)
-    blocks = spark.read.schema(_BLOCK).parquet(path).select(*_NAMES)
-    answers = materialize(blocks.where("kind = 'keys'").groupBy("part").applyInArrow(_answer(bits), _BLOCK), "lm_totals")
-    remove_folder(spark, f"{path}/kind=keys")
+    blocks, keys = _count_blocks(rows, ranges, block_tokens, bits)
+    answers = materialize(keys.groupBy("part").applyInArrow(_answer(bits), _BLOCK), "lm_totals")
     totals = answers.where("kind = 'totals'")
     sums = [np.frombuffer(r["a"], dtype=np.int64) for r in answers.where("kind = 'sums'").select("a").toLocalIterator()]
     n_train, n_dev, n_words = (int(x) for x in (np.sum(sums, axis=0) if sums else (0, 0, 0)))
     held_out = blocks.where("kind = 'dev'").unionByName(totals).groupBy("block").applyInArrow(_held_out_table(n_train, n_dev, n_words), "bucket long, two long, one long, n long")
     cells = held_out.groupBy("bucket", "two", "one").agg(F.sum("n").alias("n")).collect()  # bounded: buckets x quantised ratios
     weights = learn_weights(sorted((r["bucket"], r["two"], r["one"], r["n"]) for r in cells))
-    out = blocks.where("kind = 'texts'").unionByName(totals).groupBy("block").applyInArrow(_score_block(n_train, n_words, weights, bits), _SCORES)
+    train = totals.withColumn("c", F.lit(None).cast("binary"))  # the scores need the training counts only
+    out = blocks.where("kind = 'texts'").unionByName(train).groupBy("block").applyInArrow(_score_block(n_train, n_words, weights, bits), _SCORES)
     return out.select(ID, (F.col("fold") == HELD_OUT).alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from riskframe.llm import html_extract, lm, packing, pii, quality, toxicity
 from riskframe.llm.common import table
@@ -313,6 +314,24 @@ def test_bigram_hashes_are_kept_whole(spark, monkeypatch):
     assert seen == [62]
 
 
+def test_bigrams_with_one_shortened_hash_are_counted_apart(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"w{rng.randint(0, 59)}" for _ in range(150))) for i in range(40)]
+    numbers = [[int(w[1:]) + 1 for w in t.split()] + [0] for _, t in rows]
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in ["", *(f"w{i}" for i in range(60))]], dtype=np.uint64)
+    sizes = np.array([len(x) for x in numbers])
+    flat = np.array(sum(numbers, []), dtype=np.uint32)
+    bigrams = len({pair for x in numbers for pair in zip([0, *x], x)})
+    keys = {bits: len(lm._sorted_keys(flat, np.cumsum(sizes) - sizes, hashes, bits)[0]) for bits in (10, 62)}
+    assert keys[62] == 61 + bigrams > keys[10], "at ten bits some bigrams meet, at 62 none does"
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = {}
+    for bits in (62, 50, 10):
+        monkeypatch.setattr(lm, "KEY_BITS", bits)
+        scores[bits] = [r.score for r in lm.score_texts(docs, block_tokens=1000).orderBy("doc_id").collect()]
+    assert scores[62] == scores[50] != scores[10]
+
+
 def test_common_lines_is_a_longest_common_subsequence():
     rng = random.Random(3)
     for _ in range(300):
