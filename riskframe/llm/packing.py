@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from struct import pack as packed
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,8 @@ class WordTokenizer:
     #: fixed value: the split that the fast way knows, as the vocabulary file states it
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     PLAIN = regex.compile("[\x21-\x7e\xa1-įı-ɏ]+")
-    KEEP = 300_000
-    ODD_SPACE = regex.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    KEEP, KEEP_PIECES = 300_000, 100_000
+    ODD_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
     def __init__(self, json_text: str):
         import json
@@ -57,7 +58,8 @@ class WordTokenizer:
             and splits[0].get("pattern") == {"Regex": self.SPLIT}
             and splits[1].get("type") == "ByteLevel"
         )
-        self.marks = tuple(t["content"] for t in spec.get("added_tokens", []))
+        marks = [t["content"] for t in spec.get("added_tokens", [])]
+        self.marks = regex.compile("|".join(map(regex.escape, marks))) if marks else None
         if self.fast:
             self.model, self.split = Tokenizer.from_str(json_text).model, regex.compile(self.SPLIT)
             alphabet = sorted(pre_tokenizers.ByteLevel.alphabet())
@@ -68,18 +70,29 @@ class WordTokenizer:
         # two generations of seen words: a full young one becomes the old one, so frequent words stay
         self.seen: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _ids(self, part: str) -> bytes:
         if self.fast and part.isascii() and part.isalpha():
-            ids = [t.id for t in self.model.tokenize(part.lower())]
-        elif self.fast and self.PLAIN.fullmatch(part) and not any(m in part for m in self.marks):
-            low, ids = unicodedata.normalize("NFC", part).lower(), []
-            for piece in self.split.findall(low):
-                name = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.names)
-                ids += [t.id for t in self.model.tokenize(name)]
-        else:
-            ids = self.full.encode(part, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+            return self._piece(part.lower())
+        if self.fast and self.PLAIN.fullmatch(part) and not (self.marks and self.marks.search(part)):
+            low = part.lower() if part.isascii() else unicodedata.normalize("NFC", part).lower()
+            return b"".join(map(self._piece, self.split.findall(low)))
+        ids = self.full.encode(part, add_special_tokens=False).ids
+        return packed(f"<{len(ids)}I", *ids)
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one piece of the split: signs, digits and common letters go with many words."""
+        found = self.pieces.get(piece)
+        if found is None:
+            name = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.names)
+            ids = [t.id for t in self.model.tokenize(name)]
+            found = packed(f"<{len(ids)}I", *ids)
+            if len(piece) <= 16:
+                if len(self.pieces) >= self.KEEP_PIECES:
+                    self.pieces.clear()
+                self.pieces[piece] = found
+        return found
 
     def _look(self, part: str) -> bytes:
         ids = self.seen.get(part)
@@ -96,7 +109,7 @@ class WordTokenizer:
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         # str.split() knows more kinds of white space than the words' definition
-        parts = WORD.findall(text) if self.ODD_SPACE.search(text) else text.split()
+        parts = WORD.findall(text) if any(map(text.__contains__, self.ODD_SPACE)) else text.split()
         found = list(map(self.seen.get, parts))
         if None in found:
             look = self._look
