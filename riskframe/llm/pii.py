@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -150,6 +151,7 @@ def shape(token: str) -> int:
 N_SHAPES = 25 + len(CUES) + 16
 EDGE = N_SHAPES  # before the first and after the last word
 OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
+WINDOW = 1 << 14  # words whose emission scores are held at a time
 
 
 @dataclass
@@ -160,28 +162,36 @@ class ChainField:
     move: np.ndarray
     first: np.ndarray
 
-    def scores(self, shapes: np.ndarray) -> np.ndarray:
-        """(batch, time) shapes, padded with EDGE -> (batch, time, label) emission scores."""
-        pad = max(abs(o) for o in OFFSETS)
-        wide = np.full((shapes.shape[0], shapes.shape[1] + 2 * pad), EDGE, dtype=shapes.dtype)
-        wide[:, pad:-pad] = shapes
-        out = np.zeros((*shapes.shape, len(LABELS)), dtype=np.float32)
+    def scores(self, shapes: np.ndarray, a: int = 0, b: int | None = None) -> np.ndarray:
+        """(batch, time) shapes, padded with EDGE -> (batch, b - a, label) emission scores of the words a to b."""
+        pad, t = max(abs(o) for o in OFFSETS), shapes.shape[1]
+        b = t if b is None else b
+        wide = np.full((shapes.shape[0], b - a + 2 * pad), EDGE, dtype=shapes.dtype)
+        first, last = max(a - pad, 0), min(b + pad, t)
+        wide[:, first - a + pad : last - a + pad] = shapes[:, first:last]
+        out = np.zeros((shapes.shape[0], b - a, len(LABELS)), dtype=np.float32)
         for k, o in enumerate(OFFSETS):
-            out += self.emit[k].astype(np.float32)[wide[:, pad + o : pad + o + shapes.shape[1]]]
+            out += self.emit[k].astype(np.float32)[wide[:, pad + o : pad + o + b - a]]
         return out
 
-    def decode(self, shapes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Viterbi labels (batch, time) of padded shape rows; entries past a row's length are 0."""
+    def decode(self, shapes: np.ndarray, lengths: np.ndarray, window: int = WINDOW) -> np.ndarray:
+        """Viterbi labels (batch, time) of padded shape rows; entries past a row's length are 0.
+
+        Emission scores are held for ``window`` words at a time; the best score of every
+        label is carried from one window to the next, so the labels are those of one piece.
+        """
         n, t = shapes.shape
-        e = self.scores(shapes)
+        e = self.scores(shapes, 0, min(window, t))
         back = np.zeros((n, t, len(LABELS)), dtype=np.int8)
         best = self.first.astype(np.float32) + e[:, 0]
         final = best.copy()
         move = self.move.astype(np.float32)
         for i in range(1, t):
+            if i % window == 0:
+                e = self.scores(shapes, i, min(i + window, t))
             all_ways = best[:, :, None] + move
             back[:, i] = all_ways.argmax(axis=1)
-            best = all_ways.max(axis=1) + e[:, i]
+            best = all_ways.max(axis=1) + e[:, i % window]
             final = np.where((lengths > i)[:, None], best, final)
         out = np.zeros((n, t), dtype=np.int8)
         state = final.argmax(axis=1)
@@ -285,57 +295,92 @@ def _valid(kind: str, part: str) -> bool:
     return 8 <= len(digits) <= 15
 
 
+def _stretches(text: str) -> list[list[int]]:
+    """Merged [start, end) stretches of whole words around the lively words."""
+    wide, cuts = REACH * 8, []
+    for found in _LIVELY.finditer(text):
+        m = found.start()
+        a, b = max(0, m - wide), min(len(text), m + wide)
+        if cuts and a <= cuts[-1][1]:
+            cuts[-1][1] = b
+        else:
+            cuts.append([a, b])
+    for cut in cuts:
+        while cut[0] > 0 and not text[cut[0] - 1].isspace():
+            cut[0] -= 1
+        while cut[1] < len(text) and not text[cut[1]].isspace():
+            cut[1] += 1
+    return cuts
+
+
+def _encode_stretch(text: str, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, shapes) of the words of a stretch, 24 bytes a word."""
+    starts, ends, shapes = array("q"), array("q"), array("q")
+    for m in TOKEN.finditer(text, a, b):
+        starts.append(m.start())
+        ends.append(m.end())
+        shapes.append(shape(m.group()))
+    return tuple(np.frombuffer(x, dtype=np.int64) if x else np.zeros(0, np.int64) for x in (starts, ends, shapes))
+
+
+class Covered:
+    """The union of some spans; ``touched`` tells for each of many stretches whether it meets the union, by binary search."""
+
+    def __init__(self, spans: Sequence[tuple[str, int, int]]):
+        ordered = sorted((s, e) for _, s, e in spans)
+        self.starts = np.array([s for s, _ in ordered], dtype=np.int64)
+        # the furthest end so far: of the spans that start before a stretch ends, one reaches into it if the furthest does
+        self.ends = np.maximum.accumulate(np.array([e for _, e in ordered], dtype=np.int64)) if ordered else self.starts
+
+    def touched(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if not len(self.starts):
+            return np.zeros(len(starts), dtype=bool)
+        before = np.searchsorted(self.starts, ends, side="left")
+        return (before > 0) & (self.ends[np.maximum(before - 1, 0)] > starts)
+
+
 def added_spans(batch: Sequence[str], bases: Sequence[list[tuple[str, int, int]]], model: ChainField, rows: int = 256) -> list[list[tuple[str, int, int]]]:
     """The field's spans of each text that touch no base span.
 
     A word whose surroundings (``REACH`` words each way) hold no digit, @ or "dot"
     can only be O: ``_valid`` asks every kind for one. Such words are not decoded; the
     rest of the text is, in padded batches of word sequences. A sequence is never
-    cut, so a long text without such gaps is decoded in one piece.
+    cut: a long one without such gaps is decoded window by window with carried
+    state. Work and memory grow with the length of the text, whatever its spans.
     """
-    work: list[tuple[int, list[re.Match], np.ndarray]] = []
+    work: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
     for i, text in enumerate(batch):
-        marks = [m.start() for m in _LIVELY.finditer(text)]
-        if not marks:
-            continue
-        wide, cuts = REACH * 8, []
-        for m in marks:  # stretches of characters around the marks, merged
-            a, b = max(0, m - wide), min(len(text), m + wide)
-            if cuts and a <= cuts[-1][1]:
-                cuts[-1][1] = b
-            else:
-                cuts.append([a, b])
-        for a, b in cuts:
-            while a > 0 and not text[a - 1].isspace():
-                a -= 1
-            while b < len(text) and not text[b].isspace():
-                b += 1
-            found = list(TOKEN.finditer(text, a, b))
-            work.append((i, found, np.array([shape(m.group()) for m in found], dtype=np.int64)))
+        work += [(i, *_encode_stretch(text, a, b)) for a, b in _stretches(text)]
+    covered = {i: Covered(bases[i]) for i in {w[0] for w in work}}
     out: list[list[tuple[str, int, int]]] = [[] for _ in batch]
-    work.sort(key=lambda w: len(w[2]))
+    work.sort(key=lambda w: len(w[3]))
     j = 0
     while j < len(work):
         size = 1  # as many rows as fit in a padded batch of CELLS words, one at least
-        while size < rows and j + size < len(work) and (size + 1) * len(work[j + size][2]) <= CELLS:
+        while size < rows and j + size < len(work) and (size + 1) * len(work[j + size][3]) <= CELLS:
             size += 1
         group = work[j : j + size]
         j += size
-        lengths = np.array([len(s) for _, _, s in group])
+        lengths = np.array([len(w[3]) for w in group])
         shapes = np.full((len(group), max(int(lengths.max()), 1)), EDGE)
-        for k, (_, _, s) in enumerate(group):
-            shapes[k, : len(s)] = s
-        for (i, found, _), y in zip(group, model.decode(shapes, lengths)):
-            y = y[: len(found)].copy()
-            for t, m in enumerate(found):  # base spans stand by themselves, and numbers have no letters
-                if y[t] and (any(m.start() < e and s < m.end() for _, s, e in bases[i]) or (y[t] > 1 and m.group()[0].isalpha())):
+        for k, w in enumerate(group):
+            shapes[k, : len(w[3])] = w[3]
+        for (i, starts, ends, _), y in zip(group, model.decode(shapes, lengths)):
+            y, text = y[: len(starts)].copy(), batch[i]
+            y[covered[i].touched(starts, ends)] = 0  # base spans stand by themselves
+            for t in np.flatnonzero(y > 1):  # and numbers have no letters
+                if text[starts[t]].isalpha():
                     y[t] = 0
             change = np.flatnonzero(np.diff(np.concatenate([[0], y, [0]])))
-            for a, b in zip(change, change[1:]):
-                if y[a] and a < b:
-                    start, end, kind = found[a].start(), found[b - 1].end(), LABELS[y[a]]
-                    if _valid(kind, batch[i][start:end]) and not any(s < end and start < e for _, s, e in bases[i]):
-                        out[i].append((kind, start, end))
+            runs = [(a, b) for a, b in zip(change, change[1:]) if y[a]]
+            if not runs:
+                continue
+            low, high = (np.array(x) for x in zip(*runs))
+            free = ~covered[i].touched(starts[low], ends[high - 1])
+            for a, b in zip(low[free], high[free]):
+                start, end, kind = int(starts[a]), int(ends[b - 1]), LABELS[y[a]]
+                if _valid(kind, text[start:end]):
+                    out[i].append((kind, start, end))
     return out
 
 
