@@ -155,8 +155,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS,
             seeds = [[int(not p.isdisjoint(s)) for s in SEEDS.values()] for p in plain]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cols, pa.list_(pa.int64())), pa.array(seeds, pa.list_(pa.int64()))], ["lid", "y", "cols", "seeds"])
 
-    got = sample.mapInArrow(rows, "lid long, y int, cols array<long>, seeds array<long>").select((F.abs(F.xxhash64("lid")) % FOLDS).alias("fold"), "y", "cols", "seeds")
-    data = [(r["fold"], r["y"], list(r["cols"]), list(r["seeds"])) for r in got.limit(8 * max_per_class).collect()]
+    got = sample.mapInArrow(rows, "lid long, y int, cols array<long>, seeds array<long>")
+    # a row for each label id: of several texts under one id the one with the smallest columns
+    got = got.groupBy("lid").agg(F.first("y").alias("y"), F.min(F.struct("cols", "seeds")).alias("m"))
+    got = got.select("lid", (F.abs(F.xxhash64("lid")) % FOLDS).alias("fold"), "y", "m.cols", "m.seeds").collect()
+    data = [(r["fold"], r["y"], list(r["cols"]), list(r["seeds"])) for r in sorted(got, key=lambda r: r["lid"])]
     if not data:
         return None
     return fit_chain(data, vocabulary, (totals[0] / n0, totals[1] / n1))
