@@ -46,13 +46,13 @@ def row_id(id_col: str = ID, text_col: str = TEXT):
 
 
 def drop_rows(docs: DataFrame, verdicts: DataFrame, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
-    """``docs`` without the rows that ``verdicts`` (columns doc_id and rid, see ``row_id``) names; all columns stay as they are.
+    """``docs`` without the rows that ``verdicts`` (column rid, see ``row_id``) names; all columns stay as they are.
 
     Each row meets the verdict of its own text: of two texts under one doc_id one
-    may go and the other stay. Rows without an id are kept.
+    may go and the other stay. A row without an id goes by the verdict of its text.
     """
     key = "_drop"
     while key in docs.columns:  # a name that the documents do not have
         key += "_"
-    gone = verdicts.where(F.col(ID).isNotNull()).select(F.col("rid").alias(key)).distinct()
+    gone = verdicts.select(F.col("rid").alias(key)).distinct()
     return docs.join(gone, row_id(id_col, text_col) == F.col(key), "left_anti")

@@ -69,17 +69,17 @@ def test_exact_dedup(spark, docs, rows):
 
 
 def test_each_text_of_a_repeated_id_meets_its_own_verdict(spark):
-    """Under id 5, a copy or contaminated text goes and the other text stays."""
+    """Under id 5, a copy or contaminated text goes and the other text stays; so it is with rows without an id."""
     rng = random.Random(8)
     one, two, item = prose(rng, 60), prose(rng, 60), prose(rng, 30)
-    df = spark.createDataFrame([(1, one), (5, one), (5, two), (None, one)], "doc_id long, text string")
+    df = spark.createDataFrame([(1, one), (5, one), (5, two), (None, one), (None, item)], "doc_id long, text string")
     ids = lambda kept: sorted((r.doc_id or 0, r.text) for r in kept.collect())
-    want = sorted([(0, one), (1, one), (5, two)])
+    want = sorted([(0, item), (1, one), (5, two)])
     assert ids(exact_dedup.keep_first_copies(df)) == want
     assert ids(simhash.keep_one_per_group(df)) == want
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
-    df = spark.createDataFrame([(5, item), (5, two), (6, None)], "doc_id long, text string")
-    assert sorted((r.doc_id, r.text) for r in decontam.drop_contaminated(df, bench).collect() if r.text) == [(5, two)]
+    df = spark.createDataFrame([(5, item), (5, two), (6, None), (None, item), (None, one)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in decontam.drop_contaminated(df, bench).collect() if r.text) == [(0, one), (5, two)]
 
 
 def brute_fingerprint(text):
@@ -273,4 +273,4 @@ def test_decontamination(spark):
     assert {r.n_hit for r in decontam.decontaminate(docs, items.limit(0)).collect()} == {0}
     clean = decontam.drop_contaminated(docs, items)
     assert clean.columns == docs.columns
-    assert {r.doc_id for r in clean.collect()} == {int(d) for d, *_, bad in want if not bad} | {None}  # a row without an id stays
+    assert {r.doc_id for r in clean.collect()} == {int(d) for d, *_, bad in want if not bad}  # the row without an id holds an item
