@@ -25,6 +25,7 @@ DIM = 4096
 MAX_LABELLED = 6000
 RANK = 64
 NEIGHBOURS = 25
+TIE = 1e-6  # cosines closer than this are equal (the order of float32 sums may differ between batches)
 THRESHOLD = 0.7
 
 
@@ -71,15 +72,16 @@ class LatentNeighbours:
         return _unit((rows * self.weight - self.mean) @ self.basis)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
-        """Similarity-weighted share of label 1 among the k nearest labelled vectors, in [0, 1]."""
+        """Similarity-weighted share of label 1 among the k nearest labelled vectors, in [0, 1]; all that tie with the k-th vote."""
         if not len(self.labels):
             return np.full(len(rows), self.prior)
         cos = self.project(rows) @ self.vectors.T
         k = min(self.k, cos.shape[1])
-        near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-        w = np.clip(np.take_along_axis(cos, near, axis=1), 0, None).astype(np.float64) ** 4
-        total = w.sum(axis=1)
-        vote = (w * self.labels[near]).sum(axis=1)
+        last = np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k]
+        row, near = np.nonzero(cos >= (last - TIE)[:, None])
+        w = np.clip(cos[row, near], 0, None).astype(np.float64) ** 4
+        total = np.bincount(row, weights=w, minlength=len(rows))
+        vote = np.bincount(row, weights=w * self.labels[near], minlength=len(rows))
         empty = ~rows.any(axis=1)
         score = np.divide(vote, total, out=np.full(len(rows), self.prior), where=(total > 1e-9) & ~empty)
         return np.clip(score, 0.0, 1.0)
@@ -94,16 +96,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ra
     ok = labels.where(F.col("quality").isin(0, 1) & F.col(ID).isNotNull() & (crc_part(ID, 4) != 2))
     one = ok.groupBy(F.col(ID).cast("long").alias("lid")).agg(F.max("quality").cast("int").alias("y"))
     one = one.orderBy(F.xxhash64("lid"), "lid").limit(max_labelled)
-    chosen = texts(docs, id_col, text_col).join(F.broadcast(one), F.col(ID) == F.col("lid")).select("y", TEXT)
+    chosen = texts(docs, id_col, text_col).join(F.broadcast(one), F.col(ID) == F.col("lid")).select("lid", "y", TEXT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            rows = [features(t) for t in part.column(1).to_pylist()]
+            rows = [features(t) for t in part.column(2).to_pylist()]
             at = [np.flatnonzero(r).astype(np.uint16) for r in rows]
             packed = [i.tobytes() + r[i].astype(np.float16).tobytes() for i, r in zip(at, rows)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, type=pa.binary())], ["y", "row"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, type=pa.binary())], ["lid", "y", "row"])
 
-    got = chosen.mapInArrow(run, "y int, row binary").limit(4 * max_labelled).collect()
+    # a row for each label id: of several texts under one id the one with the smallest features
+    got = chosen.mapInArrow(run, "lid long, y int, row binary").groupBy("lid").agg(F.first("y").alias("y"), F.min("row").alias("row")).collect()
     got = sorted((bytes(r["row"]), r["y"]) for r in got)  # the order of arrival must not matter
     y = np.array([v for _, v in got], dtype=np.float64)
     prior = float(y.mean()) if len(y) else 0.5
@@ -134,7 +137,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     Edge cases: NULL, empty and word-less texts score the share of label 1 among
     the fitted rows; without usable labels every score is 0.5. Labels other than 0
     and 1 are ignored; a doc_id labelled twice counts as its larger label. Repeated
-    rows score alike; a NULL doc_id is scored and is never held out. Other columns
+    rows score alike; all neighbours as near as the k-th (within ``TIE``) vote; a NULL doc_id is scored and is never held out. Other columns
     are ignored; an empty table gives an empty result.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_labelled, id_col=id_col, text_col=text_col))
