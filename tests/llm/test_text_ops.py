@@ -173,6 +173,19 @@ def test_quality_votes_are_exact_nearest_neighbours():
         assert s == pytest.approx((w * model.labels[near]).sum() / w.sum(), abs=1e-4)
 
 
+def test_quality_ties_all_vote():
+    """Eight labelled copies are equally near: their labels count alike, whatever the batch or their order."""
+    rng = np.random.default_rng(2)
+    v = np.concatenate([np.tile(np.eye(8, dtype=np.float32)[0], (8, 1)), np.eye(8, dtype=np.float32)[1:]])
+    y = np.array([1.0, 0, 1, 1, 0, 1, 1, 1] + [0.0] * 7)
+    row = np.array([[1, 0.2, 0, 0, 0, 0, 0, 0]], dtype=np.float32)
+    for _ in range(5):
+        p = rng.permutation(len(v))
+        model = quality.LatentNeighbours(np.ones(8, np.float32), np.zeros(8, np.float32), np.eye(8, dtype=np.float32), v[p], y[p], 0.5, 3)
+        assert model.score(row)[0] == pytest.approx(6 / 8)
+        assert model.score(np.repeat(row, 50, axis=0)).tolist() == [model.score(row)[0]] * 50
+
+
 def test_toxicity_on_held_out_labels(spark):
     docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     got = {r.doc_id: r for r in toxicity.score_toxicity(docs, labels).collect()}
@@ -306,6 +319,52 @@ def test_long_stretch_is_decoded_whole():
         assert {(k, a - len(lead), b - len(lead)) for k, a, b in got} >= set(short), words
 
 
+def test_windowed_decoding_equals_one_piece():
+    """The labels do not depend on how many words' emission scores are held at a time."""
+    rng, model = np.random.default_rng(3), pii.train(rounds=30)
+    shapes, lengths = rng.integers(0, pii.N_SHAPES, (4, 300)), np.array([300, 211, 64, 1])
+    whole = model.decode(shapes, lengths, window=300)
+    assert whole.any()
+    for window in (1, 7, 64, 299):
+        assert (model.decode(shapes, lengths, window=window) == whole).all(), window
+
+
+def test_covered_is_any_overlap():
+    rng = random.Random(21)
+    for _ in range(300):
+        spans = [("x", a, a + rng.randint(1, 9)) for a in (rng.randrange(60) for _ in range(rng.randrange(6)))]
+        asked = [(a, a + rng.randint(1, 5)) for a in range(60)]
+        got = pii.Covered(spans).touched(*(np.array(x) for x in zip(*asked)))
+        assert got.tolist() == [any(s < b and a < e for _, s, e in spans) for a, b in asked]
+
+
+def test_long_text_of_many_spans():
+    """Spelled-out addresses among thousands of base spans in one text: each is found, and none touches a base span."""
+    phrase = "reach me at john dot smith at example dot com today"
+    text = " ".join(f"user{i}@example.com wrote . . . {phrase}" for i in range(1500))
+    base = pii.base_spans(text)
+    assert len(base) == 1500
+    found = pii.added_spans([text], [base], pii.train())[0]
+    assert len({a // (len(text) // 1500 + 1) for _, a, _ in found}) > 1400
+    taken = pii.Covered(base)
+    assert not taken.touched(*(np.array(x) for x in zip(*((a, b) for _, a, b in found)))).any()
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_repeated_label_ids_fit_the_same_model(spark, module):
+    """Many texts under one labelled id are one fitted row, whatever the order they arrive in."""
+    rows = [(d, f"{'vile awful idiot' if d % 2 else 'calm and clear prose'} number {d} text {r}", d % 2) for d in range(60) for r in range(6)]
+    labels = spark.createDataFrame([(d, d % 2, d % 2) for d in range(60)], "doc_id long, quality int, toxic int")
+    seen = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(d, t) for d, t, _ in order], "doc_id long, text string").repartition(5)
+        model = module.fit(docs, labels)
+        seen.append(model.labels.tolist() if module is quality else [w.round(9).tolist() for w in model.weights])
+    assert seen[0] == seen[1]
+    if module is quality:
+        assert len(seen[0]) == sum(zlib.crc32(str(d).encode()) % 4 != 2 for d in range(60))
+
+
 def test_bigram_hashes_are_kept_whole(spark, monkeypatch):
     seen = []
     real = lm._count_blocks
