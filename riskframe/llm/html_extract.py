@@ -3,16 +3,17 @@
 A page is cut into blocks of text. Menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and comments are known by their element, role or
 class. If an <article> or <main> element holds text, its remaining blocks are the
-main text. A page without one is compared with its neighbours: the distinct pages
-of a host are ordered by URL path (copies, also those that differ in digits only,
-are one page), and the next one on either side is taken. The page's lines are
-aligned with each by a longest common subsequence, and the lines that it shares
-with both (the site's template) are deleted. A neighbour that leaves too little
-of either page is a near copy and tells nothing: the one behind it is taken, and
-without any the page keeps all its lines.
-
-Blocks inside an article are never deleted for being on the next page too: two
-pages may carry one article, and pure differencing would lose it from both.
+main text's lines, else all remaining blocks. Every page's lines are then compared
+with its neighbours: the distinct pages of a host are ordered by URL path (copies,
+also those that differ in digits only, are one page), and the next ones on either
+side are taken. The page's lines are aligned with each by a longest common
+subsequence, and the lines that it shares with both sides (the site's template) are
+deleted. A neighbour that leaves too little of either page is a near copy and tells
+nothing: the one behind it is taken, and without any the page keeps all its lines.
+
+The lines of an article are aligned with those of other articles, and a line goes
+only if all usable neighbours, three at least, have it: two pages may carry one
+article or one paragraph, and a line that one of them lacks is no template.
 """
 
 from __future__ import annotations
@@ -203,6 +204,46 @@ def common_lines(a: Sequence[str], b: Sequence[str]) -> set[int]:
     return out
 
 
+#: usable neighbours that must all have an article's line before it counts as the site's
+WITNESSES = 3
+
+
+def article_template(mine: Sequence[int], sizes: Sequence[int], near: Sequence[dict]) -> list[int]:
+    """Positions of an article's lines (their hashes and sizes) that every usable neighbour article shares, in order."""
+    total, told = sum(sizes), []
+    for page in near:
+        shared = common_lines(mine, page["lines"])
+        if sum(sizes[i] for i in shared) <= NEAR_COPY * min(total, page["size"]):
+            told.append(shared)
+    return sorted(set.intersection(*told)) if len(told) >= WITNESSES else []
+
+
+def _template_positions(named: DataFrame) -> DataFrame:
+    """(host, pk, gone): the positions of the lines that differencing deletes, for the articles that lose any.
+
+    Lines travel as 64-bit hashes with their sizes, four copies of them at most.
+    """
+    lines = F.split("main", "\n")
+    articles = named.where("settled").groupBy("host", "pk").agg(F.min("path").alias("path"), F.min(F.struct("main")).alias("a"))
+    articles = articles.select("host", "pk", "path", F.col("a.main").alias("main")).select(
+        "host", "pk", "path", F.transform(lines, lambda x: F.xxhash64(x)).alias("lines"), F.transform(lines, lambda x: F.length(x)).alias("sizes")
+    )
+    articles = materialize(articles, "article_lines")
+    near = neighbours(articles.select("host", "path", "pk"), articles.select("host", "pk"))
+    beside = near.select("host", F.col("pk").alias("me"), F.explode(F.array("p", "pp", "n", "nn")).alias("pk")).where("pk IS NOT NULL")
+    size = F.aggregate("sizes", F.lit(0).cast("long"), lambda t, x: t + x)
+    theirs = beside.join(articles.select("host", "pk", "lines", size.alias("size")), ["host", "pk"])
+    theirs = theirs.groupBy("host", F.col("me").alias("pk")).agg(F.collect_list(F.struct("lines", "size")).alias("theirs"))  # four at most
+    paired = articles.join(theirs, ["host", "pk"]).select("host", "pk", "lines", "sizes", "theirs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            gone = [article_template(*row) for row in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(gone, pa.list_(pa.int32()))], ["host", "pk", "gone"])
+
+    return paired.mapInArrow(run, "host string, pk string, gone array<int>").where("size(gone) > 0")
+
+
 def _parse(pages: DataFrame) -> DataFrame:
     """(pk, page_id, url) -> also settled, main, other."""
 
@@ -281,11 +322,13 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     url, body = F.col(f"`{url_col}`").cast("string"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit(""))
     pk = F.concat_ws(":", F.col(f"`{id_col}`"), F.xxhash64(url, body))
     parsed = materialize(_parse(pages.select(pk.alias("pk"), F.col(f"`{id_col}`").cast("long").alias("page_id"), url.alias("url"), body.alias("html"))), "page_blocks")
-    done = parsed.where("settled").select("page_id", "url", F.col("main").alias("text"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
     content = F.sha2(F.regexp_replace(F.concat_ws("\n", F.coalesce("main", F.lit("")), F.lit("\0"), F.array_join("other", "\n")), "[0-9]+", "0"), 256)
     named = parsed.select("page_id", "url", "settled", "main", "other", host.alias("host"), path.alias("path"), content.alias("pk"))
+    gone = materialize(_template_positions(named), "article_template")  # (articles without a template line have no row)
+    kept = F.array_join(F.filter(F.split("main", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    done = named.where("settled").join(gone, ["host", "pk"], "left").select("page_id", "url", F.when(F.col("gone").isNull(), F.col("main")).otherwise(kept).alias("text"))
     open_pages = named.where("not settled").select("page_id", "url", "other", "host", "pk")
     told = named.where("size(other) > 0")  # a page without lines outside its article shows no template
     near = neighbours(told.groupBy("host", "pk").agg(F.min("path").alias("path")), open_pages.select("host", "pk").distinct())

@@ -307,6 +307,20 @@ def test_html_copies_without_an_article(spark):
     }
 
 
+def test_html_differencing_of_articles(spark):
+    """Articles are differenced too: a line that all neighbours have goes, a shared article or paragraph and a lone page stay."""
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    page = lambda *own: "<nav>Menu</nav><article><p>" + "<p>".join([*own, "Join our list"]) + "</article>"
+    own = [f"{w} " * 20 for w in words]
+    rows = [(i, f"http://a.org/{i}", page(x)) for i, x in enumerate(own[:6])]
+    rows += [(10 + i, f"http://b.org/{i}", f"<article><p>{x}<p>Told twice</article>" if i < 3 else f"<article><p>{x}</article>") for i, x in enumerate(own)]
+    rows += [(20 + i, f"http://c.org/{i}", page(own[0])) for i in range(5)] + [(30, "http://d.org/", page(own[0]))]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(1, 5)] == [x.strip() for x in own[1:5]]
+    assert [got[10 + i] for i in range(8)] == [x.strip() + ("\nTold twice" if i < 3 else "") for i, x in enumerate(own)]
+    assert all(got[i] == own[0].strip() + "\nJoin our list" for i in (*range(20, 25), 30))
+
+
 def test_long_stretch_is_decoded_whole():
     """An added span is found wherever it lies in a stretch of more than 4,096 words."""
     model, phrase = pii.train(), "reach me at john dot smith at example dot com today"
