@@ -15,7 +15,7 @@ from ..session import scratch_path
 from ..sources import tables as IO
 from ..sources.applicants import applicants
 from . import sqlparts as S
-from .catalog import register
+from .catalog import base, register
 from .catalog_metrics import SCORERS
 from .catalog_prep import PREP, FLAGS, IMPUTED, INTER, LOGS, X7_COLS, X8_LEVELS, _dum, _r, _rounded
 
@@ -51,7 +51,7 @@ def q_parquet_roundtrip(spark, sf):
 )
 def q_model_persistence(spark, sf):
     """The fitted preprocessor saved, loaded back and applied; equals the in-memory transform."""
-    a = applicants(spark, sf)
+    a = base(spark, sf)  # (read by every pass of the fit)
     m = P.RiskPreprocessor().fit(a.where(F.col(C.SPLIT) == C.TRAIN))
     path = scratch_path(spark, "prep_model")
     m.save(path)
