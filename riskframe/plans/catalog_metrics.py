@@ -21,9 +21,9 @@ SCORERS = {
 }
 
 
-def predictions(spark, sf, models=("lin_a",), one_pass=False):
-    """Long table (model, base, target, pred) for the chosen scorers; ``one_pass``: read once, so nothing is written first."""
-    a = applicants(spark, sf) if one_pass else base(spark, sf)
+def predictions(spark, sf, models=("lin_a",), one_pass=False, written=None):
+    """Long table (model, base, target, pred) for the chosen scorers; ``one_pass``: read once, so nothing is written first; ``written``: the applicants that the caller has written."""
+    a = written if written is not None else applicants(spark, sf) if one_pass else base(spark, sf)
     parts = [a.select(F.lit(m).alias("model"), C.SPLIT, C.TARGET, SCORERS[m][0]().alias("pred")) for m in models]
     out = parts[0]
     for p in parts[1:]:

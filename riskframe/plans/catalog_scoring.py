@@ -255,7 +255,7 @@ def q_score_rules(spark, sf):
     """O6/O7 on scores: PSI, KS and Gini falls, R2 and Gini degradation, new segments, challenger against champion."""
     a = base(spark, sf)
     is_te, is_tr = F.col(C.SPLIT) == C.TEST, F.col(C.SPLIT) == C.TRAIN
-    m = M.evaluate(predictions(spark, sf, ("lin_a", "lin_b")), C.TARGET, "pred", ["model", C.SPLIT])
+    m = M.evaluate(predictions(spark, sf, ("lin_a", "lin_b"), written=a), C.TARGET, "pred", ["model", C.SPLIT])
     pick = [
         F.max(F.when((F.col("model") == n) & (F.col(C.SPLIT) == b), F.col(k))).alias(f"{k}_{n[-1]}_{b.lower()}")
         for k in ("rmse", "r2", "gini", "ks") for n in ("lin_a", "lin_b") for b in (C.TRAIN, C.TEST)
