@@ -224,11 +224,9 @@ def _template_positions(named: DataFrame) -> DataFrame:
     Lines travel as 64-bit hashes with their sizes, four copies of them at most.
     """
     lines = F.split("main", "\n")
-    articles = named.where("settled").groupBy("host", "pk").agg(F.min("path").alias("path"), F.min(F.struct("main")).alias("a"))
-    articles = articles.select("host", "pk", "path", F.col("a.main").alias("main")).select(
-        "host", "pk", "path", F.transform(lines, lambda x: F.xxhash64(x)).alias("lines"), F.transform(lines, lambda x: F.length(x)).alias("sizes")
-    )
-    articles = materialize(articles, "article_lines")
+    signs = F.struct(F.transform(lines, lambda x: F.xxhash64(x)).alias("lines"), F.transform(lines, lambda x: F.length(x)).alias("sizes"))
+    articles = named.where("settled").select("host", "pk", "path", signs.alias("a")).groupBy("host", "pk").agg(F.min("path").alias("path"), F.min("a").alias("a"))
+    articles = materialize(articles.select("host", "pk", "path", "a.lines", "a.sizes"), "article_lines")
     near = neighbours(articles.select("host", "path", "pk"), articles.select("host", "pk"))
     beside = near.select("host", F.col("pk").alias("me"), F.explode(F.array("p", "pp", "n", "nn")).alias("pk")).where("pk IS NOT NULL")
     size = F.aggregate("sizes", F.lit(0).cast("long"), lambda t, x: t + x)
@@ -241,7 +239,7 @@ def _template_positions(named: DataFrame) -> DataFrame:
             gone = [article_template(*row) for row in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(gone, pa.list_(pa.int32()))], ["host", "pk", "gone"])
 
-    return paired.mapInArrow(run, "host string, pk string, gone array<int>").where("size(gone) > 0")
+    return paired.mapInArrow(run, "host string, pk binary, gone array<int>").where("size(gone) > 0")
 
 
 def _parse(pages: DataFrame) -> DataFrame:
@@ -321,10 +319,10 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     ship_package(pages.sparkSession)
     url, body = F.col(f"`{url_col}`").cast("string"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit(""))
     pk = F.concat_ws(":", F.col(f"`{id_col}`"), F.xxhash64(url, body))
-    parsed = materialize(_parse(pages.select(pk.alias("pk"), F.col(f"`{id_col}`").cast("long").alias("page_id"), url.alias("url"), body.alias("html"))), "page_blocks")
+    parsed = materialize(_parse(pages.select(pk.alias("pk"), F.col(f"`{id_col}`").cast("long").alias("page_id"), url.alias("url"), body.alias("html"))), "page_blocks", codec="zstd")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
-    content = F.sha2(F.regexp_replace(F.concat_ws("\n", F.coalesce("main", F.lit("")), F.lit("\0"), F.array_join("other", "\n")), "[0-9]+", "0"), 256)
+    content = F.unhex(F.substring(F.sha2(F.regexp_replace(F.concat_ws("\n", F.coalesce("main", F.lit("")), F.lit("\0"), F.array_join("other", "\n")), "[0-9]+", "0"), 256), 1, 32))
     named = parsed.select("page_id", "url", "settled", "main", "other", host.alias("host"), path.alias("path"), content.alias("pk"))
     gone = materialize(_template_positions(named), "article_template")  # (articles without a template line have no row)
     kept = F.array_join(F.filter(F.split("main", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
