@@ -218,8 +218,8 @@ def exact_quantiles(
     Equal values are counted first, so a hot value is one row. Tables of more than
     ``ranked`` rows are narrowed to the cells that hold the wanted ranks, by a factor of
     about ``fan`` each time, until no task has more than ``ranked`` values to rank: no
-    narrowing up to 4 million rows, one up to 4 billion, two up to 4 trillion. Only a row
-    per group is written, and the full column is never sorted or shuffled.
+    narrowing up to 4 million rows, one up to 4 billion, two up to 4 trillion. Nothing is
+    written, and the full column is never sorted or shuffled.
     """
     within = list(within)
     names = list(names) if names is not None else [f"q{i}" for i in range(len(probs))]
@@ -232,13 +232,12 @@ def exact_quantiles(
         spread = counts.select(*within, "_v", "_w", F.sum("_w").over(ordered).alias("_cum"), F.sum("_w").over(Window.partitionBy(*key)).alias("_n"))
     else:
         # the first cut is made beside the wanted ranks only: a stretch of 1/fan around each, found by a few edges per value
-        # (written: a row per group, read by the ranks and by the cut)
         grid = _around(probs, fan)
-        totals = materialize(rows.groupBy(*key).agg(F.sum("_w").alias("_n"), _edges(grid, fan)), "quantile_edges")
-        edges, totals = totals.drop("_n"), totals.drop("_edges")
+        totals = rows.groupBy(*key).agg(F.sum("_w").alias("_n"))
         ends = [f((F.col("_n") - F.lit(1)).cast("double") * F.lit(float(p))) for p in probs for f in (F.floor, F.ceil)]
         ranks = totals.select(*key, F.explode(F.array_distinct(F.array(*[e.cast("long") for e in ends]))).alias("_k"), F.lit(0).cast("long").alias("_below"))
-        parts = len(grid) + 1
+        # (a sketch of weighted rows knows nothing of their weights: they are cut evenly)
+        parts, edges = (fan, None) if weight else (len(grid) + 1, rows.groupBy(*key).agg(_edges(grid, fan)))
         while left > ranked:
             rows, ranks = _narrowed(rows, ranks, key, parts, edges)
             left, parts, edges = -(-left // fan), fan, None
