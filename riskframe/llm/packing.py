@@ -9,9 +9,12 @@ window. Only the partition totals (one number per partition) meet in one place.
 
 from __future__ import annotations
 
+import re
+import sys
 import unicodedata
-from collections.abc import Iterator
-from struct import pack as packed
+from array import array
+from codecs import charmap_decode
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,34 @@ SEQUENCE = 4096
 END_ID = 2
 
 
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit."""
+    found = array("I", ids)
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
+
+
+def plain_split(pattern: str) -> re.Pattern:
+    """``pattern`` for parts of plain letters, digits and signs only: its classes are spelled out, so that the standard library's faster matcher takes it."""
+    plain = {form for c in map(chr, range(0x21, 0x250)) if not c.isspace() for form in c + c.lower()}
+    spelled = {kind: "".join(re.escape(c) for c in sorted(plain) if unicodedata.category(c)[0] == kind) for kind in "LN"}
+    return re.compile(pattern.replace(r"\p{L}", spelled["L"]).replace(r"\p{N}", spelled["N"]))
+
+
+class Seen(dict):
+    """Ids by word; ``find`` is asked for any other word, which is kept unless it is long or ``most`` words are there."""
+
+    def __init__(self, find: Callable[[str], bytes], most: int):
+        self.find, self.most = find, most
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.find(part)
+        if len(part) <= 64 and len(self) < self.most:
+            self[part] = ids
+        return ids
+
+
 class WordTokenizer:
     """Ids of a word-level BPE tokenizer file, with the ids of seen words kept.
 
@@ -39,8 +70,8 @@ class WordTokenizer:
 
     #: fixed value: the split that the fast way knows, as the vocabulary file states it
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    PLAIN = regex.compile("[\x21-\x7e\xa1-įı-ɏ]+")
-    KEEP, KEEP_PIECES = 300_000, 100_000
+    PLAIN = re.compile("[\x21-\x7e\xa1-įı-ɏ]+")
+    KEEP, KEEP_PIECES = 450_000, 200_000
     ODD_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
     def __init__(self, json_text: str):
@@ -61,14 +92,14 @@ class WordTokenizer:
         marks = [t["content"] for t in spec.get("added_tokens", [])]
         self.marks = regex.compile("|".join(map(regex.escape, marks))) if marks else None
         if self.fast:
-            self.model, self.split = Tokenizer.from_str(json_text).model, regex.compile(self.SPLIT)
+            self.model, self.split = Tokenizer.from_str(json_text).model, plain_split(self.SPLIT)
             alphabet = sorted(pre_tokenizers.ByteLevel.alphabet())
             printable = [b for b in range(256) if chr(b) in set(alphabet)]
             shifted = iter(c for c in alphabet if ord(c) > 255)
             names = {b: chr(b) for b in printable}
-            self.names = {b: names[b] if b in names else next(shifted) for b in range(256)}
+            self.names = "".join(names[b] if b in names else next(shifted) for b in range(256))
         # two generations of seen words: a full young one becomes the old one, so frequent words stay
-        self.seen: dict[str, bytes] = {}
+        self.seen = Seen(self._find, self.KEEP)
         self.old: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -78,43 +109,32 @@ class WordTokenizer:
         if self.fast and self.PLAIN.fullmatch(part) and not (self.marks and self.marks.search(part)):
             low = part.lower() if part.isascii() else unicodedata.normalize("NFC", part).lower()
             return b"".join(map(self._piece, self.split.findall(low)))
-        ids = self.full.encode(part, add_special_tokens=False).ids
-        return packed(f"<{len(ids)}I", *ids)
+        return packed(self.full.encode(part, add_special_tokens=False).ids)
 
     def _piece(self, piece: str) -> bytes:
         """Ids of one piece of the split: signs, digits and common letters go with many words."""
         found = self.pieces.get(piece)
         if found is None:
-            name = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.names)
-            ids = [t.id for t in self.model.tokenize(name)]
-            found = packed(f"<{len(ids)}I", *ids)
+            name = piece if piece.isascii() else charmap_decode(piece.encode(), "strict", self.names)[0]
+            found = packed([t.id for t in self.model.tokenize(name)])
             if len(piece) <= 16:
                 if len(self.pieces) >= self.KEEP_PIECES:
                     self.pieces.clear()
                 self.pieces[piece] = found
         return found
 
-    def _look(self, part: str) -> bytes:
-        ids = self.seen.get(part)
-        if ids is None:
-            ids = self.old.get(part)
-            if ids is None:
-                ids = self._ids(part)
-            if len(part) <= 64:
-                if len(self.seen) >= self.KEEP:
-                    self.seen, self.old = {}, self.seen
-                self.seen[part] = ids
-        return ids
+    def _find(self, part: str) -> bytes:
+        ids = self.old.get(part)
+        return self._ids(part) if ids is None else ids
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         # str.split() knows more kinds of white space than the words' definition
         parts = WORD.findall(text) if any(map(text.__contains__, self.ODD_SPACE)) else text.split()
-        found = list(map(self.seen.get, parts))
-        if None in found:
-            look = self._look
-            found = [look(p) if ids is None else ids for p, ids in zip(parts, found)]
-        return b"".join(found)
+        found = b"".join(map(self.seen.__getitem__, parts))
+        if len(self.seen) >= self.KEEP:
+            self.seen, self.old = Seen(self._find, self.KEEP), self.seen
+        return found
 
 
 _TOKENIZERS: dict[int, WordTokenizer] = {}

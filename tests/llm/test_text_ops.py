@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 
 from riskframe.llm import html_extract, lm, packing, pii, quality, toxicity
@@ -52,6 +53,28 @@ def test_packing(spark):
     assert packing.pack(frame(spark, rows).limit(0), tokenizer_json()).count() == 0
 
 
+def test_plain_split_equals_the_files_split():
+    rng, plain = random.Random(5), [c for c in map(chr, range(0x21, 0x250)) if packing.WordTokenizer.PLAIN.fullmatch(c)]
+    parts = plain + ["".join(rng.choices(plain, k=rng.randint(2, 8))) + rng.choice(["", "'s", "'LL9", "''"]) for _ in range(3000)]
+    whole, mine = regex.compile(packing.WordTokenizer.SPLIT), packing.plain_split(packing.WordTokenizer.SPLIT)
+    for low in map(str.lower, parts):
+        assert mine.findall(low) == whole.findall(low), low
+
+
+def test_seen_words_stay_bounded_and_right(monkeypatch):
+    monkeypatch.setattr(packing.WordTokenizer, "KEEP", 20)
+    mine = packing.WordTokenizer(tokenizer_json())
+    texts, asked = [" ".join(f"word{i}\u00e9x{j}" for j in range(30)) + " the" for i in range(4)], []
+    whole = mine.full
+    find, mine._ids = mine._ids, lambda part: asked.append(part) or find(part)
+    for text in texts:
+        assert list(np.frombuffer(mine.encode(text), "<u4")) == whole.encode(text, add_special_tokens=False).ids
+        assert len(mine.seen) <= 20 and len(mine.old) <= 20
+    mine.seen.clear(), mine.old.clear(), asked.clear()
+    mine.encode("a b a " * 3)
+    assert asked == ["a", "b"], "a word is asked for once, in its own text too"
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_word_tokenizer_equals_the_file(name):
     from tokenizers import Tokenizer
