@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import os
 import random
 import re
 
@@ -239,6 +240,64 @@ def test_line_classes_of_long_lines(spark):
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
+def test_near_long_lines_keep_a_run_in_common():
+    rng = random.Random(5)
+    for n in (80, 119, 120, 161, 400, 1300):
+        for _ in range(40):
+            a = "".join(rng.choice("abc ") for _ in range(n))
+            c = list(a)
+            for i in sorted(rng.sample(range(n), n // 40), reverse=True):
+                c[i : i + 1] = rng.choice(("", "x", "xy"))
+            b = "".join(c)
+            e = min(len(a), len(b)) // 40
+            if e < 2 or not line_dedup.within(a, b, e):
+                continue
+            shared = set()
+            for band in set(line_dedup.bands(len(a), 1, 40)) & set(line_dedup.bands(len(b), 1, 40)):
+                key, ref, size, pos = line_dedup._line_keys([a, b], [0, 1], band, 1, 40)
+                shared |= {k for k in key[ref == 0] if k in set(key[ref == 1])}
+                x, y, _ = line_dedup._meet(key, ref, size, pos, 40, 256)
+                shared |= {"pair"} if len(x) else set()
+            assert "pair" in shared and len(shared) > 1
+
+
+def test_crowds_of_long_lines(spark):
+    """Lines of crowded runs (near copies, a passage that all have) link like all pairs; what is written stays below the texts."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    copied, passage, lines = text(60), text(40), []
+    for _ in range(40):
+        c = list(copied)
+        for _ in range(rng.randint(0, 9)):
+            c[rng.randrange(len(c))] = rng.choice("xyz")
+        lines += ["".join(c), text(rng.randint(1, 9)) + " " + passage]
+    near = {x: x for x in lines}
+
+    def root(x):
+        while near[x] != x:
+            x = near[x]
+        return x
+
+    for a, b in itertools.combinations(near, 2):
+        if line_dedup.within(a, b, max(1, min(len(a), len(b)) // 40)):
+            near[root(a)] = root(b)
+    lines += [text(60) for _ in range(1500)]
+    near |= {x: x for x in lines[80:]}
+    first = {}
+    for d, x in enumerate(lines):
+        first.setdefault(root(x), d)
+    assert 2 < len({root(x) for x in lines[:80]}) < 70
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").coalesce(2)
+    scratch = line_dedup.materialize(df, "probe").inputFiles()[0].removeprefix("file://").split("/scratch/")[0] + "/scratch"
+    before = set(os.listdir(scratch))
+    got = {r.doc_id: r.first_doc for r in line_dedup.line_classes(df, hot_bucket=4).collect()}
+    assert got == {d: first[root(x)] for d, x in enumerate(lines)}
+    runs = [f for f in os.listdir(scratch) if f not in before and not f.startswith("long_texts")]
+    written = sum(os.path.getsize(os.path.join(scratch, f, p)) for f in runs for p in os.listdir(os.path.join(scratch, f)) if p.endswith(".parquet"))
+    assert written < sum(map(len, lines)), "no list of a line's runs is written"
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
     long_items = [" ".join(prose(rng, 1) + str(rng.randint(0, 9)) for _ in range(n)) for n in (13, 20, 40)]
